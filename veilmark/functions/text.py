@@ -42,11 +42,14 @@ def cut(parts, start, end):
     return let("_be", f"named_struct('b', {start}, 'e', {end})", body)
 
 
-def splice(text, edits):
-    """Put ``new`` in place of ``[st, en)`` for ordered edits without overlap."""
+def splice(text, edits, outside=lambda t: t):
+    """Put ``new`` in place of ``[st, en)`` for ordered edits without overlap.
+
+    ``outside`` is applied to the stretches between the edits.
+    """
     begin = "coalesce(get(_ed, _i - 1).en, 0)"
-    head = f"transform(_ed, (_e, _i) -> concat({cut('_parts', begin, '_e.st')}, _e.new))"
-    tail = cut("_parts", "coalesce(get(_ed, size(_ed) - 1).en, 0)", f"length({text})")
+    head = f"transform(_ed, (_e, _i) -> concat({outside(cut('_parts', begin, '_e.st'))}, _e.new))"
+    tail = outside(cut("_parts", "coalesce(get(_ed, size(_ed) - 1).en, 0)", f"length({text})"))
     rebuilt = let("_ed", edits, f"concat(array_join({head}, ''), {tail})")
     return let("_parts", pieces(text), rebuilt)
 

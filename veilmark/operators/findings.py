@@ -76,21 +76,9 @@ def detect(docs, recognizers=None, more=()):
     text stays where it is.
     """
     if not more:
-        return inline_hits(
-            docs.select("doc_id", F.expr(detect_sql("text", recognizers)).alias("hits"))
-        )
-    own = docs.select("doc_id", F.expr(hits_sql("text", recognizers)).alias("hits"))
-    layers = [inline_ranked(own)] + list(more)
-    return resolve_overlaps(drop_other(drop_denylisted(union_layers(*layers))))
-
-
-def inline_ranked(df, hits="hits"):
-    """Findings table that keeps the arrival order as ``ord``."""
-    return df.select("doc_id", F.inline(hits)).select(
-        "doc_id", "entity_type", "category", "value", F.col("st").alias("span_start"),
-        F.col("en").alias("span_end"), F.col("sc").alias("score"), "risk", "source", "reason",
-        F.col("ord").cast("long").alias("ord"),
-    )
+        return inline_hits(docs, detect_sql("text", recognizers))
+    own = inline_hits(docs, hits_sql("text", recognizers), order=True)
+    return resolve_overlaps(drop_other(drop_denylisted(union_layers(own, *more))))
 
 
 # ---- table forms ----------------------------------------------------------
@@ -263,3 +251,12 @@ def entity_set_of(hits):
 
 def entity_set(df, hits="hits"):
     return df.select("doc_id", F.expr(entity_set_of(hits)).alias("entity_types"))
+
+
+def findings_schema():
+    """Schema of a findings table, for reading one back."""
+    texts = "entity_type STRING, category STRING, value STRING"
+    return (
+        f"doc_id BIGINT, {texts}, span_start INT, span_end INT, score DOUBLE, "
+        "risk STRING, source STRING, reason STRING"
+    )

@@ -252,7 +252,7 @@ def hits_sql(text, recognizers=None):
 
 def find(docs, recognizers=None):
     """Findings of ``recognizers`` as a table, one row each, offsets included."""
-    return inline_hits(docs.select("doc_id", F.expr(hits_sql("text", recognizers)).alias("hits")))
+    return inline_hits(docs, hits_sql("text", recognizers))
 
 
 def find_regex(docs):
@@ -268,17 +268,17 @@ def find_fields(docs):
     return find(docs, LABEL_LAYER)
 
 
-def inline_hits(df, hits="hits"):
-    """A table of findings out of an array column of HIT structs."""
-    return df.select("doc_id", F.inline(hits)).select(
-        "doc_id",
-        "entity_type",
-        "category",
-        "value",
-        F.col("st").alias("span_start"),
-        F.col("en").alias("span_end"),
-        F.col("sc").alias("score"),
-        "risk",
-        "source",
-        "reason",
-    )
+def inline_hits(docs, hits, order=False):
+    """A table of findings out of an expression for an array of HIT structs.
+
+    The expression goes straight into the generator.  Had it a column of its own,
+    Catalyst would infer the filter ``size(column) > 0`` and, pushing it down,
+    evaluate the whole expression twice.
+    """
+    columns = [
+        "doc_id", "entity_type", "category", "value", F.col("st").alias("span_start"),
+        F.col("en").alias("span_end"), F.col("sc").alias("score"), "risk", "source", "reason",
+    ]
+    if order:
+        columns.append(F.col("ord").cast("long").alias("ord"))
+    return docs.select("doc_id", F.inline(F.expr(hits))).select(*columns)
