@@ -32,6 +32,16 @@ def query_text(df, types="entity_types"):
     return df.withColumn("query_text", F.expr(query_text_sql(types)))
 
 
+def distinct_sets(df, types="entity_types"):
+    """The non-empty sets of types, each once.
+
+    Empty sets go by way of the generator: a filter would be pushed below the
+    detection and evaluate it again.
+    """
+    some = f"CASE WHEN size({types}) > 0 THEN array({types}) ELSE array() END"
+    return df.select(F.explode(F.expr(some)).alias(types)).distinct()
+
+
 # ---- exact match ----------------------------------------------------------
 def _rule_structs(rules):
     def one(r):
@@ -94,27 +104,30 @@ def ranked_sql(types, rules):
         for t in idf
     )
     tokens = (
-        f"filter(transform(regexp_extract_all(lower({query_text_sql(types)}), '{TERM}', 0), "
+        f"filter(transform(regexp_extract_all(lower({query_text_sql('_ty')}), '{TERM}', 0), "
         f"_t -> named_struct('t', _t, 'v', try_element_at(map({entries}), _t))), "
         "_t -> _t.v IS NOT NULL)"
     )
+    # A term that occurs n times adds (n x idf)^2, in n parts.
     norm = (
-        "sqrt(aggregate(array_distinct(_tok), 0D, (_s, _u) -> _s + power(_u.v.idf * "
-        "size(filter(_tok, _y -> _y.t = _u.t)), 2)))"
+        "sqrt(aggregate(_tok, 0D, (_s, _u) -> _s + power(_u.v.idf, 2) * "
+        "size(filter(_tok, _y -> _y.t = _u.t))))"
+    )
+    total = (
+        f"aggregate(_q.tok, array_repeat(0D, {len(rules)}), "
+        "(_s, _u) -> zip_with(_s, _u.v.w, (_m, _w) -> _m + _u.v.idf * _w))"
     )
-    dot = "aggregate(_q.tok, 0D, (_s, _u) -> _s + _u.v.idf * get(_u.v.w, _i))"
-    relevance = f"CASE WHEN _q.n > 0 THEN {dot} / _q.n ELSE 0D END"
     scored = (
-        f"transform(sequence(0, {len(rules) - 1}), _i -> named_struct("
-        f"'neg', -round({relevance}, {RANK_DIGITS}), 'i', _i))"
+        f"transform({total}, (_d, _i) -> named_struct('neg', "
+        f"CASE WHEN _q.n > 0 THEN -round(_d / _q.n, {RANK_DIGITS}) ELSE 0D END, 'i', _i))"
     )
     best = (
         f"transform(array_sort({scored}), (_b, _k) -> named_struct('rank', _k + 1, 'i', _b.i, "
-        f"'relevance', round(-_b.neg, {RELEVANCE_DIGITS})))"
+        f"'relevance', round(-_b.neg, {RELEVANCE_DIGITS}) + 0D))"
     )
     body = let("_tok", tokens, let("_q", f"named_struct('tok', _tok, 'n', {norm})", best))
     nothing = "cast(array() AS array<struct<rank:int,i:int,relevance:double>>)"
-    return f"CASE WHEN size({types}) > 0 THEN {body} ELSE {nothing} END"
+    return let("_ty", types, f"CASE WHEN size(_ty) > 0 THEN {body} ELSE {nothing} END")
 
 
 def matches_sql(ranked, rules, k):

@@ -20,14 +20,28 @@ from veilmark.schemas import HIT
 
 UNICODE = "(?iU)"
 
-# Cheap tests on the whole text; a pattern runs only where its test holds.
+# Cheap tests on the whole text; a pattern runs only where its test holds.  Every
+# match implies its test.  Word tests look for letters of the word in lower case;
+# they avoid i, k and s, which also stand for letters outside ASCII.  ``_dg`` and
+# ``_ds`` say whether the text has a digit and three digits in a row; most texts
+# without are done after that one look.
 GUARDS = {
-    "any": "{t} IS NOT NULL",
-    "digit": r"rlike({t}, r'(?U)\d')",
-    "digits": r"rlike({t}, r'(?U)\d{{3}}')",
+    "any": "true",
+    "digit": "_dg",
+    "digits": "_ds",
     "at": "contains({t}, '@')",
-    "colon": "contains({t}, ':')",
-    "mark": "(contains({t}, ':') OR contains({t}, '#'))",
+    "mark": "contains({t}, ':') OR contains({t}, '#')",
+    "plus": "_dg AND contains({t}, '+')",
+    "dots": "_dg AND rlike({t}, '[0-9][.][0-9]')",
+    "colons": "contains({t}, ':') AND (contains({t}, '::') OR rlike({t}, ':[0-9A-Fa-f]{{1,4}}:'))",
+    "cvv": "_ds AND contains(lower({t}), 'cvv')",
+    "bank": "_ds AND (contains(lower({t}), 'rout') OR contains(lower({t}), 'aba'))",
+    "np": "_ds AND contains(lower({t}), 'np')",
+    "mr": "contains(lower({t}), 'mr')",
+    "pa": "_ds AND contains(lower({t}), 'pa')",
+    "acc": "_ds AND contains(lower({t}), 'acc')",
+    "driver": "_dg AND (contains(lower({t}), 'dl') OR contains(lower({t}), 'dr'))",
+    "medical": "_ds AND (contains(lower({t}), 'dea') OR contains(lower({t}), 'med'))",
 }
 
 
@@ -44,28 +58,22 @@ class Recognizer:
     check: Optional[Callable] = None
 
 
-# First characters a match can start with.  Testing them before the word
-# boundary changes no match and skips most positions cheaply.
-_FIRST = {
-    "AADHAAR": "[2-9]",
-    "PAN": "[A-Z]{5}[0-9]",
-    "CVV": "CV",
-    "ROUTING_NUMBER": "(?:RO|AB)",
-    "NPI": "NP",
-    "MRN": "MR",
-    "PHONE_NUMBER_IN": r"[+6-9]",
-    "STREET_ADDRESS": r"\d",
-    "ZIP_CODE": r"(?:[A-Z]{2}\s\d|\d{5}-)",
+_REGEX_GUARDS = {
+    "CVV": "cvv",
+    "ROUTING_NUMBER": "bank",
+    "NPI": "np",
+    "MRN": "mr",
+    "STREET_ADDRESS": "digit",
 }
 
 REGEX_LAYER = [
     Recognizer(
         name=kind.lower(),
         entity_type=kind,
-        pattern=f"{UNICODE}(?={_FIRST[kind]}){pattern}",
+        pattern=UNICODE + pattern,
         score=vocab.REGEX_SCORE,
         source="regex",
-        guard={"MRN": "any", "STREET_ADDRESS": "digit"}.get(kind, "digits"),
+        guard=_REGEX_GUARDS.get(kind, "digits"),
     )
     for kind, pattern in vocab.REGEX_PATTERNS.items()
 ]
@@ -86,10 +94,8 @@ RULES_PATTERNS = {
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "driver_license": r"\b(?:DL|driver.?s? licen[sc]e)" + _LABEL_TAIL + r"([A-Z0-9]{6,14})\b",
     "passport": r"\bpassport" + _LABEL_TAIL + r"([A-Z]?[0-9]{7,9})\b",
-    "date": (
-        r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|"
-        r"\b(?:" + _MONTHS + r")\.? [0-9]{1,2},? [0-9]{4}\b"
-    ),
+    "date": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b",
+    "date_in_words": r"\b(?:" + _MONTHS + r")\.? [0-9]{1,2},? [0-9]{4}\b",
     "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
     "ipv6": (
         r"\b(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}\b|"
@@ -104,27 +110,27 @@ RULES_PATTERNS = {
 }
 
 
-def _rule(name, kind, score, first, guard="digits", group=0, check=None, flags=UNICODE):
+def _rule(name, kind, score, guard="digits", group=0, check=None, flags=UNICODE):
     return Recognizer(
-        name, kind, f"{flags}(?={first}){RULES_PATTERNS[name]}", score, "rules", guard, group,
-        None, check,
+        name, kind, flags + RULES_PATTERNS[name], score, "rules", guard, group, None, check
     )
 
 
 RULES_LAYER = [
-    _rule("email", "EMAIL_ADDRESS", 1.0, "[A-Z0-9._%+-]", "at"),
-    _rule("phone", "PHONE_NUMBER", 0.75, "[+1-9(]"),
-    _rule("phone_abroad", "PHONE_NUMBER", 0.75, r"\+"),
-    _rule("ssn", "US_SSN", 0.85, "[0-9]", check=checks.ssn_ok),
-    _rule("driver_license", "US_DRIVER_LICENSE", 0.6, "D", "digit", 1, checks.has_digit),
-    _rule("passport", "US_PASSPORT", 0.6, "PA", group=1),
-    _rule("date", "DATE_TIME", 0.6, "[0-9JFMASOND]", "digit"),
-    _rule("ipv4", "IP_ADDRESS", 0.95, "[0-9]", "digit", check=checks.ip_ok),
-    _rule("ipv6", "IP_ADDRESS", 0.95, "[0-9A-F]{1,4}:", "colon", check=checks.ip_ok),
-    _rule("medical_license", "MEDICAL_LICENSE", 1.0, "[DM]E", group=1, check=checks.provider_ok),
-    _rule("bank_number", "US_BANK_NUMBER", 0.5, "AC", group=1),
-    _rule("card", "CREDIT_CARD", 1.0, "[0-9]", check=checks.card_ok),
-    _rule("iban", "IBAN_CODE", 1.0, "[A-Z]{2}[0-9]", check=checks.iban_ok, flags="(?U)"),
+    _rule("email", "EMAIL_ADDRESS", 1.0, "at"),
+    _rule("phone", "PHONE_NUMBER", 0.75),
+    _rule("phone_abroad", "PHONE_NUMBER", 0.75, "plus"),
+    _rule("ssn", "US_SSN", 0.85, check=checks.ssn_ok),
+    _rule("driver_license", "US_DRIVER_LICENSE", 0.6, "driver", 1, checks.has_digit),
+    _rule("passport", "US_PASSPORT", 0.6, "pa", 1),
+    _rule("date", "DATE_TIME", 0.6, "digit"),
+    _rule("date_in_words", "DATE_TIME", 0.6),
+    _rule("ipv4", "IP_ADDRESS", 0.95, "dots", check=checks.ip_ok),
+    _rule("ipv6", "IP_ADDRESS", 0.95, "colons", check=checks.ip_ok),
+    _rule("medical_license", "MEDICAL_LICENSE", 1.0, "medical", 1, checks.provider_ok),
+    _rule("bank_number", "US_BANK_NUMBER", 0.5, "acc", 1),
+    _rule("card", "CREDIT_CARD", 1.0, check=checks.card_ok),
+    _rule("iban", "IBAN_CODE", 1.0, check=checks.iban_ok, flags="(?U)"),
 ]
 
 # Words that open a labelled field, and the model label each stands for.
@@ -154,7 +160,7 @@ FIELD_PATTERN = (
 )
 LABEL_LAYER = [
     Recognizer(
-        "fields", None, f"{UNICODE}(?=[PDMIESNBLT]){FIELD_PATTERN}", FIELD_SCORE, "ner", "mark", 2, 1
+        "fields", None, UNICODE + FIELD_PATTERN, FIELD_SCORE, "ner", "mark", 2, 1
     )
 ]
 
@@ -229,7 +235,9 @@ def hits_sql(text, recognizers=None):
 
     tests = ", ".join(f"'{g}', {GUARDS[g].format(t=text)}" for g in guards)
     every = ", ".join(matches(i, r) for i, r in enumerate(recognizers))
-    raw_matches = let("_g", f"named_struct({tests})", f"array({every})")
+    three = let("_ds", f"_dg AND rlike({text}, r'(?U)\\d{{3}}')", f"named_struct({tests})")
+    flags = let("_dg", f"rlike({text}, r'(?U)\\d')", three)
+    raw_matches = let("_g", flags, f"array({every})")
 
     label = f"try_element_at({constant_map(FIELD_WORDS)}, lower(_pl.label))"
     locate = (

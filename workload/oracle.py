@@ -204,7 +204,7 @@ for name, src_sql, recs in [
     ("find_ssn", fx.MEMO, ["ssn"]),
     ("find_driver_license", fx.DOSSIER, ["driver_license"]),
     ("find_passport", fx.DOSSIER, ["passport"]),
-    ("find_date", fx.DOSSIER, ["date"]),
+    ("find_date", fx.DOSSIER, ["date", "date_in_words"]),
     ("find_ip_dossier", fx.DOSSIER, ["ipv4", "ipv6"]),
     ("find_medical_license", fx.DOSSIER, ["medical_license"]),
     ("find_bank_number", fx.DOSSIER, ["bank_number"]),

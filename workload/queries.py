@@ -255,11 +255,8 @@ def rule_documents(spark, d):
 @query()
 def term_cosine_topk(spark, d):
     """Each distinct set of types is compared once, however many documents share it."""
-    texts = (
-        comply.query_text(sets(spark, d))
-        .filter(F.col("query_text").isNotNull())
-        .select(F.array_join("entity_types", ", ").alias("query_id"), F.col("query_text").alias("text"))
-        .distinct()
+    texts = comply.query_text(comply.distinct_sets(sets(spark, d))).select(
+        F.array_join("entity_types", ", ").alias("query_id"), F.col("query_text").alias("text")
     )
     rules = rl.rule_documents(rl.rules_source(spark)).select(F.col("id").alias("rule_id"), "document")
     return comply.term_cosine_topk(texts, rules, vocab.TOP_RULES)
