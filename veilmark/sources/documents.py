@@ -48,7 +48,10 @@ def decode_text(content):
 
 
 def text_file_source(spark, path, **options):
-    """Text files as (path, text, warnings); other files get a warning, no text."""
+    """Text files as (path, text, warnings); other files get a warning, no text.
+
+    Files of length zero give no row: Spark's file sources leave them out.
+    """
     files = spark.read.format("binaryFile").options(**options).load(path)
     routed = route_by_extension(files, "path")
     is_text = F.col("route") == "text"
