@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import BANK, MEDICAL, STAFF, UNICODE
-from veilmark.functions.text import PIECE, splice, splice_right_to_left
+from veilmark.functions.arrays import let
+from veilmark.functions.text import PIECE, pieces, splice, splice_right_to_left
 from veilmark.operators import rewrite
 from veilmark.operators.findings import with_findings
 from veilmark.schemas import HIT
@@ -44,8 +45,9 @@ def test_splicing_equals_list_assignment(spark, overlaps):
             chars[st:en] = list(new)
         expected[i] = "".join(chars)
     df = spark.createDataFrame(rows, f"i INT, text STRING, edits {EDIT}")
-    fn = splice_right_to_left if overlaps else splice
-    got = df.select("i", F.expr(fn("text", "edits")).alias("t")).collect()
+    once = let("p", pieces("text"), splice("p", "edits", "text"))
+    sql = splice_right_to_left("text", "edits") if overlaps else once
+    got = df.select("i", F.expr(sql).alias("t")).collect()
     assert {r.i: r.t for r in got} == expected
     if not overlaps:
         again = df.select("i", F.expr(splice_right_to_left("text", "edits")).alias("t")).collect()

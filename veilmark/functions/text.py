@@ -42,16 +42,16 @@ def cut(parts, start, end):
     return let("_be", f"named_struct('b', {start}, 'e', {end})", body)
 
 
-def splice(text, edits, outside=lambda t: t):
+def splice(parts, edits, text, outside=lambda t: t):
     """Put ``new`` in place of ``[st, en)`` for ordered edits without overlap.
 
-    ``outside`` is applied to the stretches between the edits.
+    ``parts`` are the ``pieces`` of ``text``; ``outside`` is applied to the
+    stretches between the edits.
     """
     begin = "coalesce(get(_ed, _i - 1).en, 0)"
-    head = f"transform(_ed, (_e, _i) -> concat({outside(cut('_parts', begin, '_e.st'))}, _e.new))"
-    tail = outside(cut("_parts", "coalesce(get(_ed, size(_ed) - 1).en, 0)", f"length({text})"))
-    rebuilt = let("_ed", edits, f"concat(array_join({head}, ''), {tail})")
-    return let("_parts", pieces(text), rebuilt)
+    head = f"transform(_ed, (_e, _i) -> concat({outside(cut(parts, begin, '_e.st'))}, _e.new))"
+    tail = outside(cut(parts, "coalesce(get(_ed, size(_ed) - 1).en, 0)", f"length({text})"))
+    return let("_ed", edits, f"concat(array_join({head}, ''), {tail})")
 
 
 def splice_right_to_left(text, edits):
@@ -68,7 +68,8 @@ def splice_right_to_left(text, edits):
         f"aggregate(reverse(_rl), {text}, "
         "(_t, _e) -> overlay(_t PLACING _e.new FROM _e.st + 1 FOR _e.en - _e.st))"
     )
-    return let("_rl", edits, f"CASE WHEN {clash} THEN {fold} ELSE {splice(text, '_rl')} END")
+    once = let("_parts", pieces(text), splice("_parts", "_rl", text))
+    return let("_rl", edits, f"CASE WHEN {clash} THEN {fold} ELSE {once} END")
 
 
 def find_all(text, pattern, value_group=0, label_group=None):

@@ -105,7 +105,7 @@ def ranked_sql(types, rules):
     )
     tokens = (
         f"filter(transform(regexp_extract_all(lower({query_text_sql('_ty')}), '{TERM}', 0), "
-        f"_t -> named_struct('t', _t, 'v', try_element_at(map({entries}), _t))), "
+        "_t -> named_struct('t', _t, 'v', try_element_at(_vocab, _t))), "
         "_t -> _t.v IS NOT NULL)"
     )
     # A term that occurs n times adds (n x idf)^2, in n parts.
@@ -127,7 +127,9 @@ def ranked_sql(types, rules):
     )
     body = let("_tok", tokens, let("_q", f"named_struct('tok', _tok, 'n', {norm})", best))
     nothing = "cast(array() AS array<struct<rank:int,i:int,relevance:double>>)"
-    return let("_ty", types, f"CASE WHEN size(_ty) > 0 THEN {body} ELSE {nothing} END")
+    ranked = let("_ty", types, f"CASE WHEN size(_ty) > 0 THEN {body} ELSE {nothing} END")
+    # Bound outside of the lambdas, the table is a constant of the plan.
+    return let("_vocab", f"map({entries})", ranked)
 
 
 def matches_sql(ranked, rules, k):
@@ -135,12 +137,13 @@ def matches_sql(ranked, rules, k):
     full = _rule_structs(rules)
     row = let(
         "_f",
-        f"get({full}, _z.i)",
+        "get(_rules, _z.i)",
         "named_struct('rank', _z.rank, 'id', _f.id, 'framework', _f.framework, 'rule', _f.rule, "
         "'description', _f.description, 'entity_types', _f.entity_types, 'risk', _f.risk, "
         "'relevance', _z.relevance)",
     )
-    return f"cast(transform(slice({ranked}, 1, {k}), _z -> {row}) AS array<{MATCH}>)"
+    rows = let("_rules", full, f"transform(slice({ranked}, 1, {k}), _z -> {row})")
+    return f"cast({rows} AS array<{MATCH}>)"
 
 
 def exposure_sql(ranked, rules):
@@ -156,7 +159,7 @@ def exposure_sql(ranked, rules):
     )
     scores = (
         f"transform(filter({ranked}, _z -> _z.rank <= {vocab.EXPOSURE_RULES}), "
-        f"_z -> named_struct('r', get(array({by_rule}), _z.i), 'rel', _z.relevance))"
+        "_z -> named_struct('r', get(_weights, _z.i), 'rel', _z.relevance))"
     )
     worst = (
         "array_max(transform(filter(_sc, _x -> _x.r.fw = _fw), _x -> _x.rel * _x.r.w * 100))"
@@ -171,7 +174,7 @@ def exposure_sql(ranked, rules):
         f"transform(array_sort({rows}), _x -> named_struct('framework', _x.framework, "
         f"'exposure', -_x.neg, 'band', {band_sql('(-_x.neg)')}))"
     )
-    return let("_sc", scores, named)
+    return let("_weights", f"array({by_rule})", let("_sc", scores, named))
 
 
 def band_sql(exposure):

@@ -173,33 +173,42 @@ def by_type(*kinds):
     return [r for r in ALL_LAYERS if r.entity_type in kinds or r.name in kinds]
 
 
-def normalize_label(label):
+# Constant tables.  Spark folds a constant that is an argument of a function, but
+# builds it again on every call inside a lambda.  The scan therefore binds its
+# tables once, outside of all lambdas.
+RENAMES = constant_map(vocab.LABEL_RENAMES)
+
+
+def _category(category, risk, reason):
+    return f"named_struct('category', {category}, 'risk', {risk}, 'reason', {reason})"
+
+
+CATEGORIES = "map({})".format(
+    ", ".join(
+        f"{quoted(kind)}, {_category(*map(quoted, row))}"
+        for kind, row in vocab.CATEGORY_TABLE.items()
+    )
+)
+
+
+def normalize_label(label, renames=RENAMES):
     """Model label to type name: fixed renames, else blanks become ``_``."""
-    renames = constant_map(vocab.LABEL_RENAMES)
     return f"coalesce(try_element_at({renames}, {label}), replace({label}, ' ', '_'))"
 
 
-def category_of(entity_type):
+def category_of(entity_type, table=CATEGORIES):
     """Struct (category, risk, reason) of a type.
 
     The lower-cased name counts if it is listed, else the name as it is; types in
     neither form are "Other".
     """
-
-    def entry(category, risk, reason):
-        return f"named_struct('category', {category}, 'risk', {risk}, 'reason', {reason})"
-
-    table = ", ".join(
-        f"{quoted(kind)}, {entry(*map(quoted, row))}"
-        for kind, row in vocab.CATEGORY_TABLE.items()
-    )
-    other = entry(
+    other = _category(
         *map(quoted, vocab.UNKNOWN_CATEGORY),
         f"concat({quoted(vocab.UNKNOWN_REASON)}, {entity_type})",
     )
     return (
-        f"coalesce(try_element_at(map({table}), lower({entity_type})), "
-        f"try_element_at(map({table}), {entity_type}), {other})"
+        f"coalesce(try_element_at({table}, lower({entity_type})), "
+        f"try_element_at({table}, {entity_type}), {other})"
     )
 
 
@@ -239,10 +248,10 @@ def hits_sql(text, recognizers=None):
     flags = let("_dg", f"rlike({text}, r'(?U)\\d')", three)
     raw_matches = let("_g", flags, f"array({every})")
 
-    label = f"try_element_at({constant_map(FIELD_WORDS)}, lower(_pl.label))"
+    label = "try_element_at(_const.words, lower(_pl.label))"
     locate = (
         f"transform({place('_m.found')}, _pl -> named_struct('rank', _m.rank, "
-        f"'entity_type', coalesce(_m.entity_type, {normalize_label(label)}), "
+        f"'entity_type', coalesce(_m.entity_type, {normalize_label(label, '_const.renames')}), "
         "'score', _m.score, 'source', _m.source, 'st', _pl.st, 'en', _pl.en, "
         "'value', _pl.value))"
     )
@@ -250,12 +259,17 @@ def hits_sql(text, recognizers=None):
     valid = f"filter({placed}, _h -> {_checked('_h', recognizers)})"
     hit = let(
         "_c",
-        category_of("_h.entity_type"),
+        category_of("_h.entity_type", "_const.categories"),
         "named_struct('st', _h.st, 'neg', -_h.score, 'ord', _o, 'en', _h.en, 'sc', _h.score, "
         "'entity_type', _h.entity_type, 'category', _c.category, 'value', _h.value, "
         "'risk', _c.risk, 'source', _h.source, 'reason', _c.reason)",
     )
-    return f"cast(transform({valid}, (_h, _o) -> {hit}) AS array<{HIT}>)"
+    constants = (
+        f"named_struct('words', {constant_map(FIELD_WORDS)}, 'renames', {RENAMES}, "
+        f"'categories', {CATEGORIES})"
+    )
+    every_hit = let("_const", constants, f"transform({valid}, (_h, _o) -> {hit})")
+    return f"cast({every_hit} AS array<{HIT}>)"
 
 
 def find(docs, recognizers=None):

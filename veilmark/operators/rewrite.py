@@ -70,20 +70,25 @@ def _replacement(mode, kind, value):
     )
 
 
-def rewrite_sql(text, hits, mode):
+def spans_sql(text, hits):
+    """The spans to rewrite, in order: none inside another, neighbours merged."""
+    return let("_src", pieces(text), merge_adjacent("_src", drop_contained(hits)))
+
+
+def rewrite_sql(text, hits, mode, spans=None):
     """The text with every finding rewritten.
 
     Where two findings of different types overlap, the left one ends at the start
     of the right one, so both replacements appear and nothing shows through.
+    ``spans`` names a column that already holds ``spans_sql``.
     """
     if mode not in vocab.REWRITE_MODES:
         raise ValueError(f"unknown rewrite mode {mode!r}, expected one of {vocab.REWRITE_MODES}")
     end = "least(_sp.en, coalesce(get(_all, _j + 1).st, _sp.en))"
     new = _replacement(mode, "_sp.entity_type", cut("_src", "_sp.st", end))
     edits = f"transform(_all, (_sp, _j) -> named_struct('st', _sp.st, 'en', {end}, 'new', {new}))"
-    merged = merge_adjacent("_src", drop_contained(hits))
-    body = let("_all", merged, splice(text, edits))
-    changed = let("_src", pieces(text), body)
+    merged = spans or merge_adjacent("_src", drop_contained(hits))
+    changed = let("_src", pieces(text), let("_all", merged, splice("_src", edits, text)))
     return f"CASE WHEN coalesce(size({hits}), 0) <= 0 THEN {text} ELSE {changed} END"
 
 
@@ -132,7 +137,8 @@ def _marked(text, hits, span, before, plain_before, after, quotes, escape_all):
             f"transform(_mm, (_h, _i) -> named_struct('st', _h.st, 'en', "
             "least(_h.en, coalesce(get(_mm, _i + 1).st, _h.en)), 'new', _h.new))"
         )
-        body = let("_mm", mark, splice(text, kept, lambda t: escape_html(t, quotes)))
+        whole = splice("_src", kept, text, lambda t: escape_html(t, quotes))
+        body = let("_src", pieces(text), let("_mm", mark, whole))
     else:
         body = splice_right_to_left(text, mark)
     return (

@@ -31,14 +31,14 @@ def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognize
     )
     ranked = found.withColumn("summary", F.expr(summary_of("findings"))).withColumn(
         "ranked", F.expr(comply.ranked_sql(entity_set_of("findings"), listed))
-    )
+    ).withColumn("spans", F.expr(rewrite.spans_sql("text", "findings")))
     rewritten = ranked.select(
         "*",
         F.expr(comply.matches_sql("ranked", listed, vocab.TOP_RULES)).alias("compliance_rules"),
         F.expr(comply.exposure_sql("ranked", listed)).alias("compliance_exposure"),
-        F.expr(rewrite.rewrite_sql("text", "findings", mode)).alias(f"{mode}_text"),
+        F.expr(rewrite.rewrite_sql("text", "findings", mode, "spans")).alias(f"{mode}_text"),
         *[
-            F.expr(rewrite.rewrite_sql("text", "findings", m)).alias(f"{m}_text")
+            F.expr(rewrite.rewrite_sql("text", "findings", m, "spans")).alias(f"{m}_text")
             for m in ("redact", "mask")
             if m != mode
         ],

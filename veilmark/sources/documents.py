@@ -13,16 +13,16 @@ def text_source(spark, path):
     return spark.read.parquet(path).select("doc_id", "text")
 
 
-def spread(docs, key="doc_id"):
+def spread(docs):
     """Give every core work when the input has fewer files than cores.
 
     Pattern search is bound by the processor, and one small file is one task.
     Large inputs have more files than cores and stay as they are: no shuffle.
+    Rows are dealt out in turn, not by key, so that copies of one document do not
+    end up in one task.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) >= cores:
-        return docs
-    return docs.repartition(cores, key)
+    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
 
 
 def suffix(name):
