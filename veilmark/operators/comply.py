@@ -74,62 +74,73 @@ def inverse_frequency(n, df):
     return math.log((1 + n) / (1 + df)) + 1
 
 
-def _term_table(rules):
-    """(term -> idf, term -> weight in every rule vector of length one).
+def _type_table(rules):
+    """Per type, in order: (products with every rule vector, products with every type).
 
-    Only terms that a search text can hold are kept; rule vectors have been scaled
-    by all their terms before.
+    A search text is the fixed prefix and the names of its types, so its vector is
+    the sum of theirs.  Its product with a rule is a sum over types, and its squared
+    length a sum over pairs of types.  The prefix comes first, as the type "".
     """
     counts = [Counter(terms_of(rule_text(r))) for r in rules]
     df = Counter(t for c in counts for t in c)
     idf = {t: inverse_frequency(len(rules), n) for t, n in df.items()}
     norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for c in counts]
-    known = set(terms_of(vocab.QUERY_PREFIX + ", ".join(vocab.CATEGORY_TABLE)))
-    known |= {t for r in rules for kind in r["entity_types"] for t in terms_of(kind)}
-    used = sorted(known & set(idf))
-    weights = {t: [c[t] * idf[t] / n for c, n in zip(counts, norms)] for t in used}
-    return {t: idf[t] for t in used}, weights
+    names = sorted(set(vocab.CATEGORY_TABLE) | {k for r in rules for k in r["entity_types"]})
+    parts = {"": Counter(terms_of(vocab.QUERY_PREFIX))}
+    parts.update((name, Counter(terms_of(name))) for name in names)
+    weighted = {
+        name: {t: n * idf[t] for t, n in c.items() if t in idf} for name, c in parts.items()
+    }
+    return {
+        name: (
+            [sum(x * c[t] * idf[t] for t, x in w.items()) / n for c, n in zip(counts, norms)],
+            [sum(x * other.get(t, 0) for t, x in w.items()) for other in weighted.values()],
+        )
+        for name, w in weighted.items()
+    }
 
 
 def ranked_sql(types, rules):
     """All rules for a set of types, best first: array of (rank, i, relevance).
 
     Works on the row's own set, so a set shared by very many documents is never
-    gathered.  Rules without a common term count too, with relevance 0.
+    gathered.  Rules without a common term count too, with relevance 0.  Types that
+    neither the category table nor a rule lists add nothing.
     """
-    idf, weights = _term_table(rules)
-    entries = ", ".join(
-        f"{quoted(t)}, named_struct('idf', {idf[t]!r}D, 'w', "
-        f"array({', '.join(f'{w!r}D' for w in weights[t])}))"
-        for t in idf
+
+    def doubles(values):
+        return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
+
+    table = ", ".join(
+        f"{quoted(name)}, named_struct('i', {i}, 'by_rule', {doubles(by_rule)}, "
+        f"'by_type', {doubles(by_type)})"
+        for i, (name, (by_rule, by_type)) in enumerate(_type_table(rules).items())
     )
-    tokens = (
-        f"filter(transform(regexp_extract_all(lower({query_text_sql('_ty')}), '{TERM}', 0), "
-        "_t -> named_struct('t', _t, 'v', try_element_at(_vocab, _t))), "
-        "_t -> _t.v IS NOT NULL)"
+    parts = (
+        "filter(transform(concat(array(''), _ty), _t -> try_element_at("
+        f"map({table}), _t)), _t -> _t IS NOT NULL)"
     )
-    # A term that occurs n times adds (n x idf)^2, in n parts.
-    norm = (
-        "sqrt(aggregate(_tok, 0D, (_s, _u) -> _s + power(_u.v.idf, 2) * "
-        "size(filter(_tok, _y -> _y.t = _u.t))))"
+    square = (
+        "aggregate(_pt, 0D, (_s, _u) -> _s + "
+        "aggregate(_pt, 0D, (_m, _o) -> _m + get(_u.by_type, _o.i)))"
     )
-    total = (
-        f"aggregate(_q.tok, array_repeat(0D, {len(rules)}), "
-        "(_s, _u) -> zip_with(_s, _u.v.w, (_m, _w) -> _m + _u.v.idf * _w))"
+    products = (
+        f"aggregate(_pt, array_repeat(0D, {len(rules)}), "
+        "(_s, _u) -> zip_with(_s, _u.by_rule, (_m, _w) -> _m + _w))"
     )
     scored = (
-        f"transform({total}, (_d, _i) -> named_struct('neg', "
-        f"CASE WHEN _q.n > 0 THEN -round(_d / _q.n, {RANK_DIGITS}) ELSE 0D END, 'i', _i))"
+        "transform(_q.products, (_d, _i) -> named_struct('neg', "
+        f"CASE WHEN _q.square > 0 THEN -round(_d / sqrt(_q.square), {RANK_DIGITS}) ELSE 0D END, "
+        "'i', _i))"
     )
     best = (
         f"transform(array_sort({scored}), (_b, _k) -> named_struct('rank', _k + 1, 'i', _b.i, "
         f"'relevance', round(-_b.neg, {RELEVANCE_DIGITS}) + 0D))"
     )
-    body = let("_tok", tokens, let("_q", f"named_struct('tok', _tok, 'n', {norm})", best))
+    query = f"named_struct('products', {products}, 'square', {square})"
+    body = let("_pt", parts, let("_q", query, best))
     nothing = "cast(array() AS array<struct<rank:int,i:int,relevance:double>>)"
-    ranked = let("_ty", types, f"CASE WHEN size(_ty) > 0 THEN {body} ELSE {nothing} END")
-    # Bound outside of the lambdas, the table is a constant of the plan.
-    return let("_vocab", f"map({entries})", ranked)
+    return let("_ty", types, f"CASE WHEN size(_ty) > 0 THEN {body} ELSE {nothing} END")
 
 
 def matches_sql(ranked, rules, k):
@@ -137,13 +148,12 @@ def matches_sql(ranked, rules, k):
     full = _rule_structs(rules)
     row = let(
         "_f",
-        "get(_rules, _z.i)",
+        f"get({full}, _z.i)",
         "named_struct('rank', _z.rank, 'id', _f.id, 'framework', _f.framework, 'rule', _f.rule, "
         "'description', _f.description, 'entity_types', _f.entity_types, 'risk', _f.risk, "
         "'relevance', _z.relevance)",
     )
-    rows = let("_rules", full, f"transform(slice({ranked}, 1, {k}), _z -> {row})")
-    return f"cast({rows} AS array<{MATCH}>)"
+    return f"cast(transform(slice({ranked}, 1, {k}), _z -> {row}) AS array<{MATCH}>)"
 
 
 def exposure_sql(ranked, rules):
@@ -159,7 +169,7 @@ def exposure_sql(ranked, rules):
     )
     scores = (
         f"transform(filter({ranked}, _z -> _z.rank <= {vocab.EXPOSURE_RULES}), "
-        "_z -> named_struct('r', get(_weights, _z.i), 'rel', _z.relevance))"
+        f"_z -> named_struct('r', get(array({by_rule}), _z.i), 'rel', _z.relevance))"
     )
     worst = (
         "array_max(transform(filter(_sc, _x -> _x.r.fw = _fw), _x -> _x.rel * _x.r.w * 100))"
@@ -174,7 +184,7 @@ def exposure_sql(ranked, rules):
         f"transform(array_sort({rows}), _x -> named_struct('framework', _x.framework, "
         f"'exposure', -_x.neg, 'band', {band_sql('(-_x.neg)')}))"
     )
-    return let("_weights", f"array({by_rule})", let("_sc", scores, named))
+    return let("_sc", scores, named)
 
 
 def band_sql(exposure):
