@@ -23,8 +23,17 @@ def q(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-# DuckDB patterns have no look-around, so this one is bounded by words instead.
-PLAIN = {"PHONE_NUMBER_IN": r"\+?\b(?:91[\-\s]?)?[6-9]\d{4}[\-\s]?\d{5}\b"}
+# DuckDB patterns have no look-around.  For the one pattern that needs it, every run
+# of digits is put between two marks, and a plus sign after a digit is replaced, so
+# that "no digit before or after" can be written out.  Marks do not count in lengths.
+DIGIT_MARKS = (
+    "replace(regexp_replace(text, '([0-9]+)', chr(1) || '\\1' || chr(2), 'g'), "
+    "chr(2) || '+', chr(2) || chr(4))"
+)
+_SEP = r"(?:\x02[\-\s]\x01)?"
+PLAIN = {
+    "PHONE_NUMBER_IN": r"(?:\+?\x0191" + _SEP + r"|\x01)[6-9]\d{4}" + _SEP + r"\d{5}\x02"
+}
 
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 _D = f"cast(substr({DIGITS}, j, 1) AS int)"
@@ -101,21 +110,27 @@ def hits(src, recs):
     parts = []
     for pat, r in enumerate(recs):
         p = q(r.pattern)
+        marked = r.kind in PLAIN
+        table = f"(SELECT doc_id, {DIGIT_MARKS} AS text FROM {src})" if marked else src
+
+        def clean(x):
+            return f"replace(replace({x}, chr(1), ''), chr(2), '')" if marked else x
+
         kind = q(r.kind) if r.kind else FIELD_TYPE
         parts.append(f"""
 SELECT doc_id, {kind} AS entity_type, value, en - length(value) AS st, en,
   cast({r.score} AS double) AS sc, '{r.source}' AS source, {pat} AS pat, i
 FROM (
-  SELECT doc_id, v[i] AS value, lab[i] AS label, i,
-    cast(list_sum(list_transform(s[1:i], lambda x: length(x)))
-      + list_sum(list_transform(m[1:i], lambda x: length(x))) AS bigint) AS en
+  SELECT doc_id, {clean('v[i]')} AS value, lab[i] AS label, i,
+    cast(list_sum(list_transform(s[1:i], lambda x: length({clean('x')})))
+      + list_sum(list_transform(m[1:i], lambda x: length({clean('x')}))) AS bigint) AS en
   FROM (
     SELECT *, unnest(range(1, len(m) + 1)) AS i
     FROM (
       SELECT doc_id, regexp_extract_all(text, {p}, 0) AS m,
         regexp_extract_all(text, {p}, {r.group}) AS v,
         regexp_extract_all(text, {p}, {r.label}) AS lab, string_split_regex(text, {p}) AS s
-      FROM {src} WHERE regexp_matches(text, {p}))))
+      FROM {table} WHERE regexp_matches(text, {p}))))
 WHERE {r.check}""")
     return "SELECT * FROM (" + "\nUNION ALL ".join(f"({p})" for p in parts) + ")"
 
