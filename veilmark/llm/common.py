@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -33,7 +34,7 @@ def slices(batches):
         if not size:
             continue
         lengths = batch.column(batch.schema.get_field_index("text"))
-        lengths = [0 if n is None else n for n in pa.compute.binary_length(lengths).to_pylist()]
+        lengths = [0 if n is None else n for n in pc.binary_length(lengths).to_pylist()]
         while start < size:
             stop, total = start, 0
             while stop < size and stop - start < SLICE_ROWS and (stop == start or total + lengths[stop] <= SLICE_BYTES):
