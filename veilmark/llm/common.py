@@ -57,11 +57,12 @@ def raw_texts(batch):
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
-def per_text(docs, per_slice, columns, keep=("doc_id",)):
+def per_text(docs, per_slice, columns, keep=("doc_id",), reads=()):
     """Append ``columns`` (a DDL string) computed per text to the kept columns.
 
     ``per_slice`` is a function of a batch that returns one Arrow array for each of the
-    new columns; it runs inside Spark's tasks on slices of bounded size.
+    new columns; it runs inside Spark's tasks on slices of bounded size.  ``reads`` names further
+    columns that it needs.
     """
     added = StructType.fromDDL(columns)
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + added.fields)
@@ -72,7 +73,7 @@ def per_text(docs, per_slice, columns, keep=("doc_id",)):
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays(arrays + list(per_slice(batch)), names=names)
 
-    needed = kept if "text" in kept else [*kept, "text"]
+    needed = list(dict.fromkeys([*kept, "text", *reads]))
     return docs.select(*needed).mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe
+from veilmark.llm import bpe, decontaminate, near_dedup, pii, quality
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -38,3 +38,34 @@ def bpe_digest(docs):
 @query
 def op1_bpe(spark, d):
     return bpe_digest(table(spark, d, "documents"))
+
+
+@query
+def op2_decontaminate(spark, d):
+    found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x["item_id"].cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op4_quality(spark, d):
+    return quality.assess(table(spark, d, "documents"), with_text=False)
+
+
+@query
+def op5_pii(spark, d):
+    docs = table(spark, d, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
+@query
+def op7_near_dedup(spark, d):
+    return near_dedup.near_duplicates(table(spark, d, "documents"), percent=85)
