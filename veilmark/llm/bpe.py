@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import per_text, pick, texts
 
 #: Entries of a worker's caches; when one is full it starts anew.
-CACHE = 600_000
+CACHE = 300_000
 #: Longest piece, in bytes, whose prefixes are kept in the shared table.
 SHARED = 48
 
