@@ -7,7 +7,7 @@ CRF then looks at the places with digits or address signs: every run of tokens u
 over the places chooses boundaries and types jointly.  Its spans are added where no base
 span stands; base spans always stay.
 
-The weights are fitted by conditional likelihood on a bounded sample of documents: base
+The weights are fitted by conditional likelihood on a bounded sample of stretches: base
 spans are the labels, and each also appears with other separators, without its plus sign
 or with its signs spelled out, so that forms beyond the base patterns are learned.
 
@@ -38,8 +38,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Documents of the sample that the weights are fitted on.
-SAMPLE = 3000
+#: Stretches of text around base spans that the weights are fitted on.
+SAMPLE = 2000
 #: Longest candidate span in tokens, and characters around a seed that are looked at.
 MAX_TOKENS = 24
 AROUND = 48
@@ -342,11 +342,8 @@ def training(text, rng):
 
 
 def fit(docs, sample=SAMPLE, id_col="doc_id", text_col="text"):
-    """Weights from a sample: of the documents with base spans the ``sample`` first by the
-    hash of their text.  Only stretches around the spans leave the tasks."""
-    rows = pick(docs, id_col, text_col)
-    likely = rows.where(F.col("text").contains("@") | F.col("text").rlike("[0-9]{3}"))
-    chosen = likely.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample).select("text")
+    """Weights from a sample of the stretches around base spans: the ``sample`` first by
+    the hash of the stretch, so that the choice is the same however the rows lie."""
 
     def run(batches):
         for batch in slices(batches):
@@ -356,9 +353,10 @@ def fit(docs, sample=SAMPLE, id_col="doc_id", text_col="text"):
                     cut.append(text[max(0, start - AROUND) : end + AROUND])
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["text"])
 
-    stretches = sorted(r.text for r in chosen.mapInArrow(run, "text STRING").collect())
+    found = pick(docs, id_col, text_col).select("text").mapInArrow(run, "text STRING").where("length(text) < 1000")
+    chosen = found.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample)
     rng = random.Random(11)
-    sequences = [s for text in stretches[: 2 * sample] for s in training(text, rng)]
+    sequences = [s for row in chosen.collect() for s in training(row.text, rng)]
     return SemiMarkov().fit(sequences).weights
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, decontaminate, near_dedup, pii, quality
+from veilmark.llm import bpe, decontaminate, langid, near_dedup, pii, quality, secrets, toxicity, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -69,3 +69,42 @@ def op5_pii(spark, d):
 @query
 def op7_near_dedup(spark, d):
     return near_dedup.near_duplicates(table(spark, d, "documents"), percent=85)
+
+
+@query
+def op6_warc(spark, d):
+    found = warc.round_trip(table(spark, d, "pages"))
+    return found.where("error is null").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def remainder(column, divisor):
+    """crc32 of an id as text, modulo; null for a null id."""
+    return F.crc32(F.col(column).cast("string")) % divisor
+
+
+@query
+def op8_langid(spark, d):
+    docs = table(spark, d, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op9_secrets(spark, d):
+    docs = table(spark, d, "documents")
+    found = secrets.detect(docs, secrets.identifiers(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op10_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    lexicon = toxicity.fit(docs, table(spark, d, "labels").where(remainder("doc_id", 5) != 0))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
