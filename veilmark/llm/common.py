@@ -97,7 +97,7 @@ def table_bytes(frame):
     return int(str(plan.stats().sizeInBytes()))
 
 
-def small_side(frame, limit=32 << 20):
+def small_side(frame, limit=16 << 20):
     """A written table with the broadcast hint if its files are within ``limit`` bytes;
     beyond it Spark joins by shuffle."""
     return F.broadcast(frame) if table_bytes(frame) <= limit else frame

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, decontaminate, langid, near_dedup, pii, quality, secrets, toxicity, warc
+from veilmark.llm import bpe, decontaminate, langid, lm, near_dedup, pii, quality, secrets, toxicity, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -52,6 +52,11 @@ def op2_decontaminate(spark, d):
     )
 
 
+@query
+def op3_lm_score(spark, d):
+    return lm.score(table(spark, d, "documents"))
+
+
 @query
 def op4_quality(spark, d):
     return quality.assess(table(spark, d, "documents"), with_text=False)
