@@ -19,7 +19,7 @@ def quoted(value):
 
 def raw(pattern):
     """A literal whose backslashes stand for themselves, for patterns."""
-    return f"r'{pattern}'"
+    return f'r"{pattern}"' if "'" in pattern else f"r'{pattern}'"
 
 
 def let(name, value, body):

@@ -19,7 +19,7 @@ from veilmark.operators.recognize import (
     inline_hits,
     is_denied,
 )
-from veilmark.schemas import FINDING_COLUMNS, HIT
+from veilmark.schemas import FINDING_COLUMNS, HIT, LAYER_SPAN, LAYERS
 
 
 # ---- in-row forms ---------------------------------------------------------
@@ -51,8 +51,11 @@ def resolve_hits(hits, ddl=HIT):
     return scan(f"array_sort({hits})", zero, step, ddl, last)
 
 
-def detect_sql(text, recognizers=None):
-    """Findings of one text: recognize, drop denied and Other, resolve overlaps."""
+def detect_sql(text, recognizers=None, more=None):
+    """Findings of one text: recognize, drop denied and Other, resolve overlaps.
+
+    ``more`` names a column of further hits, from ``attach_findings``.
+    """
     wanted = ALL_LAYERS if recognizers is None else recognizers
     # A type outside the category table could only be dropped again.
     wanted = [
@@ -60,25 +63,66 @@ def detect_sql(text, recognizers=None):
         if r.entity_type is None
         or {r.entity_type, r.entity_type.lower()} & set(vocab.CATEGORY_TABLE)
     ]
-    return resolve_hits(keep_listed(hits_sql(text, wanted)))
+    hits = hits_sql(text, wanted)
+    return resolve_hits(keep_listed(f"concat({hits}, {more})" if more else hits))
+
 
+def with_findings(docs, recognizers=None, text="text", more=()):
+    """Add the column ``hits``: the resolved findings, in order of position.
 
-def with_findings(docs, recognizers=None, text="text"):
-    """Add the column ``hits``: the resolved findings, in order of position."""
-    return docs.withColumn("hits", F.expr(detect_sql(text, recognizers)))
+    ``more`` holds findings tables from joins, as for ``detect``.
+    """
+    if not more:
+        return docs.withColumn("hits", F.expr(detect_sql(text, recognizers)))
+    joined = attach_findings(docs, reduce(lambda a, b: a.unionByName(b), map(in_order, more)), "_more")
+    return joined.withColumn("hits", F.expr(detect_sql(text, recognizers, "_more"))).drop("_more")
 
 
 def detect(docs, recognizers=None, more=()):
     """Table of findings of every document.
 
-    ``more`` holds findings tables from joins, in rank order.  Without them the
+    ``more`` holds findings tables from joins; their sources say which layer they are of.
+    Without them the
     scan is one pass with no exchange; with them only findings are shuffled, the
     text stays where it is.
     """
     if not more:
         return inline_hits(docs, detect_sql("text", recognizers))
     own = inline_hits(docs, hits_sql("text", recognizers), order=True)
-    return resolve_overlaps(drop_other(drop_denylisted(union_layers(own, *more))))
+    every = reduce(lambda a, b: a.unionByName(b), [own, *map(in_order, more)])
+    return resolve_overlaps(drop_other(drop_denylisted(every)))
+
+
+def in_order(findings):
+    """A joined findings table with its place in the order of layers, by its source."""
+    if "ord" in findings.columns:
+        return findings.select(*FINDING_COLUMNS, "ord")
+    layer = F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair])[F.col("source")]
+    return findings.select(
+        *FINDING_COLUMNS, (layer * F.lit(LAYER_SPAN) + F.lit(LAYER_SPAN // 2)).cast("long").alias("ord")
+    )
+
+
+def attach_findings(docs, findings, column="more"):
+    """Put a findings table back on its documents, as an array of HIT structs per row.
+
+    Findings are first cut to one per start, as in ``resolve_overlaps``; the text is
+    shuffled once, by its id.
+    """
+    best = (
+        in_order(findings).where("span_end > span_start").groupBy("doc_id", "span_start").agg(
+            F.min(
+                F.struct(
+                    F.col("span_start").alias("st"), (-F.col("score")).alias("neg"), "ord",
+                    F.col("span_end").alias("en"), F.col("score").alias("sc"), "entity_type", "category",
+                    "value", "risk", "source", "reason",
+                )
+            ).alias("h")
+        )
+    )
+    gathered = best.groupBy("doc_id").agg(F.collect_list(F.col("h").cast(HIT)).alias(column))
+    joined = docs.join(gathered, "doc_id", "left")
+    return joined.withColumn(column, F.coalesce(column, F.expr(empty(HIT))))
 
 
 # ---- table forms ----------------------------------------------------------

@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilmark import vocab
-from veilmark.functions.arrays import empty, let, raw
+from veilmark.functions.arrays import empty, let
 from veilmark.functions.text import find_all, pieces, place
 from veilmark.operators.findings import categorize, min_score
 from veilmark.operators.recognize import normalize_label
-from veilmark.schemas import FINDING_COLUMNS
+from veilmark.schemas import FINDING_COLUMNS, LAYER_SPAN
 
-WORD = r"[\p{L}\p{N}]+(?:[_#.'-][\p{L}\p{N}]+)*".replace("'", "’")
-MAX_WORDS = 3
+# Letters with their marks and digits; one of a few signs may join two such runs.
+WORD = r"[\p{L}\p{M}\p{N}]+(?:[_#.'’-][\p{L}\p{M}\p{N}]+)*"
 DICTIONARY_SCORE = 0.85
 GRAM = "struct<st:int,en:int,gram:string>"
 
-# A word in every document would put all its occurrences into one task; each
-# term is kept in this many copies and its occurrences are dealt out to them.
+# Where a dictionary is too large to be broadcast, occurrences of a term are dealt out to
+# this many copies of it, so that a word in every document is no single key.
 SALTS = 16
-
-
-def grams_sql(text):
-    """All runs of one to three words with single spaces between, with offsets."""
-
-    def run(n):
-        words = ", ".join(f"get(_wp, _wi + {j}).value" for j in range(n))
-        spaced = " AND ".join(f"get(_wf.gaps, _wi + {j}) = ' '" for j in range(1, n))
-        row = (
-            f"named_struct('st', _w0.st, 'en', get(_wp, _wi + {n - 1}).en, "
-            f"'gram', concat_ws(' ', {words}))"
-        )
-        return f"CASE WHEN {spaced} AND _wi + {n - 1} < size(_wp) THEN {row} END" if n > 1 else row
-
-    runs = ", ".join(run(n) for n in range(1, MAX_WORDS + 1))
+# Bits of the filter that runs of words must pass before they leave their row.
+FILTER_BITS = 1 << 18
+
+
+def grams_sql(text, longest, passes):
+    """Runs of up to ``longest`` words with single spaces between that pass a test of
+    their text, with offsets."""
+    run = (
+        "transform(sequence(1, least({n}, size(_wp) - _wi)), _k -> named_struct('st', _w0.st, "
+        "'en', get(_wp, _wi + _k - 1).en, 'gram', "
+        "array_join(transform(slice(_wp, _wi + 1, _k), _x -> _x.value), ' ')))"
+    ).format(n=longest)
+    # A run of k words spans their lengths and k - 1 blanks, if there is nothing else between.
+    spaced = "length(_gr.gram) = _gr.en - _gr.st AND NOT exists(slice(_wf.gaps, _wi + 2, _j), _g -> _g <> ' ')"
     grams = (
-        f"flatten(transform(_wp, (_w0, _wi) -> filter(array({runs}), _gr -> _gr IS NOT NULL)))"
+        f"flatten(transform(_wp, (_w0, _wi) -> filter({run}, (_gr, _j) -> {passes('_gr.gram')} AND {spaced})))"
     )
     body = let("_wp", place("_wf"), grams)
     return (
@@ -44,30 +43,64 @@ def grams_sql(text):
     )
 
 
-def find_dictionary(docs, dictionary, salts=SALTS):
+def _terms(dictionary):
+    words = F.regexp_extract_all("term", F.lit(WORD), F.lit(0))
+    return dictionary.select("term", "entity_type", words.alias("words"))
+
+
+def unmatchable_terms(dictionary):
+    """Terms that no text can hold by the word rule: other signs, or several blanks."""
+    return _terms(dictionary).where(~F.coalesce(F.array_join("words", " ") == F.col("term"), F.lit(False))).select(
+        "term", "entity_type"
+    )
+
+
+def find_dictionary(docs, dictionary, salts=SALTS, bits=FILTER_BITS):
     """Findings for terms of ``dictionary`` (term, entity_type), whole words, as written.
 
-    No side is forced to be broadcast: a small dictionary is, by its size, and a
-    large one is joined by a shuffle of word runs with hot terms dealt out.
+    A term may have any number of words; the longest one sets how far runs are looked at.
+    Runs are held against a filter of term hashes inside the row, so only likely ones
+    leave it.  No side is forced to be broadcast: a small dictionary is, by its size, and
+    a large one is joined by a shuffle with hot terms dealt out.
     """
-    grams = docs.select("doc_id", F.inline(F.expr(grams_sql("text")))).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "st"), F.lit(salts)).cast("int")
-    )
-    terms = (
-        dictionary.select(F.col("term").alias("gram"), "entity_type")
-        .distinct()
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    known = _terms(dictionary).where(F.array_join("words", " ") == F.col("term"))
+    place_of = F.pmod(F.xxhash64("term"), F.lit(bits))
+    filled = (
+        known.select(F.floor(place_of / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {bits}) % 64 AS int))").alias("bit"), F.size("words").alias("n"))
+        .groupBy("at").agg(F.bit_or("bit").alias("bit"), F.max("n").alias("n")).collect()
     )
-    hits = grams.join(terms, ["gram", "salt"]).select(
+    longest = max([r.n for r in filled], default=1)
+    bitmap = "map_from_arrays(array({}), array({}))".format(
+        ", ".join(str(r["at"]) for r in filled), ", ".join(f"{r.bit}L" if r.bit > -(2**63) else "shiftleft(1L, 63)" for r in filled)
+    ) if filled else "map(-1, 0L)"
+
+    def passes(gram):
+        place = f"pmod(xxhash64({gram}), {bits})"
+        return (
+            f"shiftrightunsigned(coalesce(try_element_at({bitmap}, cast({place} div 64 AS int)), 0L), "
+            f"cast({place} % 64 AS int)) % 2 <> 0"
+        )
+
+    grams = docs.select("doc_id", F.inline(F.expr(grams_sql("text", longest, passes))))
+    terms = known.select(F.col("term").alias("gram"), "entity_type").distinct()
+    limit = int(docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b"))
+    keys = ["gram"]
+    if not 0 <= int(str(terms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit:
+        keys.append("salt")
+        grams = grams.withColumn("salt", F.pmod(F.xxhash64("doc_id", "st"), F.lit(salts)).cast("int"))
+        terms = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = grams.join(terms, keys).select(
         "doc_id",
         "entity_type",
         F.col("gram").alias("value"),
         F.col("st").alias("span_start"),
         F.col("en").alias("span_end"),
         F.lit(DICTIONARY_SCORE).alias("score"),
-        F.lit("ner").alias("source"),
+        F.lit("rules").alias("source"),
+        # After the recognizers of the layer; of terms that start together the longest first.
+        (F.lit(LAYER_SPAN // 2) - (F.col("en") - F.col("st"))).alias("ord"),
     )
-    return categorize(hits).select(*FINDING_COLUMNS)
+    return categorize(hits).select(*FINDING_COLUMNS, "ord")
 
 
 def chunk_text(docs, size=vocab.NER_CHUNK_CHARS):

@@ -16,7 +16,7 @@ from veilmark import vocab
 from veilmark.functions import checks
 from veilmark.functions.arrays import constant_map, let, quoted, text_list
 from veilmark.functions.text import find_all, place, strip
-from veilmark.schemas import HIT
+from veilmark.schemas import HIT, LAYER_SPAN, LAYERS
 
 UNICODE = "(?iU)"
 
@@ -79,14 +79,33 @@ REGEX_LAYER = [
 ]
 
 # What may stand between a label and its number: "no", "number" and separators.
-_LABEL_TAIL = r"(?: no\.?| number)?[ :#]{1,3}"
+_LABEL_TAIL = r"(?: no\.?| number)?[ :#]+"
 _MONTHS = (
     "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|"
     "Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 )
 
+
+
+def _iban_pattern():
+    """Country, check digits and as many characters as the country has, in fours or not."""
+    by_length = {}
+    for country, length in vocab.IBAN_LENGTHS.items():
+        by_length.setdefault(length, []).append(country)
+    forms = []
+    for length, countries in sorted(by_length.items()):
+        fours, rest = divmod(length - 4, 4)
+        tail = rf" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{'|'.join(countries)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    return rf"\b(?:{'|'.join(forms)})\b"
+
+
 RULES_PATTERNS = {
-    "email": r"\b[A-Z0-9._%+-]{1,64}@(?:[A-Z0-9-]{1,63}\.)+[A-Z]{2,24}\b",
+    # Read each run of address characters once: begin where it begins, give nothing back.
+    "email": (
+        r"(?<![A-Z0-9._%+-])[.%+-]*+([A-Z0-9_][A-Z0-9._%+-]*+@(?:[A-Z0-9-]+\.)+"
+        r"(?:XN--[A-Z0-9-]*[A-Z0-9]|[A-Z]{2,}))\b"
+    ),
     "phone": (
         r"(?:\+?\b1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|\b[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}\b"
     ),
@@ -103,10 +122,10 @@ RULES_PATTERNS = {
     ),
     "medical_license": r"\b(?:DEA|medical licen[sc]e)" + _LABEL_TAIL + r"([A-Z][A-Z9][0-9]{7})\b",
     "bank_number": r"\b(?:account|acct)" + _LABEL_TAIL + r"([0-9]{8,17})\b",
+    # Nineteen digits in groups of four: one group more than the other forms have.
+    "card_long": r"\b(?:[0-9]{4}[ -]){4}[0-9]{1,3}\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{3,6}){2,3}\b",
-    "iban": (
-        r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b"
-    ),
+    "iban": _iban_pattern(),
 }
 
 
@@ -117,7 +136,7 @@ def _rule(name, kind, score, guard="digits", group=0, check=None, flags=UNICODE)
 
 
 RULES_LAYER = [
-    _rule("email", "EMAIL_ADDRESS", 1.0, "at"),
+    _rule("email", "EMAIL_ADDRESS", 1.0, "at", 1),
     _rule("phone", "PHONE_NUMBER", 0.75),
     _rule("phone_abroad", "PHONE_NUMBER", 0.75, "plus"),
     _rule("ssn", "US_SSN", 0.85, check=checks.ssn_ok),
@@ -129,8 +148,9 @@ RULES_LAYER = [
     _rule("ipv6", "IP_ADDRESS", 0.95, "colons", check=checks.ip_ok),
     _rule("medical_license", "MEDICAL_LICENSE", 1.0, "medical", 1, checks.provider_ok),
     _rule("bank_number", "US_BANK_NUMBER", 0.5, "acc", 1),
+    _rule("card_long", "CREDIT_CARD", 1.0, check=checks.card_ok),
     _rule("card", "CREDIT_CARD", 1.0, check=checks.card_ok),
-    _rule("iban", "IBAN_CODE", 1.0, check=checks.iban_ok, flags="(?U)"),
+    _rule("iban", "IBAN_CODE", 1.0, "digit", check=checks.iban_ok, flags="(?U)"),
 ]
 
 # Words that open a labelled field, and the model label each stands for.
@@ -155,8 +175,13 @@ FIELD_WORDS = {
     "treatment": "treatment",
 }
 FIELD_SCORE = 0.9
+_LABELS = "|".join(FIELD_WORDS)
+# A value ends at a bar, bracket, line end or semicolon, at a comma before a blank, and
+# where the next label begins.
+_NEXT = r"(?!\b(?:" + _LABELS + r")[ \t]*[:#])"
 FIELD_PATTERN = (
-    r"\b(" + "|".join(FIELD_WORDS) + r")[ \t]*[:#][ \t]*([^|(\n]*[^|(\s])"
+    r"\b(" + _LABELS + r")[ \t]*[:#][ \t]*"
+    r"((?:" + _NEXT + r"(?:[^|(\n;,]|,(?![ \t\n])))*" + _NEXT + r"[^|(\s;,])"
 )
 LABEL_LAYER = [
     Recognizer(
@@ -230,7 +255,7 @@ def hits_sql(text, recognizers=None):
         found = find_all(text, r.pattern, r.value_group, r.label_group)
         return (
             f"named_struct('rank', {i}, 'entity_type', {kind}, 'score', {r.score}D, "
-            f"'source', '{r.source}', 'found', CASE WHEN _g.{r.guard} THEN {found} END)"
+            f"'source', '{r.source}', 'layer', {LAYERS[r.source] * LAYER_SPAN}L, 'found', CASE WHEN _g.{r.guard} THEN {found} END)"
         )
 
     tests = ", ".join(f"'{g}', {GUARDS[g].format(t=text)}" for g in guards)
@@ -243,7 +268,7 @@ def hits_sql(text, recognizers=None):
     locate = (
         f"transform({place('_m.found')}, _pl -> named_struct('rank', _m.rank, "
         f"'entity_type', coalesce(_m.entity_type, {normalize_label(label)}), "
-        "'score', _m.score, 'source', _m.source, 'st', _pl.st, 'en', _pl.en, "
+        "'score', _m.score, 'source', _m.source, 'layer', _m.layer, 'st', _pl.st, 'en', _pl.en, "
         "'value', _pl.value))"
     )
     placed = f"flatten(transform(filter({raw_matches}, _m -> _m.found IS NOT NULL), _m -> {locate}))"
@@ -251,7 +276,7 @@ def hits_sql(text, recognizers=None):
     hit = let(
         "_c",
         category_of("_h.entity_type"),
-        "named_struct('st', _h.st, 'neg', -_h.score, 'ord', _o, 'en', _h.en, 'sc', _h.score, "
+        "named_struct('st', _h.st, 'neg', -_h.score, 'ord', _h.layer + _o, 'en', _h.en, 'sc', _h.score, "
         "'entity_type', _h.entity_type, 'category', _c.category, 'value', _h.value, "
         "'risk', _c.risk, 'source', _h.source, 'reason', _c.reason)",
     )

@@ -61,7 +61,7 @@ def _replacement(mode, kind, value):
         shown = " ".join(f"WHEN {quoted(k)} THEN {n}" for k, n in vocab.MASK_CHARS.items())
         return let(
             "_mk",
-            f"named_struct('v', {value}, 'n', CASE {kind} {shown} ELSE {vocab.MASK_ALL} END)",
+            f"named_struct('v', {value}, 'n', CASE {kind} {shown} ELSE length({value}) END)",
             "concat(repeat('*', least(_mk.n, length(_mk.v))), substring(_mk.v, _mk.n + 1))",
         )
     return (
@@ -80,14 +80,18 @@ def rewrite_sql(text, hits, mode, spans=None):
 
     Where two findings of different types overlap, the left one ends at the start
     of the right one, so both replacements appear and nothing shows through.
-    ``spans`` names a column that already holds ``spans_sql``.
+    ``spans`` names a column that already holds ``spans_sql``; masking does not use it.
     """
     if mode not in vocab.REWRITE_MODES:
         raise ValueError(f"unknown rewrite mode {mode!r}, expected one of {vocab.REWRITE_MODES}")
     end = "least(_sp.en, coalesce(get(_all, _j + 1).st, _sp.en))"
     new = _replacement(mode, "_sp.entity_type", cut("_src", "_sp.st", end))
     edits = f"transform(_all, (_sp, _j) -> named_struct('st', _sp.st, 'en', {end}, 'new', {new}))"
-    merged = spans or merge_adjacent("_src", drop_contained(hits))
+    if mode == "mask":
+        # Each finding shows its own tail, so neighbours are masked one by one.
+        merged = drop_contained(hits)
+    else:
+        merged = spans or merge_adjacent("_src", drop_contained(hits))
     changed = let("_src", pieces(text), let("_all", merged, splice("_src", edits, text)))
     return f"CASE WHEN coalesce(size({hits}), 0) <= 0 THEN {text} ELSE {changed} END"
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from veilmark import vocab
 from veilmark.functions.text import is_blank
 from veilmark.operators import comply, report, rewrite
-from veilmark.operators.findings import detect_sql, entity_set_of, summary_of
+from veilmark.operators.findings import detect_sql, entity_set_of, summary_of, with_findings
 from veilmark.sources.rules import rule_list
 
 
-def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognizers=None):
+def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognizers=None, more=()):
     """Findings, counts, rules, exposure, rewritten and marked-up text per document.
 
     ``docs`` (doc_id, text and optionally warnings).  Every column is computed from
     its own row: the plan has no exchange, so it runs at the speed of the scan.
-    Blank texts get the empty result; a null text counts as blank.
+    Blank texts get the empty result; a null text counts as blank.  With ``more``, findings
+    tables from joins, these are put on their documents first: one exchange by id.
     """
     listed = rule_list(rules)
     warnings = F.col("warnings") if "warnings" in docs.columns else F.array().cast("array<string>")
@@ -26,7 +27,9 @@ def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognize
         F.expr(f"NOT ({is_blank('text')})").alias("has_text"),
         warnings.alias("warnings"),
     )
-    found = found.withColumn(
+    found = with_findings(
+        found.withColumn("scanned", F.expr("CASE WHEN has_text THEN text ELSE '' END")), recognizers, "scanned", more
+    ).withColumnRenamed("hits", "findings") if more else found.withColumn(
         "findings", F.expr(detect_sql("CASE WHEN has_text THEN text ELSE '' END", recognizers))
     )
     ranked = found.withColumn("summary", F.expr(summary_of("findings"))).withColumn(

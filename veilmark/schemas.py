@@ -11,9 +11,12 @@ MODEL_HITS = (
 )
 
 # One finding inside a document row.  Field order is the sort order of the
-# overlap scan: start, falling score, arrival order.
+# overlap scan: start, falling score, arrival order.  The order goes by layer first:
+# rules and names, then labels and models, then regex.
+LAYER_SPAN = 1_000_000_000_000
+LAYERS = {"rules": 0, "ner": 1, "regex": 2}
 HIT = (
-    "struct<st:int,neg:double,ord:int,en:int,sc:double,entity_type:string,"
+    "struct<st:int,neg:double,ord:bigint,en:int,sc:double,entity_type:string,"
     "category:string,value:string,risk:string,source:string,reason:string>"
 )
 HITS = f"array<{HIT}>"

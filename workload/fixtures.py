@@ -63,6 +63,16 @@ SELECT k AS doc_id,
  || {_when("k % 7 = 1", "'Seen March 5, 20' || " + _num("k % 100", 2) + " || ' and 03/1' || cast(k % 10 AS string) || '/1978'")}
  || {_when("k % 8 = 0", "'Abroad: +44 20 7946 0' || " + _num("k % 1000", 3))}
  || {_when("k % 9 = 0", "'Faith and nation: ' || r_name || ' ' || n_name || ', Docker'")}
+ || {_when("k % 11 = 0", "'Gift card: 4539 1488 0343 6460 003 or 4539 1488 0343 6467 123'")}
+ || {_when("k % 11 = 1", "'Mail: ' || repeat('ab', 40) || cast(k AS string) || '@example.org or joe@example.xn--p1ai'")}
+ || {_when("k % 11 = 2", "'Pay BE68 5390 0754 7034 EUR or to ES91 2100 0418 4502 0005 1332 PAID'")}
+ || {_when("k % 11 = 3", "'Account No:     ' || " + _num("k", 8) + " || ' | LC14BOSL123456789012345678901234'")}
+ || {_when("k % 11 = 4", "'Both: 123-45-6789 234-56-7890'")}
+ || {_when("k % 11 = 5", "'Diagnosis: ' || repeat('a long condition ', 70) || 'ends'")}
+ || {_when("k % 11 = 6", "'Patient: Ann Lee, SSN: 234-56-7890, Diagnosis: HIV positive, Salary: $95,000; Treatment: ART'")}
+ || {_when("k % 11 = 7", "'Diagnosis: HIV positive, card 4539148803436467, Treatment: ART Blood Type: AB+'")}
+ || {_when("k % 11 = 8", "'Met Sean O' || chr(39) || 'Brien in the United States of America'")}
+ || {_when("k % 11 = 9", "'Wrote to the New York Times in New York'")}
  AS text
 FROM (SELECT c_custkey AS k, c_name, n_name, r_name FROM customer
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
@@ -97,6 +107,10 @@ SELECT c_name AS term, 'PERSON' AS entity_type FROM customer
 UNION ALL SELECT n_name, 'LOCATION' FROM nation
 UNION ALL SELECT r_name || ' ' || n_name, 'NRP' FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT DISTINCT 'Docker', 'PERSON' FROM region
+UNION ALL SELECT DISTINCT 'Sean O' || chr(39) || 'Brien', 'PERSON' FROM region
+UNION ALL SELECT DISTINCT 'United States of America', 'LOCATION' FROM region
+UNION ALL SELECT DISTINCT 'New York Times', 'PERSON' FROM region
+UNION ALL SELECT DISTINCT 'New York', 'LOCATION' FROM region
 """
 
 # JSON notes on events; a bare card number breaks the JSON once it is replaced.

@@ -1,20 +1,15 @@
 """The registered queries again, as SQL for DuckDB.
 
 Written with joins, windows and recursion over exploded hits, not with the array
-expressions of the library, so that both sides can only agree by being right.
+expressions of the library, and with its own patterns for the rules layer, the labelled
+fields and the word rule.  Shared with the library are fixed tables only: names of types
+and labels, categories, scores, the patterns of the regex layer.
 """
 
 from __future__ import annotations
 
 from veilmark import vocab
-from veilmark.operators.layers import WORD
-from veilmark.operators.recognize import (
-    FIELD_PATTERN,
-    FIELD_SCORE,
-    FIELD_WORDS,
-    RULES_LAYER,
-    RULES_PATTERNS,
-)
+from veilmark.operators.recognize import FIELD_WORDS
 from veilmark.sources.rules import packaged_rules
 from workload import fixtures as fx
 
@@ -66,7 +61,7 @@ def _n(i):
 
 DEA = f"({_n(3)} + {_n(5)} + {_n(7)} + 2 * ({_n(4)} + {_n(6)} + {_n(8)})) % 10 = {_n(9)}"
 CHECKS = {
-    "card": LUHN, "iban": IBAN, "ssn": SSN, "ipv4": IPV4, "ipv6": IPV6,
+    "card": LUHN, "card_long": LUHN, "iban": IBAN, "ssn": SSN, "ipv4": IPV4, "ipv6": IPV6,
     "medical_license": DEA, "driver_license": "regexp_matches(value, '[0-9]')",
 }
 
@@ -89,15 +84,52 @@ class Rec:
         self.source, self.group, self.label, self.check = source, group, label, check
 
 
+# The rules layer in words of its own: (name, type, pattern, score, group).
+_AREA, _TAIL = r"[2-9]\d\d", r"\d\d\d[ .\-]\d\d\d\d"
+_SEPARATED = r"(?: (?:no\.?|number))?(?: |:|#)+"
+_MONTH = "(?:" + "|".join(
+    "January Jan February Feb March Mar April Apr May June Jun July Jul August Aug September Sept Sep "
+    "October Oct November Nov December Dec".split()
+) + ")"
+_HEX = "[0-9a-f]{1,4}"
+_IBANS = "|".join(
+    cc + r"\d\d" + r" ?[A-Z\d]{4}" * ((n - 4) // 4) + (" ?" + r"[A-Z\d]" * ((n - 4) % 4) if n % 4 else "")
+    for cc, n in vocab.IBAN_LENGTHS.items()
+)
 RULES = [
+    Rec(name, kind, ("" if name == "iban" else "(?i)") + pattern, score, "rules", group, 0, CHECKS.get(name, "true"))
+    for name, kind, pattern, score, group in [
+        ("email", "EMAIL_ADDRESS", r"\b[\w.%+\-]+@(?:[a-z\d\-]+\.)+(?:xn--[a-z\d\-]*[a-z\d]|[a-z][a-z]+)\b", 1.0, 0),
+        ("phone", "PHONE_NUMBER", rf"(?:(?:\+|\+\b|\b)1[ .\-]?)?(?:\({_AREA}\)[ .\-]?|\b{_AREA}[ .\-]){_TAIL}\b", 0.75, 0),
+        ("phone_abroad", "PHONE_NUMBER", r"\+[1-9]\d?\d?[ .\-]\d{2,4}(?:[ .\-]\d{3,4}){2}\b", 0.75, 0),
+        ("ssn", "US_SSN", r"\b\d\d\d-\d\d-\d\d\d\d\b", 0.85, 0),
+        ("driver_license", "US_DRIVER_LICENSE", rf"\b(?:dl|driver.?s? license|driver.?s? licence){_SEPARATED}([a-z\d]{{6,14}})\b", 0.6, 1),
+        ("passport", "US_PASSPORT", rf"\bpassport{_SEPARATED}((?:[a-z]|)\d{{7,9}})\b", 0.6, 1),
+        ("date", "DATE_TIME", r"\b(?:\d{4}(?:-\d\d){2}|(?:\d\d?/){2}\d{2,4})\b", 0.6, 0),
+        ("date_in_words", "DATE_TIME", rf"\b{_MONTH}(?:\.|) \d\d?(?:,|) \d{{4}}\b", 0.6, 0),
+        ("ipv4", "IP_ADDRESS", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.95, 0),
+        ("ipv6", "IP_ADDRESS", rf"\b{_HEX}(?::{_HEX}){{7}}\b|\b(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}\b", 0.95, 0),
+        ("medical_license", "MEDICAL_LICENSE", rf"\b(?:dea|medical license|medical licence){_SEPARATED}([a-z][a-z9]\d{{7}})\b", 1.0, 1),
+        ("bank_number", "US_BANK_NUMBER", rf"\b(?:account|acct){_SEPARATED}(\d{{8,17}})\b", 0.5, 1),
+        ("card_long", "CREDIT_CARD", r"\b\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d\d?\d?\b", 1.0, 0),
+        ("card", "CREDIT_CARD", r"\b\d{4}(?:[ \-]?\d{3,6})(?:[ \-]?\d{3,6})(?:[ \-]?\d{3,6})?\b", 1.0, 0),
+        ("iban", "IBAN_CODE", rf"\b(?:{_IBANS})\b", 1.0, 0),
+    ]
+]
+
+# Labelled fields: a mark before each label and in place of each comma before white space
+# ends a value.
+_LABEL_WORDS = "|".join(FIELD_WORDS)
+FIELD_MARKS = (
+    "regexp_replace(regexp_replace(text, ',([ \t\n])', chr(5) || '\\1', 'g'), "
+    f"'(?i)(\\b(?:{_LABEL_WORDS})[ \t]*[:#])', chr(1) || '\\1', 'g')"
+)
+FIELDS = [
     Rec(
-        r.name, r.entity_type,
-        ("" if r.name == "iban" else "(?i)") + RULES_PATTERNS[r.name],
-        r.score, "rules", r.value_group, 0, CHECKS.get(r.name, "true"),
+        "fields", None,
+        rf"(?i)\x01({_LABEL_WORDS})[ \t]*[:#][ \t]*([^|(\n;\x01\x05]*[^|(\s;,\x01\x05])", 0.9, "ner", 2, 1,
     )
-    for r in RULES_LAYER
 ]
-FIELDS = [Rec("fields", None, "(?i)" + FIELD_PATTERN, FIELD_SCORE, "ner", 2, 1)]
 REGEX = [
     Rec(kind.lower(), kind, "(?i)" + PLAIN.get(kind, p), vocab.REGEX_SCORE, "regex")
     for kind, p in vocab.REGEX_PATTERNS.items()
@@ -110,8 +142,9 @@ def hits(src, recs):
     parts = []
     for pat, r in enumerate(recs):
         p = q(r.pattern)
-        marked = r.kind in PLAIN
-        table = f"(SELECT doc_id, {DIGIT_MARKS} AS text FROM {src})" if marked else src
+        marked = r.kind in PLAIN or r.name == "fields"
+        marks = FIELD_MARKS if r.name == "fields" else DIGIT_MARKS
+        table = f"(SELECT doc_id, {marks} AS text FROM {src})" if marked else src
 
         def clean(x):
             return f"replace(replace({x}, chr(1), ''), chr(2), '')" if marked else x
@@ -171,9 +204,16 @@ def source(name, sql):
     return f"{name} AS MATERIALIZED ({sql})"
 
 
+# Rules and names first, then labels and models, then regex; inside, as recognizers stand.
+ARRIVAL = (
+    "(CASE source WHEN 'rules' THEN 0 WHEN 'ner' THEN 1 ELSE 2 END) * 1000000000000 "
+    "+ cast(pat AS bigint) * 100000000 + i"
+)
+
+
 def found_ctes(src_sql, recs=ALL, more=""):
     """CTEs src and found: the full detection on (doc_id, text)."""
-    rows = f"SELECT *, cast(pat AS bigint) * 100000000 + i AS n FROM ({hits('src', recs)}) {more}"
+    rows = f"SELECT *, {ARRIVAL} AS n FROM ({hits('src', recs)} {more})"
     kept = (
         f"SELECT * FROM ({categorized(rows)}) "
         f"WHERE lower(trim(value, ' ' || chr(9) || chr(10) || chr(13))) NOT IN {DENIED} "
@@ -215,7 +255,9 @@ for name, src_sql, recs in [
     ("find_email", DOCS, ["email"]),
     ("find_phone", DOCS, ["phone", "phone_abroad"]),
     ("find_ip", DOCS, ["ipv4", "ipv6"]),
-    ("find_card", DOCS, ["card"]),
+    ("find_card", DOCS, ["card_long", "card"]),
+    ("find_card_dossier", fx.DOSSIER, ["card_long", "card"]),
+    ("find_email_dossier", fx.DOSSIER, ["email"]),
     ("find_ssn", fx.MEMO, ["ssn"]),
     ("find_driver_license", fx.DOSSIER, ["driver_license"]),
     ("find_passport", fx.DOSSIER, ["passport"]),
@@ -229,36 +271,38 @@ for name, src_sql, recs in [
     register(name, find_query(src_sql, [BY_NAME[n] for n in recs]))
 register("find_fields", find_query(fx.DOSSIER, FIELDS))
 
-# Words with offsets, then runs of one to three words that a single blank joins.
+# Words with offsets, then runs of words that single blanks join, grown by recursion as
+# long as some term goes on.
+_SIGN = r"[\pL\pM\pN]"
+_OWN_WORD = _SIGN + "+(?:[-_#.’'" + "]" + _SIGN + "+)*"
 _TOKENS = f"""
-tok AS (
+tok AS MATERIALIZED (
   SELECT doc_id, value, i, gap,
     cast(sum(length(gap) + length(value)) OVER (PARTITION BY doc_id ORDER BY i) AS bigint) AS en
   FROM (
     SELECT doc_id, m[i] AS value, s[i] AS gap, i
     FROM (
       SELECT *, unnest(range(1, len(m) + 1)) AS i
-      FROM (SELECT doc_id, regexp_extract_all(text, {q(WORD)}, 0) AS m,
-              string_split_regex(text, {q(WORD)}) AS s FROM src))))"""
+      FROM (SELECT doc_id, regexp_extract_all(text, {q(_OWN_WORD)}, 0) AS m,
+              string_split_regex(text, {q(_OWN_WORD)}) AS s FROM src))))"""
 _RUNS = """
+begun AS (SELECT DISTINCT array_to_string(string_split(term, ' ')[1:k], ' ') AS head
+  FROM (SELECT term, unnest(range(1, len(string_split(term, ' ')) + 1)) AS k FROM terms)),
 runs AS (
-  SELECT doc_id, value AS gram, en - length(value) AS st, en FROM tok
-  UNION ALL
-  SELECT a.doc_id, a.value || ' ' || b.value, a.en - length(a.value), b.en
-  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.i = a.i + 1 AND b.gap = ' '
+  SELECT doc_id, value AS gram, en - length(value) AS st, en, i FROM tok JOIN begun ON head = value
   UNION ALL
-  SELECT a.doc_id, a.value || ' ' || b.value || ' ' || c.value, a.en - length(a.value), c.en
-  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.i = a.i + 1 AND b.gap = ' '
-  JOIN tok c ON c.doc_id = a.doc_id AND c.i = a.i + 2 AND c.gap = ' ')"""
+  SELECT r.doc_id, r.gram || ' ' || b.value, r.st, b.en, b.i
+  FROM runs r JOIN tok b ON b.doc_id = r.doc_id AND b.i = r.i + 1 AND b.gap = ' '
+  JOIN begun ON head = r.gram || ' ' || b.value)"""
 _NAMED = """
-SELECT doc_id, entity_type, gram AS value, st, en, cast(0.85 AS double) AS sc, 'ner' AS source,
-  1000 AS pat, 0 AS i FROM runs JOIN terms ON gram = term"""
+SELECT doc_id, entity_type, gram AS value, st, en, cast(0.85 AS double) AS sc, 'rules' AS source,
+  900 AS pat, 1000 - (en - st) AS i FROM runs JOIN terms ON gram = term"""
 _DICT = f"{source('terms', fx.TERMS)}, {_TOKENS}, {_RUNS}"
 
 
 def dictionary_query(src_sql):
     return (
-        f"WITH {source('src', src_sql)}, {CATS}, {_DICT} SELECT {FINDING} "
+        f"WITH RECURSIVE {source('src', src_sql)}, {CATS}, {_DICT} SELECT {FINDING} "
         f"FROM ({categorized(_NAMED)})"
     )
 
@@ -328,7 +372,7 @@ _BOTH = ", ".join(
             "found",
             "SELECT * FROM ("
             + categorized(
-                f"SELECT *, cast(pat AS bigint) * 100000000 + i AS n FROM ({hits('src', ALL)} UNION ALL {_NAMED})"
+                f"SELECT *, {ARRIVAL} AS n FROM ({hits('src', ALL)} UNION ALL {_NAMED})"
             )
             + f") WHERE {_TRIM} NOT IN {DENIED} AND category <> 'Other'",
         ),
@@ -484,7 +528,8 @@ def rewritten(mode, found="found", src="src"):
     """Query (doc_id, text) of rewritten texts from found(doc_id, st, en, sc, entity_type)."""
     value = "substring(text, st + 1, cut - st)"
     masked = " ".join(f"WHEN '{k}' THEN {n}" for k, n in vocab.MASK_CHARS.items())
-    shown = f"(CASE entity_type {masked} ELSE 999 END)"
+    shown = f"(CASE entity_type {masked} ELSE length({value}) END)"
+    apart = "true" if mode == "mask" else "false"
     stand_in = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in vocab.STAND_INS.items())
     new = {
         "redact": "'[' || entity_type || ']'",
@@ -499,7 +544,7 @@ outer_spans AS (
       ORDER BY st, en DESC, sc DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach
     FROM {found}) WHERE en > reach),
 flagged AS (
-  SELECT o.*, text, CASE WHEN lag(entity_type) OVER w = entity_type AND (st < lag(en) OVER w OR
+  SELECT o.*, text, CASE WHEN NOT {apart} AND lag(entity_type) OVER w = entity_type AND (st < lag(en) OVER w OR
     regexp_full_match(substring(text, lag(en) OVER w + 1, st - lag(en) OVER w), ' +')) THEN 0 ELSE 1 END AS fresh
   FROM outer_spans o JOIN {src} USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY st)),
 islands AS (
@@ -524,6 +569,7 @@ def rewrite_query(ctes, mode, name, found="found"):
 
 register("redact", rewrite_query(FOUND_MEMO, "redact", "redacted_text"))
 register("mask", rewrite_query(FOUND_MEMO, "mask", "masked_text"))
+register("mask_dossier", rewrite_query(FOUND_DOSSIER, "mask", "masked_text"))
 register("replace_values", rewrite_query(FOUND_DOSSIER, "replace", "replaced_text"))
 register("redact_documents", rewrite_query(FOUND_DOCUMENTS, "redact", "redacted_text"))
 

@@ -79,6 +79,8 @@ for _name, _table, _kinds in [
     ("find_medical_license", dossier, ["MEDICAL_LICENSE"]),
     ("find_bank_number", dossier, ["US_BANK_NUMBER"]),
     ("find_iban", dossier, ["IBAN_CODE"]),
+    ("find_card_dossier", dossier, ["CREDIT_CARD"]),
+    ("find_email_dossier", dossier, ["EMAIL_ADDRESS"]),
 ]:
     _register_find(_name, _table, rc.by_type(*_kinds))
 _register_find("find_rules", memo, rc.RULES_LAYER)
@@ -312,6 +314,11 @@ def mask(spark, d):
     return rewrite.mask(fd.with_findings(memo(spark, d))).select("doc_id", "masked_text")
 
 
+@query()
+def mask_dossier(spark, d):
+    return rewrite.mask(fd.with_findings(dossier(spark, d))).select("doc_id", "masked_text")
+
+
 @query()
 def replace_values(spark, d):
     return rewrite.replace_values(fd.with_findings(dossier(spark, d))).select("doc_id", "replaced_text")
