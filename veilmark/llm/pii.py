@@ -44,7 +44,7 @@ SAMPLE = 2000
 MAX_TOKENS = 24
 AROUND = 48
 #: Least posterior probability of an added span.
-LEAST = 0.9
+LEAST = 0.8
 
 
 def luhn(digits):
@@ -328,15 +328,13 @@ def training(text, rng):
             at = len(before)
             spans = tokens(local, 0, len(local))
             found = candidates(local, spans)
-            truth = set()
-            if true:
-                place = {a: i for i, (a, _) in enumerate(spans)}, {b: i + 1 for i, (_, b) in enumerate(spans)}
-                i, j = place[0].get(at), place[1].get(at + len(value))
-                if i is None or j is None:
-                    continue
-                truth = {(i, j, KINDS[kind])}
-            others = [(a, b) for a, _, b in base_spans(local) if b <= at or a >= at + len(value)]
-            if found and not others:
+            begins = {a: i for i, (a, _) in enumerate(spans)}
+            ends = {b: i + 1 for i, (_, b) in enumerate(spans)}
+            stop = at + len(value)
+            wanted = [(at, kind, stop)] if true else []
+            wanted += [(a, k, b) for a, k, b in base_spans(local) if b <= at or a >= stop]
+            truth = {(begins.get(a), ends.get(b), KINDS[k]) for a, k, b in wanted}
+            if found and not any(i is None or j is None for i, j, _ in truth):
                 out.append((len(spans), found, truth))
     return out
 
