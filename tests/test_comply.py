@@ -91,16 +91,15 @@ def test_rules_by_type(spark):
     assert all(r.doc_id == 1 for r in rows)
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_cosine_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 500])
+def test_cosine_equals_brute_force(spark, block_bytes):
     """In one block and in many: the same neighbours in the same order."""
-    monkeypatch.setattr(comply, "BLOCK_VECTORS", block)
     rng = np.random.default_rng(2)
     known, asked = rng.normal(size=(60, 5)), rng.normal(size=(40, 5))
     to_df = lambda m, key: spark.createDataFrame(
         [(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{key} BIGINT, vec ARRAY<DOUBLE>"
     )
-    rows = comply.cosine_topk(to_df(asked, "query_id"), to_df(known, "id"), 4).collect()
+    rows = comply.cosine_topk(to_df(asked, "query_id"), to_df(known, "id"), 4, block_bytes).collect()
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     similarity = unit(asked) @ unit(known).T
     expected = {
@@ -124,5 +123,35 @@ def test_too_many_rules_are_refused(spark):
         F.col("id").cast("string"), F.lit("F").alias("framework"), F.lit("r").alias("rule"),
         F.array(F.lit("CVV")).alias("entity_types"), F.lit("d").alias("description"), F.lit("High").alias("risk"),
     )
-    with pytest.raises(ValueError, match="term_cosine_topk"):
+    with pytest.raises(ValueError, match="exposure_table"):
         rl.rule_list(rules)
+
+
+def test_rules_as_a_table_of_any_size(spark, type_sets):
+    """More rules than the plan may hold, and the packaged ones: as the row functions say."""
+    rules = rl.rules_source(spark)
+    row = {(r.doc_id, r.framework): (r.exposure, r.band) for r in comply.exposure(type_sets).collect()}
+    table = comply.exposure_table(type_sets, rules, k=18).collect()
+    assert {(r.doc_id, r.framework): (r.exposure, r.band) for r in table} == row
+    top = {(r.doc_id, r.rule_id): r.relevance for r in comply.retrieve_table(type_sets, rules, k=6).collect()}
+    assert top == {(r.doc_id, r.id): r.relevance for r in comply.retrieve_rules(type_sets, k=6).collect()}
+    many = spark.range(rl.MAX_RULES + 100).select(
+        F.col("id").cast("string"), F.concat(F.lit("F"), F.col("id") % 3).alias("framework"), F.lit("r").alias("rule"),
+        F.array(F.lit("CVV")).alias("entity_types"), F.lit("d").alias("description"), F.lit("High").alias("risk"),
+    )
+    one = spark.createDataFrame([(1, ["CVV"])], "doc_id BIGINT, entity_types ARRAY<STRING>")
+    assert comply.exposure_table(one, many, k=rl.MAX_RULES + 100).count() == 3
+
+
+def test_rule_vectors_are_made_written_and_read(spark, type_sets, tmp_path):
+    rules = rl.rules_source(spark)
+    path = str(tmp_path / "vectors")
+    rl.write_rule_vectors(rl.rule_vectors(rules), path)
+    vectors = rl.read_rule_vectors(spark, path)
+    lengths = vectors.groupBy("rule_id").agg(F.sum(F.col("rw") * F.col("rw")).alias("n")).collect()
+    assert len(lengths) == 18 and all(abs(r.n - 1) < 1e-9 for r in lengths)
+    documents = rl.rule_documents(rules).select(F.col("id").alias("rule_id"), "document")
+    sets = type_sets.filter(F.size("entity_types") > 0)
+    queries = comply.query_text(sets).select(F.col("doc_id").alias("query_id"), F.col("query_text").alias("text"))
+    fresh = comply.term_cosine_topk(queries, documents, 5)
+    assert sorted(comply.term_cosine_topk(queries, documents, 5, vectors).collect()) == sorted(fresh.collect())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from samples import BANK, MEDICAL, STAFF, UNICODE
 from veilmark.functions.arrays import let
-from veilmark.functions.text import PIECE, pieces, splice, splice_right_to_left
+from veilmark.functions.text import PIECE, ordered_cuts, pieces, splice
 from veilmark.operators import rewrite
 from veilmark.operators.findings import with_findings
 from veilmark.schemas import HIT
@@ -46,11 +46,12 @@ def test_splicing_equals_list_assignment(spark, overlaps):
         expected[i] = "".join(chars)
     df = spark.createDataFrame(rows, f"i INT, text STRING, edits {EDIT}")
     once = let("p", pieces("text"), splice("p", "edits", "text"))
-    sql = splice_right_to_left("text", "edits") if overlaps else once
+    cuts = let("p", pieces("text"), splice("p", ordered_cuts("edits", "text"), "text"))
+    sql = cuts if overlaps else once
     got = df.select("i", F.expr(sql).alias("t")).collect()
     assert {r.i: r.t for r in got} == expected
     if not overlaps:
-        again = df.select("i", F.expr(splice_right_to_left("text", "edits")).alias("t")).collect()
+        again = df.select("i", F.expr(cuts).alias("t")).collect()
         assert {r.i: r.t for r in again} == expected
 
 

@@ -11,9 +11,8 @@ from pyspark.sql import Window, functions as F
 from veilmark import vocab
 from veilmark.functions.arrays import let, quoted, text_list
 from veilmark.schemas import MATCH
-from veilmark.sources.rules import rule_list, rule_text
+from veilmark.sources.rules import TERM, rule_documents, rule_list, rule_text, term_vectors
 
-TERM = "[a-z0-9]+"
 RELEVANCE_DIGITS = 3
 # Relevance is compared at this precision, so that sums taken in another order
 # cannot swap two equally relevant rules.
@@ -156,10 +155,11 @@ def matches_sql(ranked, rules, k):
     return f"cast(transform(slice({ranked}, 1, {k}), _z -> {row}) AS array<{MATCH}>)"
 
 
-def exposure_sql(ranked, rules):
+def exposure_sql(ranked, rules, k=None):
     """Exposure per framework, highest first: array of (framework, exposure, band).
 
-    The worst rule counts: relevance x risk weight x 100, at most 100, one digit.
+    The worst rule counts: relevance x risk weight x 100, at most 100, one digit.  Only
+    the ``k`` most relevant rules are looked at, all by default.
     """
     frameworks = sorted({r["framework"] for r in rules})
     by_rule = ", ".join(
@@ -168,7 +168,7 @@ def exposure_sql(ranked, rules):
         for r in rules
     )
     scores = (
-        f"transform(filter({ranked}, _z -> _z.rank <= {vocab.EXPOSURE_RULES}), "
+        f"transform(filter({ranked}, _z -> _z.rank <= {len(rules) if k is None else k}), "
         f"_z -> named_struct('r', get(array({by_rule}), _z.i), 'rel', _z.relevance))"
     )
     worst = (
@@ -208,11 +208,12 @@ def retrieve_rules(df, rules=None, k=vocab.TOP_RULES, types="entity_types"):
     return ranked.select("doc_id", F.inline(F.expr(matches_sql("ranked", listed, k))))
 
 
-def exposure(df, rules=None, types="entity_types"):
-    """Exposure and band of every document and framework."""
+def exposure(df, rules=None, types="entity_types", k=None):
+    """Exposure and band of every document and framework, from the ``k`` most relevant
+    rules, all by default."""
     listed = rule_list(rules)
     ranked = df.select("doc_id", F.expr(ranked_sql(types, listed)).alias("ranked"))
-    return ranked.select("doc_id", F.inline(F.expr(exposure_sql("ranked", listed))))
+    return ranked.select("doc_id", F.inline(F.expr(exposure_sql("ranked", listed, k))))
 
 
 def rank_frameworks(df, rules=None, types="entity_types"):
@@ -227,43 +228,32 @@ def rank_frameworks(df, rules=None, types="entity_types"):
 
 
 # ---- term vectors, rules as a table ---------------------------------------
-def _tokens(df, key, text):
-    return df.select(
-        key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term")
-    )
+# Copies of a term's rule vectors; queries that share a term are dealt out to them.
+TERM_SALTS = 8
 
 
-def term_cosine_topk(queries, documents, k=vocab.TOP_RULES):
+def term_cosine_topk(queries, documents, k=vocab.TOP_RULES, vectors=None):
     """Most similar rule documents of every query text, by TF-IDF cosine.
 
-    ``queries`` (query_id, text), ``documents`` (rule_id, document).  Candidates
-    come from an equi-join on terms; the products are summed before and after the
-    shuffle, and only the best ``k`` of a query are gathered.  Documents without a
-    common term fill the places left, in order of id.  Queries are read once: the
-    square of a query's own weight travels with the products, as a row without rule.
+    ``queries`` (query_id, text), ``documents`` (rule_id, document); ``vectors`` may hold
+    a table from ``rule_vectors`` that was written before.  Candidates come from an
+    equi-join on terms, with each term in ``TERM_SALTS`` copies, so that one in every query
+    is no single key; the products are summed before and after the shuffle, and only the
+    best ``k`` of a query are gathered.  Documents without a common term fill the places
+    left, in order of id.  Queries are read once: the square of a query's own weight
+    travels with the products, as a row without rule.
     """
-    n = documents.agg(F.count("*").alias("n"))
-    tf = _tokens(documents, "rule_id", "document").groupBy("rule_id", "term").agg(
-        F.count("*").alias("tf")
-    )
-    idf = tf.groupBy("term").agg(
-        (F.log((F.lit(1) + n.scalar()) / (F.lit(1) + F.count("*"))) + 1).alias("idf")
-    )
-    weighted = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("rule_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norms, "rule_id").select(
-        "term", "rule_id", F.col("idf"), (F.col("w") / F.col("norm")).alias("rw")
-    )
-    own = idf.select(
-        "term", F.lit(None).cast("string").alias("rule_id"), "idf", F.col("idf").alias("rw")
-    )
+    unit = (term_vectors(documents) if vectors is None else vectors).select("term", "rule_id", "idf", "rw")
+    own = unit.select("term", F.lit(None).cast("string").alias("rule_id"), "idf", F.col("idf").alias("rw")).distinct()
+    known = unit.unionByName(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
     words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
     asked = (
         queries.select("query_id", F.explode_outer(words).alias("term"))
         .groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     )
     products = (
-        asked.join(unit.unionByName(own), "term", "left")
+        asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(TERM_SALTS)).cast("int"))
+        .join(known, ["term", "salt"], "left")
         .withColumn("qw", F.col("qtf") * F.col("idf"))
         .groupBy("query_id", "rule_id")
         .agg(
@@ -308,10 +298,42 @@ def term_cosine_topk(queries, documents, k=vocab.TOP_RULES):
     )
 
 
+def _by_table(sets, rules, k, types):
+    """(query_id, rank, rule_id, relevance) of each distinct set of types."""
+    asked = query_text(distinct_sets(sets, types), types).select(
+        F.array_join(types, ", ").alias("query_id"), F.col("query_text").alias("text")
+    )
+    documents = rule_documents(rules).select(F.col("id").alias("rule_id"), "document")
+    return term_cosine_topk(asked, documents, k)
+
+
+def retrieve_table(sets, rules, k=vocab.TOP_RULES, types="entity_types"):
+    """As ``retrieve_rules``, with a table of rules of any size."""
+    found = _by_table(sets, rules, k, types).join(rules.withColumnRenamed("id", "rule_id"), "rule_id")
+    keyed = sets.select("doc_id", F.array_join(types, ", ").alias("query_id"))
+    return keyed.join(found.withColumnRenamed(types, f"rule_{types}"), "query_id").drop("query_id")
+
+
+def exposure_table(sets, rules, k, types="entity_types"):
+    """As ``exposure``, with a table of rules of any size; the ``k`` most relevant rules
+    of a set of types are looked at."""
+    weights = F.create_map(*[F.lit(x) for pair in vocab.RISK_WEIGHTS.items() for x in pair])
+    weighed = rules.select(
+        F.col("id").alias("rule_id"), "framework",
+        F.coalesce(weights[F.col("risk")], F.lit(vocab.RISK_WEIGHT_OTHER)).alias("weight"),
+    )
+    worst = (
+        _by_table(sets, rules, k, types).join(weighed, "rule_id")
+        .groupBy("query_id", "framework")
+        .agg(F.round(F.least(F.lit(100.0), F.max(F.col("relevance") * F.col("weight") * 100)), 1).alias("exposure"))
+    )
+    keyed = sets.select("doc_id", F.array_join(types, ", ").alias("query_id"))
+    return exposure_band(keyed.join(worst, "query_id").select("doc_id", "framework", "exposure"))
+
+
 # ---- dense vectors --------------------------------------------------------
-# Vectors compared per step, and the number up to which a whole collection is
-# handed to every task.
-BLOCK_VECTORS = 2048
+# Bytes of vectors in one block of the collection, by Spark's estimate of its size.
+BLOCK_BYTES = 16 << 20
 
 
 def _norm(v):
@@ -329,13 +351,12 @@ def _nearest(k):
     )
 
 
-def cosine_topk(queries, collection, k):
+def cosine_topk(queries, collection, k, block_bytes=BLOCK_BYTES):
     """The ``k`` nearest vectors of ``collection`` for every query, by cosine.
 
-    ``queries`` (query_id, vec), ``collection`` (id, vec).  The collection is cut
-    into blocks of bounded size.  One block is handed to every task as a constant;
-    more are joined by block number, with queries spread over copies of a block.
-    Only the best ``k`` of a block leave a task, never all pairs.
+    ``queries`` (query_id, vec), ``collection`` (id, vec).  The collection is cut into
+    blocks of about ``block_bytes``, by number; each query meets each block once, dealt out
+    over copies of it.  Only the best ``k`` of a block leave a task, never all pairs.
     """
 
     def prepared(df, key):
@@ -343,33 +364,24 @@ def cosine_topk(queries, collection, k):
         return vec.withColumn("norm", F.expr(_norm("vec")))
 
     asked, known = prepared(queries, "query_id"), prepared(collection, "id")
-    members = F.collect_list(F.struct("id", "vec", "norm")).alias("block")
-    n = collection.count()
-    if n <= BLOCK_VECTORS:
-        near = asked.withColumn("block", known.agg(members).scalar()).select(
-            "query_id", F.posexplode(F.expr(_nearest(k))).alias("pos", "x")
-        )
-        best = near.withColumn("rank", F.col("pos") + 1)
-    else:
-        blocks = math.ceil(n / BLOCK_VECTORS)
-        tasks = max(
-            int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-            queries.sparkSession.sparkContext.defaultParallelism,
-        )
-        copies = math.ceil(tasks / blocks)
-        grouped = (
-            known.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-            .groupBy("b").agg(members)
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        )
-        near = (
-            asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
-            .join(grouped, ["b", "salt"])
-            .select("query_id", F.explode(F.expr(_nearest(k))).alias("x"))
-        )
-        order = Window.partitionBy("query_id").orderBy("x.distance", "x.id")
-        best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    size = int(str(collection._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    blocks = max(1, math.ceil(size / block_bytes))
+    session = queries.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    copies = math.ceil(tasks / blocks)
+    grouped = (
+        known.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        .groupBy("b").agg(F.collect_list(F.struct("id", "vec", "norm")).alias("block"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    )
+    near = (
+        asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
+        .join(grouped, ["b", "salt"])
+        .select("query_id", F.explode(F.expr(_nearest(k))).alias("x"))
+    )
+    order = Window.partitionBy("query_id").orderBy("x.distance", "x.id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select(
         "query_id", "rank", F.col("x.id").alias("id"),
         # Adding zero turns a negative zero into a plain one.

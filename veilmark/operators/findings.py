@@ -157,6 +157,12 @@ def union_layers(*layers):
     return reduce(lambda a, b: a.unionByName(b), ranked)
 
 
+def ranked_layers(docs, recognizers=None):
+    """The findings of all recognizers with the rank of their layer, from one scan."""
+    found = inline_hits(docs, hits_sql("text", recognizers), order=True)
+    return found.withColumn("layer_rank", F.floor(F.col("ord") / LAYER_SPAN).cast("int"))
+
+
 def resolve_overlaps(findings):
     """Overlap scan over a findings table; same rule as ``resolve_hits``.
 

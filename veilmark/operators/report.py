@@ -119,6 +119,20 @@ def explanation_default(df, hits="hits", use_reasoner=True):
     return df.withColumn("explanation", F.expr(explanation_sql(hits, use_reasoner)))
 
 
+def with_replies(scanned, replies):
+    """Join a model's replies (doc_id, reply, error) to scanned documents.
+
+    A reply becomes the explanation of its document; an error becomes a fixed sentence and
+    a warning.  Documents whose explanation stands already keep it.
+    """
+    joined = scanned.join(replies.select("doc_id", "reply", "error"), "doc_id", "left")
+    failed = F.col("error").isNotNull() & F.col("explanation").isNull()
+    text = F.when(failed, F.concat(F.lit(vocab.REPLY_FAILED), "error")).otherwise(F.col("reply"))
+    return joined.withColumn(
+        "warnings", F.when(failed, F.array_append("warnings", F.col("error"))).otherwise(F.col("warnings"))
+    ).withColumn("explanation", F.coalesce("explanation", text)).select(*scanned.columns)
+
+
 def headline_counts(summary):
     """The four tiles over a summary: three categories, their sum, the risk."""
     tiles = [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.arrays import constant_map, let, quoted, scan
-from veilmark.functions.text import cut, pieces, splice, splice_right_to_left
+from veilmark.functions.text import cut, ordered_cuts, pieces, splice
 
 SPAN = "struct<st:int,en:int,entity_type:string>"
 
@@ -144,7 +144,7 @@ def _marked(text, hits, span, before, plain_before, after, quotes, escape_all):
         whole = splice("_src", kept, text, lambda t: escape_html(t, quotes))
         body = let("_src", pieces(text), let("_mm", mark, whole))
     else:
-        body = splice_right_to_left(text, mark)
+        body = let("_src", pieces(text), splice("_src", ordered_cuts(mark, text), text))
     return (
         f"CASE WHEN coalesce(size({hits}), 0) <= 0 "
         f"THEN concat({plain_before}, {escape_html(text, quotes)}, '{after}') "
@@ -156,8 +156,7 @@ def highlight_risk_sql(text, hits, escape_all=False):
     def colours(risk):
         bg, fg, border = vocab.RISK_COLOURS[risk]
         return quoted(
-            f'<span style="background:{bg};color:{fg};border:1px solid {border};'
-            'border-radius:3px;padding:1px 4px;font-weight:600;cursor:pointer;" title="'
+            vocab.RISK_SPAN.format(bg=bg, fg=fg, border=border)
         )
 
     style = (

@@ -8,21 +8,34 @@ from veilmark import vocab
 from veilmark.functions.text import is_blank
 from veilmark.operators import comply, report, rewrite
 from veilmark.operators.findings import detect_sql, entity_set_of, summary_of, with_findings
+from veilmark.sources.documents import text_file_source
 from veilmark.sources.rules import rule_list
+from veilmark.sources.sinks import output_name
 
 
-def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognizers=None, more=()):
+def scan_files(spark, path, mode="redact", **options):
+    """Text files of a folder, scanned: the columns of ``scan_documents`` with the path and
+    the name of the rewritten file."""
+    files = text_file_source(spark, path)
+    scanned = scan_documents(files, mode, keep=("path",), **options)
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    return scanned.withColumn("output_name", output_name(name, mode))
+
+
+def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognizers=None, more=(), keep=()):
     """Findings, counts, rules, exposure, rewritten and marked-up text per document.
 
     ``docs`` (doc_id, text and optionally warnings).  Every column is computed from
     its own row: the plan has no exchange, so it runs at the speed of the scan.
     Blank texts get the empty result; a null text counts as blank.  With ``more``, findings
     tables from joins, these are put on their documents first: one exchange by id.
+    ``keep`` names further columns to pass on.
     """
     listed = rule_list(rules)
     warnings = F.col("warnings") if "warnings" in docs.columns else F.array().cast("array<string>")
     found = docs.select(
         "doc_id",
+        *keep,
         F.coalesce("text", F.lit("")).alias("text"),
         F.expr(f"NOT ({is_blank('text')})").alias("has_text"),
         warnings.alias("warnings"),
@@ -54,6 +67,7 @@ def scan_documents(docs, mode="redact", use_reasoner=True, rules=None, recognize
     no_counts = "cast(map() AS map<string,bigint>)"
     return rewritten.select(
         "doc_id",
+        *keep,
         F.expr(if_text("text", "''")).alias("original_text"),
         "findings",
         F.col("summary.total").alias("total"),

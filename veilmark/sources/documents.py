@@ -13,18 +13,6 @@ def text_source(spark, path):
     return spark.read.parquet(path).select("doc_id", "text")
 
 
-def spread(docs):
-    """Give every core work when the input has fewer files than cores.
-
-    Pattern search is bound by the processor, and one small file is one task.
-    Large inputs have more files than cores and stay as they are: no shuffle.
-    Rows are dealt out in turn, not by key, so that copies of one document do not
-    end up in one task.
-    """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
-
-
 def suffix(name):
     """Lower-cased extension with its dot; a name that only starts with one has none."""
     return F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1))
@@ -48,13 +36,22 @@ def decode_text(content):
 
 
 def text_file_source(spark, path, **options):
-    """Text files as (path, text, warnings); other files get a warning, no text.
+    """Files as (doc_id, path, text, warnings); other than text files get a warning, no text.
 
-    Files of length zero give no row: Spark's file sources leave them out.
+    The id is a hash of the path.  Only the content of text files is read; of the others
+    the listing is enough.  Files of length zero give no row: Spark's file sources leave
+    them out.
     """
-    files = spark.read.format("binaryFile").options(**options).load(path)
-    routed = route_by_extension(files, "path")
-    is_text = F.col("route") == "text"
+
+    def files(*columns):
+        found = spark.read.format("binaryFile").options(**options).load(path)
+        return route_by_extension(found.select(*columns), "path")
+
+    no_warning = F.array().cast("array<string>")
+    doc_id = F.xxhash64("path").alias("doc_id")
+    texts = files("path", "content").where("route = 'text'").select(
+        doc_id, "path", decode_text("content").alias("text"), no_warning.alias("warnings")
+    )
     problem = F.concat(
         F.lit("Text extraction warning: "),
         F.when(F.col("route") == "unsupported", "unsupported file type ").otherwise(
@@ -62,11 +59,10 @@ def text_file_source(spark, path, **options):
         ),
         suffix(F.col("path")),
     )
-    return routed.select(
-        "path",
-        F.when(is_text, decode_text("content")).otherwise("").alias("text"),
-        F.when(is_text, F.array().cast("array<string>")).otherwise(F.array(problem)).alias("warnings"),
+    others = files("path").where("route <> 'text'").select(
+        doc_id, "path", F.lit("").alias("text"), F.array(problem).alias("warnings")
     )
+    return texts.unionByName(others)
 
 
 def join_paragraphs(paragraphs, keys=("doc_id", "page_num")):

@@ -129,10 +129,15 @@ TABLES = (
 ).split()
 
 
-def read(spark, sf_dir, sql):
-    """Run one of the texts above on the tables of ``sf_dir``, without temp views."""
+def read(spark, sf_dir, sql, dealt=lambda table: table):
+    """Run one of the texts above on the tables of ``sf_dir``, without temp views.
+
+    ``dealt`` is applied to the first table, the one whose rows become texts.
+    """
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    first = re.search(rf"\bFROM ({'|'.join(TABLES)})\b", sql)[1]
+    frames[first] = dealt(frames[first])
     escaped = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         escaped = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", escaped)

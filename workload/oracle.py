@@ -448,8 +448,8 @@ register(
     "rule_documents",
     f"""WITH RECURSIVE {FOUND_MEMO}, {RULE_TABLE},
 kinds AS (SELECT i, unnest(entity_types) AS kind FROM rules)
-SELECT id AS rule_id, {RULE_DOC} AS document, count(*) AS findings
-FROM found JOIN kinds ON kind = entity_type JOIN rules ON rules.i = kinds.i GROUP BY ALL""",
+SELECT id AS rule_id, {RULE_DOC} AS document, count(found.doc_id) AS findings
+FROM rules JOIN kinds ON rules.i = kinds.i LEFT JOIN found ON kind = entity_type GROUP BY ALL""",
 )
 # TF-IDF cosine between each distinct set of types and each rule.
 VECTORS = f"""
@@ -736,7 +736,7 @@ register(
     "regexp_replace(url, '\\.[^.]*$', '') || '_maskd.txt' AS mask_name, "
     "regexp_replace(url, '\\.[^.]*$', '') || '_replaced.txt' AS replace_name FROM pages",
 )
-register("decode_text", "SELECT page_id, html AS text FROM pages")
+register("decode_text", "SELECT page_id, chr(65533) || html || chr(65533) AS text FROM pages")
 
 # ---- the whole scan -------------------------------------------------------
 register(
@@ -745,9 +745,92 @@ register(
 summary AS ({SUMMARY}),
 top6 AS (SELECT doc_id, string_agg(id, ',' ORDER BY rank) AS rule_ids
   FROM sets JOIN ranked USING (types) JOIN rules USING (i) WHERE rank <= 6 GROUP BY doc_id),
-best AS (SELECT doc_id, max(exposure) AS top_exposure FROM exposure GROUP BY doc_id)
+best AS (SELECT doc_id, max(exposure) AS top_exposure FROM exposure GROUP BY doc_id),
+listed AS (SELECT doc_id, string_agg(entity_type || ':' || st || ':' || en, ',' ORDER BY st) AS found
+  FROM found GROUP BY doc_id)
 SELECT s.doc_id, s.total, s.n_pii, s.n_phi, s.n_financial, s.overall_risk, rule_ids, top_exposure,
-  coalesce(new_text, text) AS redacted_text
+  coalesce(new_text, text) AS redacted_text, masked_text, text AS original_text, highlighted_html,
+  CASE WHEN s.total > 0 THEN prompt END AS prompt,
+  CASE WHEN s.total = 0 THEN {q(vocab.NOTHING_FOUND)} END AS explanation,
+  s.n_high, s.n_medium, s.n_low, s.n_rules, s.n_ner, s.n_regex, cast(0 AS bigint) AS n_warnings,
+  coalesce(listed.found, '') AS found
 FROM summary s JOIN src USING (doc_id) LEFT JOIN changed USING (doc_id) LEFT JOIN top6 USING (doc_id)
-LEFT JOIN best USING (doc_id)""",
+LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id)
+JOIN ({out['mask_dossier']}) m USING (doc_id) JOIN ({out['highlight_risk']}) h USING (doc_id)
+LEFT JOIN ({out['explanation_prompt']}) p USING (doc_id)""",
+)
+register("exposure_table", out["exposure"])
+
+
+def joined_ctes(src_sql, more, before=""):
+    """CTEs src and found: the detection with findings of another table."""
+    rows = f"SELECT *, {ARRIVAL} AS n FROM ({hits('src', ALL)} UNION ALL {more})"
+    kept = f"SELECT * FROM ({categorized(rows)}) WHERE {_TRIM} NOT IN {DENIED} AND category <> 'Other'"
+    return ", ".join(filter(None, [source("src", src_sql), CATS, before, overlap_scan("found", kept)]))
+
+
+# Hits of the model stand between labels and regex; equal ones go by what they say.
+_MODEL_HITS = f"""
+SELECT doc_id, entity_type, value, st, en, sc, source, 5000 AS pat,
+  row_number() OVER (PARTITION BY doc_id, st, sc ORDER BY en, entity_type, value) AS i FROM ({_MODEL})"""
+WITH_NAMES = joined_ctes(fx.DOSSIER, _NAMED, _DICT)
+WITH_MODEL = joined_ctes(fx.MEMO, _MODEL_HITS)
+
+
+def brief(ctes):
+    """The scan in short: counts, redacted and masked text, each from the same findings."""
+    def text(mode, name):
+        return f"(WITH RECURSIVE {rewritten(mode)} SELECT src.doc_id, coalesce(new_text, src.text) AS {name} FROM src LEFT JOIN changed ON changed.doc_id = src.doc_id)"
+
+    return f"""WITH RECURSIVE {ctes}, summary AS ({SUMMARY})
+SELECT doc_id, total, overall_risk, n_rules, n_ner, n_regex, redacted_text, masked_text
+FROM summary JOIN {text('redact', 'redacted_text')} r USING (doc_id) JOIN {text('mask', 'masked_text')} m USING (doc_id)"""
+
+
+register("scan_with_names", brief(WITH_NAMES))
+register("scan_with_model", brief(WITH_MODEL))
+register("redact_with_model", rewrite_query(WITH_MODEL, "redact", "redacted_text"))
+register("replace_with_names", rewrite_query(WITH_NAMES, "replace", "replaced_text"))
+_TIES = overlap_scan(
+    "kept",
+    f"""SELECT *, layer * 1000000000000000000000::HUGEINT + ord AS n FROM (
+  SELECT DISTINCT doc_id, st, en, cast(1.0 AS double) AS sc, ord, 2 - ord % 3 AS layer FROM ({fx.SPANS}))""",
+)
+register(
+    "detect_ties",
+    f"""WITH RECURSIVE {_TIES} SELECT doc_id, st AS span_start, en AS span_end, 'v' || ord AS value,
+CASE layer WHEN 0 THEN 'rules' WHEN 1 THEN 'ner' ELSE 'regex' END AS source FROM kept""",
+)
+register(
+    "join_replies",
+    f"""WITH RECURSIVE {FOUND_MEMO} SELECT src.doc_id,
+CASE WHEN count(found.doc_id) = 0 THEN {q(vocab.NOTHING_FOUND)}
+  WHEN src.doc_id % 7 = 0 THEN 'Reasoning unavailable: timeout'
+  WHEN src.doc_id % 3 = 0 THEN 'Reply ' || src.doc_id END AS explanation,
+CASE WHEN count(found.doc_id) > 0 AND src.doc_id % 7 = 0 THEN 'timeout' ELSE '' END AS warnings
+FROM src LEFT JOIN found ON found.doc_id = src.doc_id GROUP BY src.doc_id""",
+)
+register(
+    "highlight_overlaps",
+    f"""WITH RECURSIVE edits AS (
+  SELECT doc_id, st, en, row_number() OVER (PARTITION BY doc_id ORDER BY st, ord) AS k,
+    '<span class="hl-pii" title="' || CASE WHEN ord % 3 = 0 THEN 'A' ELSE 'B' END || ' · PII · '
+      || CASE WHEN ord % 2 = 0 THEN 'High' ELSE 'Low' END || ' risk · regex">v' || (ord % 97) || '</span>' AS new
+  FROM (SELECT DISTINCT doc_id, st, en, ord FROM ({fx.SPANS}))),
+steps AS (
+  SELECT doc_id, max(k) + 1 AS k, repeat('ab  c d   ', 6) AS body FROM edits GROUP BY doc_id
+  UNION ALL
+  SELECT s.doc_id, e.k, left(body, st) || new || substring(body, en + 1)
+  FROM steps s JOIN edits e ON e.doc_id = s.doc_id AND e.k = s.k - 1)
+SELECT doc_id, '<div class="hl-wrap">' || body || '</div>' AS category_html FROM steps WHERE k = 1""",
+)
+register(
+    "cosine_topk_large",
+    """WITH vectors AS (SELECT vec_id, embedding::double[] AS v FROM embeddings),
+dist AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+    round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) AS distance
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0)
+SELECT query_id, cast(rank AS int) AS rank, id, round(1 - distance, 3) + 0.0 AS relevance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dist)
+WHERE rank <= 5""",
 )

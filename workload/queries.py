@@ -27,20 +27,34 @@ def query(name=None):
 
 
 # ---- inputs ---------------------------------------------------------------
+# The reader cuts tables into splits; a table within this many bytes is a single one.
+ONE_SPLIT = 64 << 20
+
+
+def dealt(docs):
+    """Deal out a table of one split, so that its pattern search has more than one core.
+
+    Pattern search is bound by the processor.  Anything larger is read in many splits and
+    stays as it is.  The size is Spark's estimate; no file is listed on the driver.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= ONE_SPLIT else docs
+
+
 def memo(spark, d):
-    return src.spread(fx.read(spark, d, fx.MEMO))
+    return fx.read(spark, d, fx.MEMO, dealt)
 
 
 def dossier(spark, d):
-    return src.spread(fx.read(spark, d, fx.DOSSIER))
+    return fx.read(spark, d, fx.DOSSIER, dealt)
 
 
 def documents(spark, d):
-    return src.spread(src.text_source(spark, f"{d}/documents.parquet"))
+    return dealt(src.text_source(spark, f"{d}/documents.parquet"))
 
 
 def notes(spark, d):
-    return src.spread(fx.read(spark, d, fx.NOTES))
+    return fx.read(spark, d, fx.NOTES, dealt)
 
 
 def model_hits(spark, d):
@@ -137,8 +151,7 @@ def drop_other(spark, d):
 
 @query()
 def union_layers(spark, d):
-    docs = memo(spark, d)
-    return fd.union_layers(rc.find_rules(docs), rc.find_fields(docs), rc.find_regex(docs)).select(
+    return fd.ranked_layers(memo(spark, d)).select(
         "layer_rank", "doc_id", "entity_type", "category", "value", "span_start", "span_end",
         "score", "risk", "source",
     )
@@ -249,11 +262,17 @@ def rule_documents(spark, d):
     kinds = rules.select(F.col("id").alias("rule_id"), "document", F.explode("entity_types").alias("entity_type"))
     found = fd.detect(memo(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"))
     return (
-        found.join(kinds, "entity_type")
-        .groupBy("rule_id", "document").agg(F.sum("n").alias("findings"))
+        kinds.join(found, "entity_type", "left")
+        .groupBy("rule_id", "document").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("findings"))
     )
 
 
+@query()
+def exposure_table(spark, d):
+    """The exposure again, with the rules as a table."""
+    return comply.exposure_table(sets(spark, d), rl.rules_source(spark), k=18)
+
+
 @query()
 def term_cosine_topk(spark, d):
     """Each distinct set of types is compared once, however many documents share it."""
@@ -329,6 +348,16 @@ def redact_documents(spark, d):
     return rewrite.redact(fd.with_findings(documents(spark, d))).select("doc_id", "redacted_text")
 
 
+def nested(spark, d, extra):
+    """All spans of an order up to the fourth by place, as they are."""
+    hit = F.struct(
+        F.col("span_start").alias("st"), "ord", F.col("span_end").alias("en"),
+        F.when(F.col("ord") % 3 == 0, "A").otherwise("B").alias("entity_type"), *extra,
+    )
+    rows = spans(spark, d).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    return rows.withColumn("text", F.expr("repeat('ab  c d   ', 6)"))
+
+
 def overlapping(spark, d):
     """Accepted spans of every order on a short text with blanks, as document rows."""
     kept = fd.resolve_overlaps(spans(spark, d))
@@ -374,6 +403,16 @@ def highlight_category(spark, d):
     return rewrite.highlight_category(fd.with_findings(memo(spark, d))).select("doc_id", "category_html")
 
 
+@query()
+def highlight_overlaps(spark, d):
+    """Spans that overlap, on a short text, each with its order as its value."""
+    extra = [
+        F.concat(F.lit("v"), F.col("ord") % 97).alias("value"), F.lit("PII").alias("category"),
+        F.when(F.col("ord") % 2 == 0, "High").otherwise("Low").alias("risk"), F.lit("regex").alias("source"),
+    ]
+    return rewrite.highlight_category(nested(spark, d, extra)).select("doc_id", "category_html")
+
+
 @query()
 def escape_html(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select(
@@ -442,6 +481,16 @@ def explanation_default(spark, d):
 
 
 # ---- sources and sinks ----------------------------------------------------
+@query()
+def cosine_topk_large(spark, d):
+    """Nearest vectors among all, for those whose id is divisible by 50, in many blocks."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+    asked = vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return comply.cosine_topk(asked, vectors, 5, block_bytes=64 << 10)
+
+
 @query()
 def text_source(spark, d):
     return src.text_source(spark, f"{d}/documents.parquet")
@@ -506,9 +555,9 @@ def redacted_names(spark, d):
 
 @query()
 def decode_text(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").select(
-        "page_id", F.encode("html", "UTF-8").alias("content")
-    )
+    """A byte that begins nothing in front, a cut character at the end."""
+    bad = F.concat(F.unhex(F.lit("FF")), F.encode("html", "UTF-8"), F.unhex(F.lit("C3")))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", bad.alias("content"))
     return pages.select("page_id", src.decode_text("content").alias("text"))
 
 
@@ -517,6 +566,74 @@ def scan_rows(spark, d):
     return scan_documents(dossier(spark, d))
 
 
+def model_findings(spark, d):
+    """The outside model's hits, as findings on memos."""
+    return layers.external_findings(model_hits(spark, d))
+
+
+def brief(scanned):
+    return scanned.select(
+        "doc_id", "total", "overall_risk",
+        *[F.coalesce(F.col("sources")[s], F.lit(0).cast("long")).alias(f"n_{s}") for s in vocab.SOURCES],
+        "redacted_text", "masked_text",
+    )
+
+
+@query()
+def scan_with_names(spark, d):
+    docs = dossier(spark, d)
+    return brief(scan_documents(docs, more=[layers.find_dictionary(docs, terms(spark, d))]))
+
+
+@query()
+def scan_with_model(spark, d):
+    return brief(scan_documents(memo(spark, d), more=[model_findings(spark, d)]))
+
+
+@query()
+def redact_with_model(spark, d):
+    found = fd.with_findings(memo(spark, d), more=[model_findings(spark, d)])
+    return rewrite.redact(found).select("doc_id", "redacted_text")
+
+
+@query()
+def replace_with_names(spark, d):
+    docs = dossier(spark, d)
+    found = fd.with_findings(docs, more=[layers.find_dictionary(docs, terms(spark, d))])
+    return rewrite.replace_values(found).select("doc_id", "replaced_text")
+
+
+@query()
+def detect_ties(spark, d):
+    """Spans of all three layers with equal starts and scores: the layer decides."""
+    rows = spans(spark, d).select(
+        "doc_id", "span_start", "span_end", F.lit(1.0).alias("score"),
+        F.concat(F.lit("t"), F.col("ord") % 5).alias("entity_type"), F.lit("PII").alias("category"),
+        F.concat(F.lit("v"), F.col("ord")).alias("value"), F.lit("High").alias("risk"),
+        F.element_at(F.array(F.lit("regex"), F.lit("ner"), F.lit("rules")), (F.col("ord") % 3 + 1).cast("int")).alias("source"),
+        F.lit("").alias("reason"), "ord",
+    ).distinct()
+    layer = F.when(F.col("source") == "rules", 0).when(F.col("source") == "ner", 1).otherwise(2)
+    ranked = fd.resolve_overlaps(rows.withColumn("layer_rank", layer))
+    return ranked.select("doc_id", "span_start", "span_end", "value", "source")
+
+
+@query()
+def join_replies(spark, d):
+    """Replies of a model to every third memo, an error to every seventh."""
+    replies = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0 OR o_orderkey % 7 = 0").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("Reply "), "o_orderkey")).alias("reply"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("timeout")).alias("error"),
+    )
+    found = report.explanation_default(fd.with_findings(memo(spark, d))).withColumn(
+        "warnings", F.array().cast("array<string>")
+    )
+    return report.with_replies(found, replies).select(
+        "doc_id", "explanation", F.array_join("warnings", ",").alias("warnings")
+    )
+
+
 @query(name="scan_documents")
 def flat_scan(spark, d):
     scanned = scan_rows(spark, d)
@@ -530,6 +647,17 @@ def flat_scan(spark, d):
         F.expr("CASE WHEN total > 0 THEN array_join(compliance_rules.id, ',') END").alias("rule_ids"),
         F.expr("array_max(compliance_exposure.exposure)").alias("top_exposure"),
         "redacted_text",
+        "masked_text",
+        "original_text",
+        F.col("highlighted_html"),
+        F.when(F.col("total") > 0, F.col("prompt")).alias("prompt"),
+        "explanation",
+        *[F.col("risks")[r].alias(f"n_{r.lower()}") for r in vocab.RISKS],
+        *[F.col("sources")[x].alias(f"n_{x}") for x in vocab.SOURCES],
+        F.size("warnings").cast("long").alias("n_warnings"),
+        F.expr(
+            "array_join(transform(findings, _f -> concat(_f.entity_type, ':', _f.st, ':', _f.en)), ',')"
+        ).alias("found"),
     )
 
 
