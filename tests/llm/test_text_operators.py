@@ -86,6 +86,10 @@ def test_bpe_digest_of_odd_rows(table, encoding):
         ))
     assert got == sorted(want, key=str)
     assert bpe_digest(table([])).count() == 0
+    coded = bpe.encode(table(rows), RANKS, PATTERN)
+    assert coded.columns == ["doc_id", "ids"]
+    both = bpe.decode(coded, RANKS, PATTERN).collect()
+    assert sorted((str(r.doc_id), bytes(r.data).decode()) for r in both) == sorted((str(i), t or "") for i, t in rows)
 
 
 # ---- decontamination -------------------------------------------------------

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import per_text, pick, texts
 
-#: Entries of a worker's caches; when one is full it starts anew.
-CACHE = 300_000
+#: Entries of each of a worker's caches.
+CACHE = 200_000
 #: Longest piece, in bytes, whose prefixes are kept in the shared table.
 SHARED = 48
 
@@ -143,13 +143,18 @@ class Piece:
 
 
 class _Memo(dict):
+    """A cache in two generations: what was used since the last turn survives the next."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= CACHE:
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= CACHE // 2:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -253,6 +258,19 @@ def encode(docs, path, pattern, id_col="doc_id", text_col="text"):
     return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>")
 
 
+def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
+    """``doc_id, ids, data``: encoded and decoded again in one pass over the texts."""
+
+    def run(batch):
+        lookup = load(path, pattern).bytes_of.__getitem__
+        make = encoder(path, pattern).encode
+        parts = [make(t) for t in texts(batch)]
+        data = [b"".join(map(lookup, np.frombuffer(p, "<i4").tolist())) for p in parts]
+        return [lists(parts), pa.array(data, pa.binary())]
+
+    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>, data BINARY")
+
+
 def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):
     """``doc_id, ids, data``: the bytes that the ids stand for."""
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))

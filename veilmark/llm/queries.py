@@ -26,7 +26,7 @@ def table(spark, d, name):
 
 def bpe_digest(docs):
     """Encode, decode again, and sum up both as hashes."""
-    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    coded = bpe.round_trip(docs, RANKS, PATTERN)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
