@@ -92,14 +92,16 @@ def test_rules_by_type(spark):
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 500])
-def test_cosine_equals_brute_force(spark, block_bytes):
+def test_cosine_equals_brute_force(spark, block_bytes, tmp_path):
     """In one block and in many: the same neighbours in the same order."""
     rng = np.random.default_rng(2)
     known, asked = rng.normal(size=(60, 5)), rng.normal(size=(40, 5))
     to_df = lambda m, key: spark.createDataFrame(
         [(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{key} BIGINT, vec ARRAY<DOUBLE>"
     )
-    rows = comply.cosine_topk(to_df(asked, "query_id"), to_df(known, "id"), 4, block_bytes).collect()
+    to_df(known, "id").write.parquet(str(tmp_path / "known"))
+    table = spark.read.parquet(str(tmp_path / "known"))
+    rows = comply.cosine_topk(to_df(asked, "query_id"), table, 4, block_bytes).collect()
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     similarity = unit(asked) @ unit(known).T
     expected = {

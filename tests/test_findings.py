@@ -137,6 +137,27 @@ def test_dictionary_finds_whole_words_once_per_place(spark, docs):
     ]
 
 
+def test_dictionary_terms_of_any_length_and_sign(spark, docs):
+    terms = spark.createDataFrame(
+        [("United States of America", "LOCATION"), ("Sean O'Brien", "PERSON"), ("New York", "LOCATION"),
+         ("New York Times", "PERSON"), ("AT&T", "PERSON"), ("two  blanks", "PERSON"), (None, "PERSON")],
+        "term STRING, entity_type STRING",
+    )
+    text = docs("Sean O'Brien of the United States of America reads the New York Times")
+    rows = layers.find_dictionary(text, terms)
+    assert {r.value for r in rows.collect()} == {"Sean O'Brien", "United States of America", "New York", "New York Times"}
+    assert {r.source for r in rows.collect()} == {"rules"}
+    kept = fd.detect(text, more=[rows])
+    assert [r.value for r in kept.orderBy("span_start").collect()] == ["Sean O'Brien", "United States of America", "New York Times"]
+    assert {r.term for r in layers.unmatchable_terms(terms).collect()} == {"AT&T", "two  blanks", None}
+
+
+def test_layers_go_rules_labels_regex(spark, docs):
+    hits = spark.createDataFrame([(0, 0, "national id", 0, 10, "ABCDE1234F", 1.0)], MODEL_HITS)
+    row = fd.detect(docs("ABCDE1234F"), more=[layers.external_findings(hits)]).first()
+    assert row.entity_type == "national_id" and row.source == "ner"
+
+
 def test_chunks_rebase_to_the_document(docs):
     text = "".join(chr(97 + i % 26) for i in range(4500)) + "\U0001F600é"
     rows = layers.chunk_text(docs(text, "", "x" * 2000)).orderBy("doc_id", "chunk").collect()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from samples import BANK, MEDICAL, STAFF, UNICODE
 from veilmark import vocab
 from veilmark.operators import findings as fd, layers, recognize as rc, report, rewrite
-from veilmark.plans.scan import scan_documents
+from veilmark.plans.scan import scan_documents, scan_files
 from veilmark.streaming.scan import read_stream, scan_stream
 
 
@@ -40,7 +40,7 @@ def test_no_found_value_is_in_a_prompt(docs):
 
 def test_prompt_can_carry_raw_values_when_asked(docs):
     df = scan_documents(docs(MEDICAL)).withColumnRenamed("findings", "hits")
-    assert "482-67-3901" in report.explanation_prompt(df, text="original_text", raw=True).first().prompt
+    assert "351-48-2207" in report.explanation_prompt(df, text="original_text", raw=True).first().prompt
 
 
 def test_reports_are_cut(docs):
@@ -112,3 +112,23 @@ def test_a_large_dictionary_is_joined_by_shuffle_with_dealt_out_terms(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" in text and re.search(r"hashpartitioning\(gram#\d+, salt#\d+", text)
+
+
+def test_files_are_scanned_end_to_end(spark, tmp_path):
+    (tmp_path / "note.one.txt").write_bytes(b"SSN: 123-45-6789 \xff")
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF-1.7 binary")
+    (tmp_path / "odd.xyz").write_bytes(b"?")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in scan_files(spark, str(tmp_path)).collect()}
+    assert rows["note.one.txt"].redacted_text == "SSN: [US_SSN] \ufffd"
+    assert rows["note.one.txt"].output_name == "note.one_redactd.txt" and rows["note.one.txt"].warnings == []
+    assert rows["scan.pdf"].overall_risk == "None" and "outside reader" in rows["scan.pdf"].warnings[0]
+    assert "unsupported" in rows["odd.xyz"].warnings[0] and len({r.doc_id for r in rows.values()}) == 3
+
+
+def test_joined_findings_reach_every_part_of_the_scan(spark, docs):
+    terms = spark.createDataFrame([("Tobias Grell", "PERSON"), ("Elm Row", "LOCATION")], "term STRING, entity_type STRING")
+    table = docs(MEDICAL, "nothing", None)
+    rows = scan_documents(table, mode="replace", more=[layers.find_dictionary(table, terms)]).orderBy("doc_id").collect()
+    assert [r.total for r in rows] == [11, 0, 0]
+    assert "Case 7 of the 123 Example St clinic" in rows[0].redacted_text
+    assert "LOCATION" in rows[0].highlighted_html and rows[0].sources["rules"] == 5 and "Elm Row" not in rows[0].masked_text

@@ -368,6 +368,8 @@ def cosine_topk(queries, collection, k, block_bytes=BLOCK_BYTES):
     blocks = max(1, math.ceil(size / block_bytes))
     session = queries.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    if size >= 1 << 60:  # Spark has no estimate for this source
+        blocks = tasks
     copies = math.ceil(tasks / blocks)
     grouped = (
         known.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

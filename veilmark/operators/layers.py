@@ -12,7 +12,7 @@ from veilmark.operators.recognize import normalize_label
 from veilmark.schemas import FINDING_COLUMNS, LAYER_SPAN
 
 # Letters with their marks and digits; one of a few signs may join two such runs.
-WORD = r"[\p{L}\p{M}\p{N}]+(?:[_#.'’-][\p{L}\p{M}\p{N}]+)*"
+WORD = r"[\p{L}\p{M}\p{N}]++(?:[_#.'’-][\p{L}\p{M}\p{N}]++)*+"
 DICTIONARY_SCORE = 0.85
 GRAM = "struct<st:int,en:int,gram:string>"
 

@@ -176,12 +176,16 @@ FIELD_WORDS = {
 }
 FIELD_SCORE = 0.9
 _LABELS = "|".join(FIELD_WORDS)
-# A value ends at a bar, bracket, line end or semicolon, at a comma before a blank, and
-# where the next label begins.
-_NEXT = r"(?!\b(?:" + _LABELS + r")[ \t]*[:#])"
+# A value ends, without blanks and commas at its end, at a bar, bracket, line end or
+# semicolon, at a comma before a blank, but for one in a date in words, and where the next
+# label begins.  It is read forward one character at a time: a repeated group would take
+# stack for each.
+_END = (
+    r"(?=[^\S\n]*+(?:,(?! [12][0-9]{3}\b)[ \t\n]|\b(?:" + _LABELS + r")[ \t]*[:#]"
+    r"|,*+[^\S\n]*+(?:[|(\n;]|\z)))"
+)
 FIELD_PATTERN = (
-    r"\b(" + _LABELS + r")[ \t]*[:#][ \t]*"
-    r"((?:" + _NEXT + r"(?:[^|(\n;,]|,(?![ \t\n])))*" + _NEXT + r"[^|(\s;,])"
+    r"\b(" + _LABELS + r")[ \t]*[:#][ \t]*+([^|(\n;]*?[^|(\s;,])" + _END
 )
 LABEL_LAYER = [
     Recognizer(

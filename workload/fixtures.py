@@ -70,7 +70,7 @@ SELECT k AS doc_id,
  || {_when("k % 11 = 4", "'Both: 123-45-6789 234-56-7890'")}
  || {_when("k % 11 = 5", "'Diagnosis: ' || repeat('a long condition ', 70) || 'ends'")}
  || {_when("k % 11 = 6", "'Patient: Ann Lee, SSN: 234-56-7890, Diagnosis: HIV positive, Salary: $95,000; Treatment: ART'")}
- || {_when("k % 11 = 7", "'Diagnosis: HIV positive, card 4539148803436467, Treatment: ART Blood Type: AB+'")}
+ || {_when("k % 11 = 7", "'Diagnosis: HIV positive, card 4539148803436467, Treatment: ART Blood Type: AB+; DOB: May 2, 1991'")}
  || {_when("k % 11 = 8", "'Met Sean O' || chr(39) || 'Brien in the United States of America'")}
  || {_when("k % 11 = 9", "'Wrote to the New York Times in New York'")}
  AS text

@@ -121,7 +121,8 @@ RULES = [
 # ends a value.
 _LABEL_WORDS = "|".join(FIELD_WORDS)
 FIELD_MARKS = (
-    "regexp_replace(regexp_replace(text, ',([ \t\n])', chr(5) || '\\1', 'g'), "
+    "regexp_replace(replace(regexp_replace(regexp_replace(text, ',( [12][0-9][0-9][0-9]\\b)', chr(6) || '\\1', 'g'), "
+    "',([ \t\n])', chr(5) || '\\1', 'g'), chr(6), ','), "
     f"'(?i)(\\b(?:{_LABEL_WORDS})[ \t]*[:#])', chr(1) || '\\1', 'g')"
 )
 FIELDS = [
