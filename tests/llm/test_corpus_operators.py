@@ -121,7 +121,9 @@ def test_posterior_bound_keeps_pairs_at_the_threshold():
 def brute_scores(rows, size, least=2, alpha=0.4):
     texts = [(t or "").lower().split() for _, t in rows]
     counts = Counter(w for t in texts for w in t)
-    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
+    steps = Counter(math.floor(math.log2(n) * 16) for n in counts.values())
+    fits = [s for s in steps if sum(n for other, n in steps.items() if other >= s) <= size]
+    top = [w for w, n in counts.items() if fits and math.floor(math.log2(n) * 16) >= min(fits)]
     number = {w: i for i, w in enumerate(top, 1)}
     texts = [[number.get(w, 0) for w in t] for t in texts]
     total, one = sum(map(len, texts)), Counter(w for t in texts for w in t)
