@@ -12,8 +12,8 @@ Reach: t.grell@mailbox.example or (617) 555-0143"""
 STAFF = """Staff card
 Employee ID: EMP-90317 (Ingrid Solheim)
 SSN: 417-62-5038, DOB: May 2, 1991
-Mail ingrid.solheim@fjordworks.example
-Call +1 (503) 555-0178
+Call +1 (503) 555-0178 or mail
+ingrid.solheim@fjordworks.example
 Lives at 88 Harbor Mill Rd SW, Portland, OR 97201
 Salary: $71,250 per year
 Bank Account: 8123456790, Routing: 125000024"""

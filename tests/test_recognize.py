@@ -16,10 +16,8 @@ def found(df):
 GOLDEN = {
     MEDICAL: [("MRN", 87, 104)],
     STAFF: [
-        ("ROUTING_NUMBER", 249, 267),
-        ("PHONE_NUMBER_IN", 237, 247),
-        ("STREET_ADDRESS", 157, 177),
-        ("ZIP_CODE", 189, 197),
+        ("ROUTING_NUMBER", 252, 270), ("PHONE_NUMBER_IN", 240, 250),
+        ("STREET_ADDRESS", 160, 180), ("ZIP_CODE", 192, 200),
     ],
     BANK: [
         ("AADHAAR", 42, 56),
@@ -102,7 +100,7 @@ def test_detect_on_the_samples(docs):
     ]
     # A bank account that looks like an Indian mobile number is taken for one.
     assert kinds[1] == [
-        "employee_id", "US_SSN", "date_of_birth", "EMAIL_ADDRESS", "PHONE_NUMBER", "STREET_ADDRESS",
+        "employee_id", "US_SSN", "date_of_birth", "PHONE_NUMBER", "EMAIL_ADDRESS", "STREET_ADDRESS",
         "ZIP_CODE", "salary", "PHONE_NUMBER_IN", "ROUTING_NUMBER",
     ]
     # The card beats the Aadhaar hit inside it: same start and score, earlier layer.
@@ -167,7 +165,7 @@ def test_fields_end_at_bar_parenthesis_and_line(docs):
         ("Patient: Ann Lee, SSN: 234-56-7890, Diagnosis: HIV positive", ["Ann Lee", "234-56-7890", "HIV positive"]),
         ("Diagnosis: HIV positive, card 4539148803436467, Treatment: ART", ["HIV positive", "4539148803436467", "ART"]),
         ("Salary: $95,000; DOB: May 2, 1991", ["$95,000", "May 2, 1991"]),
-        ("Blood Type: AB+ Treatment: rest", ["AB+", "rest"]),
+        ("Blood Type: AB+ Treatment: long sleep", ["AB+", "long sleep"]),
         ("pay BE68 5390 0754 7034 EUR now", ["BE68 5390 0754 7034"]),
         ("LC14BOSL123456789012345678901234", ["LC14BOSL123456789012345678901234"]),
         ("gift 4539 1488 0343 6460 003", ["4539 1488 0343 6460 003"]),
