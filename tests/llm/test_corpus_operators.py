@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import zstandard
 
 import corpus_pipeline
 from veilmark.llm import lm, near_dedup, pii, queries, warc
@@ -189,6 +191,20 @@ def test_damaged_archives_are_reported():
     assert list(warc.read_archive(b"")) == [] and list(warc.read_archive(b"\x00" * 9))[0][2]
 
 
+def test_archives_are_read_from_files(spark, tmp_path):
+    data = b"<html>one</html>"
+    records = [warc.record(i, "u", data, hashlib.sha256(data).hexdigest(), None) for i in range(5)]
+    primer = b"<html>one</html> WARC-Type response"
+    packed = zstandard.ZstdCompressor().compress(primer)
+    plain = warc.archive(records, primer)
+    (tmp_path / "plain.warc.zst").write_bytes(plain)
+    (tmp_path / "packed.warc.zst").write_bytes(
+        struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed + plain[8 + len(primer) :]
+    )
+    rows = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert sorted(r.page_id for r in rows) == sorted([*range(5)] * 2) and all(r.error is None for r in rows)
+
+
 # ---- queries and pipeline --------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_covers_its_table(spark, name):

@@ -325,7 +325,8 @@ def _open(far, first=False):
 
 
 def keep_first(docs, percent=80, id_col="doc_id", text_col="text"):
-    """The documents with all their columns, one of each class."""
+    """The documents with all their columns, one of each class; rows without an id can't
+    be told apart and stay."""
     found = written(near_duplicates(docs, percent, id_col=id_col, text_col=text_col), "classes")
     gone = small_side(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

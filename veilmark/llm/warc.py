@@ -12,7 +12,11 @@ is the response, the others are revisits without a body that refer to it.
 
 Defined results: a null or empty payload is a response with an empty body; a null id or
 URL is written without that header; repeated rows are records of their own, and of
-equal payloads every row with the least id is a response; an empty table gives no archives and reads as no records.
+equal payloads every row with the least id is a response; an empty table gives no archives
+and reads as no records.
+
+Spark has no writer for binary files, so the archives are rows of a binary column; the
+reader takes those as well as files by way of ``spark.read.format("binaryFile")``.
 """
 
 from __future__ import annotations
@@ -169,7 +173,14 @@ def read_archive(data):
             if len(data) < 8 + size:
                 yield 0, None, "cut dictionary"
                 return
-            shared = zstandard.ZstdCompressionDict(bytes(data[8 : 8 + size])) if size else None
+            primer = bytes(data[8 : 8 + size])
+            if primer[:4] == FRAME_MAGIC:  # the dictionary may be compressed itself
+                try:
+                    primer = zstandard.ZstdDecompressor().decompressobj().decompress(primer)
+                except zstandard.ZstdError as error:
+                    yield 0, None, str(error)
+                    return
+            shared = zstandard.ZstdCompressionDict(primer) if primer else None
             at = 8 + size
     unpacker = zstandard.ZstdDecompressor(dict_data=shared)
     while at < len(data):
