@@ -20,12 +20,12 @@ GRAM = "struct<st:int,en:int,gram:string>"
 # this many copies of it, so that a word in every document is no single key.
 SALTS = 16
 # Bits of the filter that runs of words must pass before they leave their row.
-FILTER_BITS = 1 << 18
+FILTER_BITS = 1 << 16
 
 
-def grams_sql(text, longest, passes):
-    """Runs of up to ``longest`` words with single spaces between that pass a test of
-    their text, with offsets."""
+def grams_sql(text, longest, passes, opens):
+    """Runs of up to ``longest`` words with single spaces between, with offsets, whose first
+    word passes the test ``opens`` and whose text passes the test ``passes``."""
     run = (
         "transform(sequence(1, least({n}, size(_wp) - _wi)), _k -> named_struct('st', _w0.st, "
         "'en', get(_wp, _wi + _k - 1).en, 'gram', "
@@ -34,7 +34,8 @@ def grams_sql(text, longest, passes):
     # A run of k words spans their lengths and k - 1 blanks, if there is nothing else between.
     spaced = "length(_gr.gram) = _gr.en - _gr.st AND NOT exists(slice(_wf.gaps, _wi + 2, _j), _g -> _g <> ' ')"
     grams = (
-        f"flatten(transform(_wp, (_w0, _wi) -> filter({run}, (_gr, _j) -> {passes('_gr.gram')} AND {spaced})))"
+        f"flatten(transform(_wp, (_w0, _wi) -> CASE WHEN {opens('_w0.value')} "
+        f"THEN filter({run}, (_gr, _j) -> {passes('_gr.gram')} AND {spaced}) ELSE {empty(GRAM)} END))"
     )
     body = let("_wp", place("_wf"), grams)
     return (
@@ -59,31 +60,46 @@ def find_dictionary(docs, dictionary, salts=SALTS, bits=FILTER_BITS):
     """Findings for terms of ``dictionary`` (term, entity_type), whole words, as written.
 
     A term may have any number of words; the longest one sets how far runs are looked at.
-    Runs are held against a filter of term hashes inside the row, so only likely ones
-    leave it.  No side is forced to be broadcast: a small dictionary is, by its size, and
-    a large one is joined by a shuffle with hot terms dealt out.
+    Words are held against a filter of first words and runs against one of terms, inside
+    the row, so only likely ones leave it.  No side is forced to be broadcast: a small
+    dictionary is, by its size, and a large one is joined by a shuffle with hot terms dealt
+    out.
     """
     known = _terms(dictionary).where(F.array_join("words", " ") == F.col("term"))
-    place_of = F.pmod(F.xxhash64("term"), F.lit(bits))
+    hashed = F.pmod(F.xxhash64("x.value"), F.lit(bits))
     filled = (
-        known.select(F.floor(place_of / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {bits}) % 64 AS int))").alias("bit"), F.size("words").alias("n"))
-        .groupBy("at").agg(F.bit_or("bit").alias("bit"), F.max("n").alias("n")).collect()
+        known.select(
+            F.size("words").alias("n"),
+            F.explode(F.array(
+                F.struct(F.lit("term").alias("kind"), F.col("term").alias("value")),
+                F.struct(F.lit("head").alias("kind"), F.get("words", F.lit(0)).alias("value")),
+            )).alias("x"),
+        )
+        .groupBy("x.kind", F.floor(hashed / 64).cast("int").alias("at"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(x.value), {bits}) % 64 AS int)))").alias("bit"), F.max("n").alias("n"))
+        .collect()
     )
     longest = max([r.n for r in filled], default=1)
-    bitmap = "map_from_arrays(array({}), array({}))".format(
-        ", ".join(str(r["at"]) for r in filled), ", ".join(f"{r.bit}L" if r.bit > -(2**63) else "shiftleft(1L, 63)" for r in filled)
-    ) if filled else "map(-1, 0L)"
-
-    def passes(gram):
-        place = f"pmod(xxhash64({gram}), {bits})"
-        return (
-            f"shiftrightunsigned(coalesce(try_element_at({bitmap}, cast({place} div 64 AS int)), 0L), "
-            f"cast({place} % 64 AS int)) % 2 <> 0"
+
+    def test(kind):
+        longs = {r["at"]: r.bit for r in filled if r.kind == kind}
+        # The lowest long has no literal of its own.
+        bitmap = ", ".join(
+            f"{longs.get(i, 0)}L" if longs.get(i, 0) > -(2**63) else "shiftleft(1L, 63)" for i in range(bits // 64)
         )
 
-    grams = docs.select("doc_id", F.inline(F.expr(grams_sql("text", longest, passes))))
+        def passes(value):
+            found = f"get(array({bitmap}), cast(_pb div 64 AS int))"
+            return let(
+                "_pb", f"pmod(xxhash64({value}), {bits})",
+                f"shiftrightunsigned({found}, cast(_pb % 64 AS int)) % 2 <> 0",
+            )
+
+        return passes
+
+    grams = docs.select("doc_id", F.inline(F.expr(grams_sql("text", longest, test("term"), test("head")))))
     terms = known.select(F.col("term").alias("gram"), "entity_type").distinct()
-    limit = int(docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b"))
+    limit = docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     keys = ["gram"]
     if not 0 <= int(str(terms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit:
         keys.append("salt")
