@@ -269,24 +269,26 @@ def near_duplicates(docs, percent=80, shingle=SHINGLE, id_col="doc_id", text_col
     compared = written(intersections(todo, sets).join(stars.select("a", "b", "n_a", "n_b"), ["a", "b"]), "compared")
     links = compared.where(_linked(percent)).select("a", "b")
 
-    # Members of larger buckets that the pivot did not settle.
+    # What the pivots of larger buckets did not settle.  Many buckets of a group have one
+    # pivot, so members are put together by pivot, each pair once.
     labels = components(links)
     far = (
-        starred.where("size > 2")
-        .join(compared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", F.col("n_b").alias("n_pivot")), ["node", "pivot"])
+        compared.join(stars.where("size > 2").select("a", "b"), ["a", "b"])
+        .select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", F.col("n_a").alias("n"), F.col("n_b").alias("n_pivot"))
+        .join(alive.select("node", "u"), "node")
         .join(labels, "node", "left")
         .select(
-            "bucket", "node", "n", F.coalesce("label", "node").alias("label"),
+            "pivot", "node", "n", F.coalesce("label", "node").alias("label"),
             (F.col("n") + F.col("n_pivot") - 2 * F.col("common") - F.col("n") * bound).alias("high"),
             (2 * F.col("u") - F.col("n") - F.col("n_pivot") + 2 * F.col("common") - F.col("n") * bound).alias("low"),
         )
     )
     far = _open(_open(written(far, "far"), first=True))
     far = written(far, "open")
-    x = far.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "high", "low")])
-    y = far.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "high", "low")])
+    x = far.select("pivot", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "high", "low")])
+    y = far.select("pivot", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "high", "low")])
     rest = (
-        x.join(y, "bucket")
+        x.join(y, "pivot")
         .where("node_a < node_b and label_a <> label_b and high_a + low_b <= 1e-6 and high_b + low_a <= 1e-6")
         .where(fits)
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -316,12 +318,13 @@ def near_duplicates(docs, percent=80, shingle=SHINGLE, id_col="doc_id", text_col
 
 
 def _open(far, first=False):
-    """Buckets with more than one component, without members that can link with nobody."""
-    by = far.groupBy("bucket").agg(F.min("low").alias("least"), F.min("label").alias("one"), F.max("label").alias("two"))
-    kept = far.join(by.where("one <> two"), "bucket")
+    """Groups of a pivot with more than one component, without members that can link with
+    nobody."""
+    by = far.groupBy("pivot").agg(F.min("low").alias("least"), F.min("label").alias("one"), F.max("label").alias("two"))
+    kept = far.join(by.where("one <> two"), "pivot")
     if first:
         kept = kept.where("high + least <= 1e-6")
-    return kept.select("bucket", "node", "n", "label", "high", "low")
+    return kept.select("pivot", "node", "n", "label", "high", "low")
 
 
 def keep_first(docs, percent=80, id_col="doc_id", text_col="text"):
