@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import per_text, pick, texts
 
-#: Entries of each of a worker's caches.
-CACHE = 200_000
+#: Entries of each of a worker's caches; they are emptied at the end of each task, so that
+#: a worker that goes on to other work does not keep them.
+CACHE = 400_000
 #: Longest piece, in bytes, whose prefixes are kept in the shared table.
 SHARED = 48
 
@@ -169,6 +170,13 @@ class Encoder:
         self.pieces = _Memo(self._piece)
         self.words = _Memo(self._word)
 
+    def clear(self):
+        for memo in (self.pieces, self.words):
+            memo.clear()
+            memo.old = {}
+        self.prefixes.clear()
+        self.vocabulary.fits.clear()
+
     def _piece(self, piece):
         """Short pieces share the table of prefixes: each new one is an append to the
         longest prefix that was met before."""
@@ -255,7 +263,11 @@ def encode(docs, path, pattern, id_col="doc_id", text_col="text"):
         make = encoder(path, pattern).encode
         return [lists([make(t) for t in texts(batch)])]
 
-    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>")
+    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>", finish=_emptied(path, pattern))
+
+
+def _emptied(path, pattern):
+    return lambda: encoder(path, pattern).clear()
 
 
 def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
@@ -268,7 +280,7 @@ def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
         data = [b"".join(map(lookup, np.frombuffer(p, "<i4").tolist())) for p in parts]
         return [lists(parts), pa.array(data, pa.binary())]
 
-    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>, data BINARY")
+    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>, data BINARY", finish=_emptied(path, pattern))
 
 
 def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):

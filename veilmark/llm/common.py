@@ -57,21 +57,25 @@ def raw_texts(batch):
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
-def per_text(docs, per_slice, columns, keep=("doc_id",), reads=()):
+def per_text(docs, per_slice, columns, keep=("doc_id",), reads=(), finish=None):
     """Append ``columns`` (a DDL string) computed per text to the kept columns.
 
     ``per_slice`` is a function of a batch that returns one Arrow array for each of the
     new columns; it runs inside Spark's tasks on slices of bounded size.  ``reads`` names further
-    columns that it needs.
+    columns that it needs; ``finish`` is called at the end of each task.
     """
     added = StructType.fromDDL(columns)
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + added.fields)
     names, kept = [f.name for f in schema], list(keep)
 
     def run(batches):
-        for batch in slices(batches):
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays(arrays + list(per_slice(batch)), names=names)
+        try:
+            for batch in slices(batches):
+                arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays(arrays + list(per_slice(batch)), names=names)
+        finally:
+            if finish is not None:
+                finish()
 
     needed = list(dict.fromkeys([*kept, "text", *reads]))
     return docs.select(*needed).mapInArrow(run, schema)
