@@ -83,13 +83,11 @@ def find_dictionary(docs, dictionary, salts=SALTS, bits=FILTER_BITS):
 
     def test(kind):
         longs = {r["at"]: r.bit for r in filled if r.kind == kind}
-        # The lowest long has no literal of its own.
-        bitmap = ", ".join(
-            f"{longs.get(i, 0)}L" if longs.get(i, 0) > -(2**63) else "shiftleft(1L, 63)" for i in range(bits // 64)
-        )
+        # One text that the optimizer folds to a constant array; as many literals are slow to plan.
+        bitmap = ",".join(str(longs.get(i, 0)) for i in range(bits // 64))
 
         def passes(value):
-            found = f"get(array({bitmap}), cast(_pb div 64 AS int))"
+            found = f"get(cast(split('{bitmap}', ',') AS array<bigint>), cast(_pb div 64 AS int))"
             return let(
                 "_pb", f"pmod(xxhash64({value}), {bits})",
                 f"shiftrightunsigned({found}, cast(_pb % 64 AS int)) % 2 <> 0",
