@@ -153,6 +153,42 @@ def test_scores_equal_brute_force(spark, size, head):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def brute_open(rows, least=2, alpha=0.4):
+    """Scores by counts of all words and all pairs, as they stand in the texts."""
+    texts = [(t or "").lower().split() for _, t in rows]
+    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
+    total, out = sum(one.values()), []
+    for (i, _), t in zip(rows, texts):
+        score = math.log10(one[t[0]] / total) if t else None
+        for a, b in zip(t, t[1:]):
+            score += math.log10(two[a, b] / one[a] if two[a, b] >= least else alpha * one[b] / total)
+        out.append((i, len(t), None if score is None else round(score, 6)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ranked, head, least", [(1 << 16, 256, 2), (20, 5, 2), (40, 3, 3), (0, 5, 2), (30, 5, 1)])
+def test_scores_count_all_words(spark, ranked, head, least):
+    rng = random.Random(ranked + head)
+    rows = [(i, " ".join(f"w{int(rng.expovariate(0.03))}" for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    rows += [(900, None), (None, "w1 w2"), (5, "w1 W2 w3"), (902, "w1 w2 " * 500), (903, "once twice once twice twice")]
+    rows += [(904, f"{'x' * 70} {'y' * 70} w1"), (905, f"{'x' * 70} {'y' * 70} {'x' * 70}"), (906, "a1 b1 a1 b1 b1 a1")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id BIGINT, text STRING, gram INT")
+    found = lm.score(docs, head=head, least=least, ranked=ranked).collect()
+    got = sorted(((r.doc_id, r.n_words, None if r.log10_score is None else round(r.log10_score, 6)) for r in found), key=str)
+    assert got == brute_open(rows, least)
+
+
+def test_words_of_nearly_equal_counts_are_all_known(spark):
+    """More words in one step of counts than have a rank, and gibberish beside them."""
+    rng = random.Random(3)
+    words = [f"n{i}" for i in range(300)] * 4
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i * 40 : i * 40 + 40])) for i in range(30)] + [(99, " ".join(f"g{i}" for i in range(40)))]
+    found = lm.score(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), ranked=100).collect()
+    assert sorted((r.doc_id, r.n_words, round(r.log10_score, 6)) for r in found) == sorted(brute_open(rows))
+    assert min(found, key=lambda r: r.per_word).doc_id == 99
+
+
 # ---- WARC ------------------------------------------------------------------
 def test_pages_come_back(spark):
     same = "<html>" + "same " * 40 + "</html>"
