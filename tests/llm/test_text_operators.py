@@ -296,6 +296,16 @@ def test_novel_strings_in_sensitive_context(table):
     assert secrets.identifiers(table([])) == [] and secrets.detect(table([]), []).count() == 0
 
 
+def test_novel_strings_need_no_mix_of_digits_and_letters(table):
+    keys = ["Zkqjd7KqvLmXxwbpQ", "ZkqjdWKqvLmXxwbpQRtu", "8391750264417390265817", "Zk+jd/Kq=Lm_Xx-bp"]
+    rows = [(i, f"the client secret is {key} and so on") for i, key in enumerate(keys)]
+    rows += [(10, "load_configuration token load_configuration"), (11, f"nothing {keys[1]} near")]
+    known = secrets.identifiers(table([(i, "auth load_configuration") for i in range(3)]))
+    found = {r.doc_id: r.spans for r in secrets.detect(table(rows), known).collect()}
+    assert [found[i] for i in range(4)] == [f"novel:21:{21 + len(key)}" for key in keys]
+    assert found[10] == found[11] == ""
+
+
 # ---- language --------------------------------------------------------------
 def sentences(rng, lang):
     words = {"en": "the of and shing ther tion with", "de": "der und nicht schen ung lich über", "fr": "le que été eau pour ère les"}

@@ -76,12 +76,6 @@ def sensitive_places(text):
     return out
 
 
-def mixed(value):
-    """Whether a string mixes two digits or more with letters, as generated keys do."""
-    digits = sum(c.isdigit() for c in value)
-    return digits >= 2 and sum(c.isalpha() for c in value) >= 3
-
-
 class Novelty:
     """Marginal compressed bytes of a candidate."""
 
@@ -105,7 +99,7 @@ def novel_spans(text, novelty, base, least=NOVELTY):
             if m.start() > end:
                 break
             value = m.group()
-            if not mixed(value) or any(m.start() < b and a < m.end() for a, _, b in base):
+            if any(m.start() < b and a < m.end() for a, _, b in base):
                 continue
             before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
             if novelty.bytes_of(before, value, after) >= least * len(value):
