@@ -259,6 +259,17 @@ def test_model_adds_what_base_patterns_lack(table):
     assert pii.detect(table([(1, "a@b.cc")]), {}).first().spans == "email:0:6"
 
 
+def test_spelled_addresses_need_no_other_sign(table):
+    for text in ("ask jane.doe (at) example.com now", "ask jane.doe [AT] example.com now", "ask jane at mail dOt com now"):
+        assert len(pii.regions(text)) == 1
+    assert pii.regions("look at the cat (late) again") == []
+    rows = [(i, f"then {'abc'[i % 3]}{i}.x@mail{i % 9}.example.com was written to, ok") for i in range(200)]
+    weights = pii.fit(table(rows))
+    text = "ask jane.doe (at) example.com now"
+    assert [text[a:b] for a, _, b in pii.find(text, pii.SemiMarkov(weights))[1]] == ["jane.doe (at) example.com"]
+    assert pii.mask_documents(table([(1, text)]), weights).first().text == "ask [EMAIL] now"
+
+
 # ---- secrets ---------------------------------------------------------------
 def brute_secrets(text):
     out = []
