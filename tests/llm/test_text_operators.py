@@ -203,6 +203,16 @@ def test_failing_lines_go_and_documents_that_lose_too_much(table):
     assert quality.filter_documents(table([])).count() == 0
 
 
+def test_lines_of_single_capitals_fail_alone(table):
+    good = "This is a plain line of text that says one thing or another to its reader."
+    for line in ("F R E E M O N E Y", "U.S.A. F.B.I. C.I.A. N.S.A.", "Ⓐ Ⓑ Ⓒ Ⓓ Ⓔ"):
+        assert quality.line_fails(line) == "punctuation"
+        assert quality.clean(f"{good}\n{line}")[0] == good
+    rows = [(1, f"{good}\nF R E E M O N E Y"), (2, "A B C D E F G H I J K L")]
+    assert [(r.doc_id, r.text) for r in quality.filter_documents(table(rows)).collect()] == [(1, good)]
+    assert {r.doc_id: r.kept for r in quality.assess(table(rows)).collect()} == {1: True, 2: False}
+
+
 # ---- personal data ---------------------------------------------------------
 BASE = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",

@@ -89,21 +89,8 @@ def line_fails(line, rules=Rules()):
     return None
 
 
-def needs_lines(text):
-    """Whether any line of a text can fail: each rule needs one of these signs."""
-    return (
-        "!" in text
-        or any(s in text for s in SEPARATORS)
-        or _DRESSED.search(text) is not None
-        or _PHRASES.search(text) is not None
-        or re.search(r"[^\W\d_a-z]{2}", text) is not None
-    )
-
-
 def clean(text, rules=Rules()):
     """The text without failing lines, and the number of characters removed."""
-    if not needs_lines(text):
-        return text, 0
     kept, lost = [], 0
     for line in text.split("\n"):
         if line_fails(line, rules) is None:
