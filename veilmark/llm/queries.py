@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, decontaminate, langid, lm, near_dedup, pii, quality, secrets, toxicity, warc
+from veilmark.llm import (
+    bpe, decontaminate, exact, langid, lm, merkle, near_dedup, pii, quality, secrets, spelling, toxicity, warc,
+)
+from veilmark.llm.oracle import ORACLE_SQL
 
 QUERIES = {}
-ORACLE_SQL = {}
 
 #: Production parameter: the rank file and the pattern that cuts texts.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -113,3 +115,29 @@ def op10_toxicity(spark, d):
         "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_spelling(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
+
+
+@query
+def op12_merkle(spark, d):
+    docs = table(spark, d, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_hash([F.col("n_chars") + 1 if c == "n_chars" else c for c in fields])
+    rows = docs.select(
+        "doc_id", "lang", merkle.leaf_hash(fields).alias("leaf"),
+        F.when(remainder("doc_id", 7) == 0, tampered).alias("tampered"),
+    )
+    found = merkle.proofs(rows, carry=["tampered"]).withColumn("present", F.coalesce("tampered", "leaf"))
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return found.select(
+        "doc_id", *hexed, merkle.proof_hash().alias("proof_sha256"), merkle.fold("present").alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_exact(spark, d):
+    return exact.exact_duplicates(table(spark, d, "documents"))
