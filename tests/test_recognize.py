@@ -6,7 +6,8 @@ import pytest
 from samples import BANK, MEDICAL, STAFF, UNICODE
 from veilmark import vocab
 from veilmark.operators import recognize as rc
-from veilmark.operators.findings import detect
+from veilmark.operators.findings import detect, with_findings
+from veilmark.operators.rewrite import redact
 
 
 def found(df):
@@ -180,3 +181,52 @@ def test_nothing_is_cut_or_lost(docs, text, expected):
 
 def test_a_long_run_of_address_characters_is_read_once(docs):
     assert rc.find(docs("a.b-" * 50_000), rc.by_type("EMAIL_ADDRESS")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Patient: Smith, John | ward 3", ["Smith", "John"]),
+        ("Diagnosis: diabetes, hypertension and HIV", ["diabetes", "hypertension and HIV"]),
+        ("Medications: metformin, lisinopril 10mg", ["metformin", "lisinopril 10mg"]),
+        ("Employee ID: E-12, 34", ["E-12", "34"]),
+        ("Salary: $95,000, bonus $1,200", ["$95,000", "bonus $1,200"]),
+        ("DOB: May 2, 1991, June 3, 1992", ["May 2, 1991", "June 3, 1992"]),
+        ("Patient: Ann Lee, Ward: 7, Diagnosis: flu , , cough,", ["Ann Lee", "flu", "cough"]),
+        ("Diagnosis: 4539148803436467 HIV", ["4539148803436467", "HIV"]),
+        ("Diagnosis: flu by mail joe@example.com, cough", ["flu by mail", "joe@example.com", "cough"]),
+        ("Treatment: 10.1.2.3 10.4.5.6 long sleep", ["10.1.2.3", "10.4.5.6", "long sleep"]),
+        ("Treatment: a b 10.1.2.3 or IP address: 10.4.5.6", ["a b", "10.1.2.3", "or IP", "10.4.5.6"]),
+    ],
+)
+def test_lists_are_split_and_cut_around_stronger_findings(docs, text, expected):
+    rows = detect(docs(text)).orderBy("span_start").collect()
+    assert [r.value for r in rows] == expected
+    assert all(text[r.span_start : r.span_end] == r.value for r in rows)
+
+
+def test_no_item_of_a_labelled_list_stays_readable(docs):
+    rng = random.Random(8)
+    words = ["Ωmega", "smith", "type-2", "x9", "O'Neil", "blue pill", "£5", "J.R."]
+    strong = ["4539148803436467", "joe@example.com", "10.1.2.3"]
+    labels = ["Patient", "Diagnosis", "Medications", "Employee ID", "Salary"]
+    texts, hidden = [], []
+    for n in range(300):
+        fields, secret = [], []
+        for label in rng.sample(labels, rng.randint(1, 3)):
+            items = [
+                " ".join(rng.choices(words + strong, k=rng.randint(1, 4))) + f" q{n}z{k}" for k in range(rng.randint(1, 6))
+            ]
+            secret += [w for item in items for w in item.split()]
+            fields.append(f"{label}: " + rng.choice([", ", ",  ", " , "]).join(items))
+        texts.append(rng.choice([" | ", "; ", "\n", ", "]).join(fields))
+        hidden.append(secret)
+    table = docs(*texts)
+    for row, secret in zip(redact(with_findings(table)).orderBy("doc_id").collect(), hidden):
+        left = set(re.findall(r"[^\s,;|]+", re.sub(r"\[\w+\]", " ", row.redacted_text)))
+        assert not left & set(secret), row
+
+
+def test_long_lists_are_read_in_one_pass(docs):
+    text = "Diagnosis: " + ", ".join(f"flu n{i}n 4539148803436467 x" for i in range(5000))
+    assert detect(docs(text)).count() == 15_000

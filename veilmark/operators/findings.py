@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.arrays import empty, quoted, scan
+from veilmark.functions.filters import filter_of, may_hold
 from veilmark.operators.recognize import (
     ALL_LAYERS,
     category_of,
@@ -20,6 +21,7 @@ from veilmark.operators.recognize import (
     is_denied,
 )
 from veilmark.schemas import FINDING_COLUMNS, HIT, LAYER_SPAN, LAYERS
+from veilmark.session import fits_broadcast, stored
 
 
 # ---- in-row forms ---------------------------------------------------------
@@ -106,8 +108,11 @@ def in_order(findings):
 def attach_findings(docs, findings, column="more"):
     """Put a findings table back on its documents, as an array of HIT structs per row.
 
-    Findings are first cut to one per start, as in ``resolve_overlaps``; the text is
-    shuffled once, by its id.
+    Findings are first cut to one per start, as in ``resolve_overlaps``, gathered by document
+    and stored, so they are computed once and their size is known.  Where Spark would broadcast
+    them, no text moves.  Beyond that, documents are held against a bit filter of the ids that
+    have findings, sized by their number: those that pass are joined by a shuffle, the
+    others, which can't have any, stay in their split.  A null id has no findings.
     """
     best = (
         in_order(findings).where("span_end > span_start").groupBy("doc_id", "span_start").agg(
@@ -121,8 +126,15 @@ def attach_findings(docs, findings, column="more"):
         )
     )
     gathered = best.groupBy("doc_id").agg(F.collect_list(F.col("h").cast(HIT)).alias(column))
-    joined = docs.join(gathered, "doc_id", "left")
-    return joined.withColumn(column, F.coalesce(column, F.expr(empty(HIT))))
+    gathered = stored(gathered, "findings")
+    nothing = F.expr(empty(HIT))
+    if fits_broadcast(gathered):
+        joined = docs.join(F.broadcast(gathered), "doc_id", "left")
+        return joined.withColumn(column, F.coalesce(column, nothing))
+    count = gathered.count()
+    passes = may_hold(filter_of(gathered.select("doc_id"), "doc_id", count), "doc_id", count)
+    some = docs.where(passes).join(gathered, "doc_id", "left").withColumn(column, F.coalesce(column, nothing))
+    return some.select(*docs.columns, column).unionByName(docs.where(~passes).withColumn(column, nothing))
 
 
 # ---- table forms ----------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions import checks
-from veilmark.functions.arrays import constant_map, let, quoted, text_list
+from veilmark.functions.arrays import constant_map, empty, let, quoted, raw, scan, text_list
 from veilmark.functions.text import find_all, place, strip
 from veilmark.schemas import HIT, LAYER_SPAN, LAYERS
 
@@ -177,16 +177,18 @@ FIELD_WORDS = {
 FIELD_SCORE = 0.9
 _LABELS = "|".join(FIELD_WORDS)
 # A value ends, without blanks and commas at its end, at a bar, bracket, line end or
-# semicolon, at a comma before a blank, but for one in a date in words, and where the next
-# label begins.  It is read forward one character at a time: a repeated group would take
-# stack for each.
+# semicolon, at a comma before words and a colon, which look like another label, and where
+# the next known label begins.  It is read forward one character at a time: a repeated group
+# would take stack for each.
 _END = (
-    r"(?=[^\S\n]*+(?:,(?! [12][0-9]{3}\b)[ \t\n]|\b(?:" + _LABELS + r")[ \t]*[:#]"
+    r"(?=[^\S\n]*+(?:,++[ \t\n]*+\p{L}[\p{L}\p{N} .'/-]{0,39}+[:#]|\b(?:" + _LABELS + r")[ \t]*[:#]"
     r"|,*+[^\S\n]*+(?:[|(\n;]|\z)))"
 )
 FIELD_PATTERN = (
     r"\b(" + _LABELS + r")[ \t]*[:#][ \t]*+([^|(\n;]*?[^|(\s;,])" + _END
 )
+# Commas before blanks part the items of a value, but for one in a date in words.
+ITEM_BREAK = r"[ \t]*+,++(?! [12][0-9]{3}\b)[ \t]++"
 LABEL_LAYER = [
     Recognizer(
         "fields", None, UNICODE + FIELD_PATTERN, FIELD_SCORE, "ner", "mark", 2, 1
@@ -197,6 +199,23 @@ LABEL_LAYER = [
 ALL_LAYERS = RULES_LAYER + LABEL_LAYER + REGEX_LAYER
 
 
+def _listed(kind):
+    return bool({kind, kind.lower()} & set(vocab.CATEGORY_TABLE))
+
+
+def _stronger(r):
+    """Whether a labelled value is cut around the findings of a recognizer.  A type without a
+    category would be dropped later, and the value with it."""
+    return r.entity_type is not None and r.score > FIELD_SCORE and _listed(r.entity_type)
+
+
+# Words that name such findings, like "card" before a card number, are left out of what
+# remains of a value.
+CAPTIONS = sorted({
+    w for r in ALL_LAYERS if _stronger(r) for w in r.entity_type.lower().split("_") if len(w) > 2
+})
+
+
 def by_type(*kinds):
     """The recognizers of the given entity types or names, in rank order."""
     return [r for r in ALL_LAYERS if r.entity_type in kinds or r.name in kinds]
@@ -246,10 +265,82 @@ def _checked(hit, recognizers):
     return f"CASE {hit}.rank {tests} ELSE true END" if tests else "true"
 
 
+def _items(spots):
+    """Values of labelled fields, as places in the text, split into the items of a list."""
+    split = (
+        f"named_struct('whole', _its, 'gaps', concat(array(''), regexp_extract_all(_pv.value, {raw(ITEM_BREAK)}, 0)), "
+        "'values', _its, 'labels', array_repeat(_pv.label, size(_its)))"
+    )
+    moved = (
+        f"transform(filter({place(split)}, _it -> _it.value <> ''), _it -> named_struct('st', _pv.st + _it.st, "
+        "'en', _pv.st + _it.en, 'value', _it.value, 'label', _it.label))"
+    )
+    items = let("_its", f"split(_pv.value, {raw(ITEM_BREAK)}, -1)", moved)
+    return f"flatten(transform({spots}, _pv -> {items}))"
+
+
+_SPOT = (
+    "struct<rank:int,entity_type:string,score:double,source:string,layer:bigint,st:int,en:int,value:string>"
+)
+_PART = "struct<h:" + _SPOT + ",st:int,en:int,before:boolean>"
+_CAPTION = r"(?iU)(?:(?<![\p{L}\p{N}])(?:" + "|".join(CAPTIONS) + r")[^\p{L}\p{N}]*+)*+$"
+
+
+def _cut_around(hits, fields, strong):
+    """Labelled values without the stretches of findings with a higher score.
+
+    One pass over both kinds in order of start: a stronger finding ends the part before it,
+    the next value or the end of the text ends the rest.
+    """
+    of_field, of_strong = (f"rank IN ({', '.join(map(str, ranks))})" for ranks in (fields, strong))
+
+    def event(kind):
+        return f"_e -> named_struct('st', _e.st, 'kind', {kind}, 'en', _e.en, 'h', _e)"
+
+    def step(s, x):
+        cuts, inside = f"{x}.kind = 0", f"{s}.cur IS NOT NULL AND {s}.pos < {s}.cur.en"
+        state = (
+            f"named_struct('cover', CASE WHEN {cuts} THEN greatest({s}.cover, {x}.en) ELSE {s}.cover END, "
+            f"'cur', CASE WHEN {cuts} THEN {s}.cur ELSE {x}.h END, "
+            f"'pos', CASE WHEN {cuts} THEN greatest({s}.pos, {x}.en) ELSE greatest({x}.st, {s}.cover) END)"
+        )
+        part = (
+            f"named_struct('h', {s}.cur, 'st', {s}.pos, 'en', CASE WHEN {cuts} THEN least({x}.st, {s}.cur.en) "
+            f"ELSE {s}.cur.en END, 'before', {cuts} AND {x}.st < {s}.cur.en)"
+        )
+        return state, f"{inside} AND NOT ({cuts} AND {x}.st <= {s}.pos)", part
+
+    def last(s):
+        rest = f"named_struct('h', {s}.cur, 'st', {s}.pos, 'en', {s}.cur.en, 'before', false)"
+        return f"CASE WHEN {s}.cur IS NOT NULL AND {s}.pos < {s}.cur.en THEN array({rest}) ELSE {empty(_PART)} END"
+
+    zero = f"named_struct('cover', 0, 'cur', cast(NULL AS {_SPOT}), 'pos', 0)"
+    events = (
+        f"array_sort(concat(transform(filter(_vd, _e -> _e.{of_strong}), {event(0)}), "
+        f"transform(filter(_vd, _e -> _e.{of_field}), {event(1)})))"
+    )
+    parts = scan(events, zero, step, _PART, last)
+    # Signs beside a cut, and captions before it, are left out; the rest stays as it is.
+    text = "substring(_pt.h.value, _pt.st - _pt.h.st + 1, _pt.en - _pt.st)"
+    head = f"CASE WHEN _pt.before THEN regexp_replace(regexp_replace(_tx, {raw(_CAPTION)}, ''), {raw(r'(?U)[^\p{L}\p{N}]+$')}, '') ELSE _tx END"
+    tail = f"CASE WHEN _pt.st > _pt.h.st THEN regexp_replace(_hd, {raw(r'(?U)^[^\p{L}\p{N}]+')}, '') ELSE _hd END"
+    begin = "_pt.st + length(_hd) - length(_tl)"
+    spot = (
+        f"named_struct('rank', _pt.h.rank, 'entity_type', _pt.h.entity_type, 'score', _pt.h.score, 'source', _pt.h.source, "
+        f"'layer', _pt.h.layer, 'st', {begin}, 'en', {begin} + length(_tl), 'value', _tl)"
+    )
+    kept = f"transform({parts}, _pt -> {let('_tx', text, let('_hd', head, let('_tl', tail, spot)))})"
+    others = f"filter(_vd, _e -> NOT _e.{of_field})"
+    cut = f"concat({others}, filter({kept}, _e -> _e.value <> ''))"
+    both = f"exists(_vd, _e -> _e.{of_field}) AND exists(_vd, _e -> _e.{of_strong})"
+    return let("_vd", hits, f"CASE WHEN {both} THEN {cut} ELSE _vd END")
+
+
 def hits_sql(text, recognizers=None):
     """All findings of ``recognizers`` in ``text`` as an array of HIT structs.
 
-    Order: recognizer, then position.  Nothing is filtered but failed checksums.
+    Order: recognizer, then position.  Failed checksums are filtered; labelled values are
+    split into the items of a list and cut around findings of a higher score.
     """
     recognizers = ALL_LAYERS if recognizers is None else recognizers
     guards = sorted({r.guard for r in recognizers})
@@ -268,15 +359,22 @@ def hits_sql(text, recognizers=None):
     flags = let("_dg", f"rlike({text}, r'(?U)\\d')", three)
     raw_matches = let("_g", flags, f"array({every})")
 
+    fields = [i for i, r in enumerate(recognizers) if r.label_group]
+    spots = place("_m.found")
+    if fields:
+        spots = let("_ps", spots, f"CASE WHEN _m.rank IN ({', '.join(map(str, fields))}) THEN {_items('_ps')} ELSE _ps END")
     label = f"try_element_at({constant_map(FIELD_WORDS)}, lower(_pl.label))"
     locate = (
-        f"transform({place('_m.found')}, _pl -> named_struct('rank', _m.rank, "
+        f"transform({spots}, _pl -> named_struct('rank', _m.rank, "
         f"'entity_type', coalesce(_m.entity_type, {normalize_label(label)}), "
         "'score', _m.score, 'source', _m.source, 'layer', _m.layer, 'st', _pl.st, 'en', _pl.en, "
         "'value', _pl.value))"
     )
     placed = f"flatten(transform(filter({raw_matches}, _m -> _m.found IS NOT NULL), _m -> {locate}))"
     valid = f"filter({placed}, _h -> {_checked('_h', recognizers)})"
+    strong = [i for i, r in enumerate(recognizers) if _stronger(r)]
+    if fields and strong:
+        valid = _cut_around(valid, fields, strong)
     hit = let(
         "_c",
         category_of("_h.entity_type"),

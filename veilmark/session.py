@@ -1,8 +1,9 @@
-"""Session settings and the shared folder for intermediate tables."""
+"""Session settings, and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,22 @@ def shared_folder(spark):
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="veilmark-")
+
+
+def stored(frame, name):
+    """A table written to the shared folder and read again: it is computed once, and its
+    size is known."""
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def estimated_bytes(frame):
+    """Spark's estimate of a table's size; of a stored one, that of its files."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_broadcast(frame):
+    """Whether Spark would broadcast a table of this size by itself."""
+    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= estimated_bytes(frame) <= limit

@@ -71,6 +71,10 @@ SELECT k AS doc_id,
  || {_when("k % 11 = 5", "'Diagnosis: ' || repeat('a long condition ', 70) || 'ends'")}
  || {_when("k % 11 = 6", "'Patient: Ann Lee, SSN: 234-56-7890, Diagnosis: HIV positive, Salary: $95,000; Treatment: ART'")}
  || {_when("k % 11 = 7", "'Diagnosis: HIV positive, card 4539148803436467, Treatment: ART Blood Type: AB+; DOB: May 2, 1991'")}
+ || {_when("k % 13 = 1", "'Patient: Smith, John ' || cast(k AS string) || ' | Diagnosis: diabetes, hypertension and HIV'")}
+ || {_when("k % 13 = 2", "'Medications: metformin, lisinopril 10mg, aspirin; Employee ID: E-' || cast(k AS string) || ', 34, 56'")}
+ || {_when("k % 13 = 3", "'Diagnosis: flu, paid with card 4539148803436467 and mail joe@example.com, cough'")}
+ || {_when("k % 13 = 4", "'Treatment: joe@example.com, 10.1.2.3 10.4.5.6 long sleep, DOB: May 2, 1991, Note: keep'")}
  || {_when("k % 11 = 8", "'Met Sean O' || chr(39) || 'Brien in the United States of America'")}
  || {_when("k % 11 = 9", "'Wrote to the New York Times in New York'")}
  AS text

@@ -75,6 +75,10 @@ CATEGORY_VALUES = ", ".join(
     for kind, (c, risk, why) in vocab.CATEGORY_TABLE.items()
 )
 CATS = f"cats(kind, category, risk, reason) AS (VALUES {CATEGORY_VALUES})"
+#: Words that name findings with a score over that of fields.
+CAPTIONS = (
+    "aadhaar address card code credit cvv email iban license medical npi number pan phone routing street zip"
+).split()
 DENIED = "(" + ", ".join(q(t) for t in vocab.DENYLIST) + ")"
 
 
@@ -117,12 +121,11 @@ RULES = [
     ]
 ]
 
-# Labelled fields: a mark before each label and in place of each comma before white space
-# ends a value.
+# Labelled fields: a mark before each label and in place of each comma before words and a
+# colon, where a value ends.
 _LABEL_WORDS = "|".join(FIELD_WORDS)
 FIELD_MARKS = (
-    "regexp_replace(replace(regexp_replace(regexp_replace(text, ',( [12][0-9][0-9][0-9]\\b)', chr(6) || '\\1', 'g'), "
-    "',([ \t\n])', chr(5) || '\\1', 'g'), chr(6), ','), "
+    "regexp_replace(regexp_replace(text, ',([ \t\n]*\\pL[\\pL\\pN .''/\\-]{0,39}[:#])', chr(5) || '\\1', 'g'), "
     f"'(?i)(\\b(?:{_LABEL_WORDS})[ \t]*[:#])', chr(1) || '\\1', 'g')"
 )
 FIELDS = [
@@ -166,9 +169,58 @@ FROM (
         regexp_extract_all(text, {p}, {r.label}) AS lab, string_split_regex(text, {p}) AS s
       FROM {table} WHERE regexp_matches(text, {p}))))
 WHERE {r.check}""")
+    own = [i for i, r in enumerate(recs) if r.name == "fields"]
+    if own:
+        strong = [p for p, r in zip(parts, recs) if r.score > 0.9 and r.kind != "MRN"]
+        parts[own[0]] = pieces(items(parts[own[0]]), " UNION ALL ".join(f"({p})" for p in strong))
     return "SELECT * FROM (" + "\nUNION ALL ".join(f"({p})" for p in parts) + ")"
 
 
+def items(values):
+    """Labelled values split into items; a sign of equal length hides the comma of a date."""
+    comma = "'[ \t]*,+[ \t]+'"
+    return f"""
+SELECT doc_id, entity_type, replace(s[j], chr(6), ',') AS value, place AS st, place + length(s[j]) AS en, sc, source, pat,
+  i * 1000 + j AS i
+FROM (
+  SELECT *, cast(st + coalesce(list_sum(list_transform(s[1:j-1], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS bigint) AS place
+  FROM (
+    SELECT *, unnest(range(1, len(s) + 1)) AS j
+    FROM (
+      SELECT *, string_split_regex(v, {comma}) AS s, regexp_extract_all(v, {comma}, 0) AS m
+      FROM (SELECT *, regexp_replace(value, ',( [12][0-9][0-9][0-9]\\b)', chr(6) || '\\1', 'g') AS v FROM ({values})))))
+WHERE s[j] <> ''"""
+
+
+def pieces(values, strong):
+    """What stronger findings leave of the items: the gaps between them, and the rest."""
+    if not strong:
+        return values
+    words = "|".join(CAPTIONS)
+    return f"""
+WITH item AS MATERIALIZED ({values}), cut AS MATERIALIZED (
+  SELECT t.doc_id, t.st, s.st AS a, s.en AS b,
+    max(s.en) OVER (PARTITION BY t.doc_id, t.st ORDER BY s.st, s.en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done
+  FROM item t JOIN ({strong}) s ON s.doc_id = t.doc_id AND s.st < t.en AND s.en > t.st
+), gap AS (
+  SELECT doc_id, st, greatest(st, coalesce(done, st)) AS a, a AS b, true AS before FROM cut
+  UNION ALL SELECT c.doc_id, c.st, max(c.b), any_value(t.en), false
+  FROM cut c JOIN item t ON t.doc_id = c.doc_id AND t.st = c.st GROUP BY c.doc_id, c.st
+), part AS (
+  SELECT t.*, g.a, g.before, substr(t.value, g.a - t.st + 1, g.b - g.a) AS v
+  FROM gap g JOIN item t ON t.doc_id = g.doc_id AND t.st = g.st WHERE g.b > g.a
+), trimmed AS (
+  SELECT *, CASE WHEN a > st THEN regexp_replace(w, '^[^\\pL\\pN]+', '') ELSE w END AS x
+  FROM (SELECT *, CASE WHEN before THEN regexp_replace(
+    regexp_replace(' ' || v, '(?i)(?:[^\\pL\\pN]+(?:{words}))*[^\\pL\\pN]*$', ''), '^ ', '') ELSE v END AS w FROM part)
+)
+SELECT doc_id, entity_type, value, st, en, sc, source, pat, i FROM item
+WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.doc_id = item.doc_id AND cut.st = item.st)
+UNION ALL
+SELECT doc_id, entity_type, x, a + length(w) - length(x), a + length(w), sc, source, pat, i FROM trimmed WHERE x <> ''"""
+
+
 def categorized(rows):
     return f"""
 SELECT h.*, coalesce(lo.category, ex.category, 'Other') AS category,
