@@ -272,10 +272,10 @@ def _items(spots):
         "'values', _its, 'labels', array_repeat(_pv.label, size(_its)))"
     )
     moved = (
-        f"transform(filter({place(split)}, _it -> _it.value <> ''), _it -> named_struct('st', _pv.st + _it.st, "
+        f"transform(filter({place('_sp')}, _it -> _it.value <> ''), _it -> named_struct('st', _pv.st + _it.st, "
         "'en', _pv.st + _it.en, 'value', _it.value, 'label', _it.label))"
     )
-    items = let("_its", f"split(_pv.value, {raw(ITEM_BREAK)}, -1)", moved)
+    items = let("_its", f"split(_pv.value, {raw(ITEM_BREAK)}, -1)", let("_sp", split, moved))
     return f"flatten(transform({spots}, _pv -> {items}))"
 
 
