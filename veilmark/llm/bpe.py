@@ -8,8 +8,13 @@ after ``last`` of the place where it starts.  Following ``last`` backwards from
 prefix gives the encoding of that prefix.  Bytes appended to a piece only add entries;
 an edit leaves all entries before it, and the pieces after it, as they are.
 
+The tokens that end at each place come from one Aho-Corasick pass.  Whether two tokens may
+be neighbours is read off their edges: how the right edge of the one and the left edge of
+the other grow, merge by merge, and whether a merge across the boundary comes first.
+
 Texts are cut into pieces by the pattern of the vocabulary first.  Words between single
-blanks are cut and encoded alone and remembered per worker in a cache of bounded size.
+blanks are cut and encoded alone and remembered per worker in one table whose size is
+bounded in bytes.
 
 Defined results: null or empty text gives no ids; every text decodes to its own bytes;
 ids that are not in the vocabulary fail the decoding, null ids give empty bytes.
@@ -18,9 +23,11 @@ ids that are not in the vocabulary fail the decoding, null ids give empty bytes.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from functools import lru_cache
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,37 +35,41 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import per_text, pick, texts
 
-#: Entries of each of a worker's caches; they are emptied at the end of each task, so that
-#: a worker that goes on to other work does not keep them.
-CACHE = 400_000
-#: Longest piece, in bytes, whose prefixes are kept in the shared table.
-SHARED = 48
+#: Bytes of a worker's table of encoded words, in each of two generations, and what an entry
+#: takes besides its own characters.  The table is emptied at the end of each task, so that a
+#: worker that goes on to other work does not keep it.
+CACHE_BYTES = 40 << 20
+ENTRY_BYTES = 220
+#: Checked pairs of neighbours that a worker remembers.
+PAIRS = 200_000
 
 
 class Vocabulary:
-    """Ranks of tokens, the tokens that can end a prefix, and the checks between neighbours."""
+    """Ranks of tokens, where they end in a text, and the checks between neighbours."""
 
     def __init__(self, ranks, pattern):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        self.longest = max(map(len, ranks), default=0)
+        self.ends = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+            self.ends.add_word(token.decode("latin-1"), (len(token), rank))
+        if ranks:
+            self.ends.make_automaton()
         self.packed = [_packed([rank]) for rank in range(len(self.bytes_of))]
-        # Each suffix of a token: its own id, or -1 where it is no token that encodes itself.
-        self.suffixes = {}
-        for token in ranks:
-            for start in range(1, len(token)):
-                self.suffixes.setdefault(token[start:], -1)
-        for token, rank in ranks.items():
-            self.suffixes[token] = rank
         self.fits = {}
-        self.alone = {}
+        self.edges, self.alone, self.whole = {}, {}, {}
 
     def merge(self, data):
-        """Plain BPE by the lowest rank, leftmost first: only for one or two tokens."""
+        """Plain BPE by the lowest rank, leftmost first: for checks alone."""
+        return [self.ranks[p] for p in self._merged(data, 1)]
+
+    def _merged(self, data, least):
+        """The parts after merging until ``least`` are left, or no pair merges."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, 0
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
@@ -67,43 +78,126 @@ class Vocabulary:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def edge(self, token):
+        """How a token grows at its left and at its right end: bytes and ranks of the parts
+        there, from the first byte to the token; None if it is not the encoding of its bytes."""
+        known = self.edges.get(token, self)
+        if known is not self:
+            return known
+        data = self.bytes_of[token]
+        if len(data) == 1:
+            known = ([(data, token)], [(data, token)])
+        else:
+            parts = self._merged(data, 2)
+            known = None
+            if len(parts) == 2:
+                left, right = (self.edge(self.ranks[p]) for p in parts)
+                known = (left[0] + [(data, token)], right[1] + [(data, token)])
+        self.edges[token] = known
+        return known
 
     def stands(self, token):
         """Whether a token is the encoding of its own bytes."""
         known = self.alone.get(token)
         if known is None:
-            known = self.alone[token] = self.merge(self.bytes_of[token]) == [token]
+            known = self.alone[token] = self.edge(token) is not None
+            if known:
+                self.whole[self.bytes_of[token]] = self.packed[token]
         return known
 
     def follows(self, left, right):
         """Whether ``right`` may stand after ``left``."""
-        key = left << 32 | right
+        key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= CACHE:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.fits[key] = known
+            known = self.fits[key] = self._stable(left, right)
         return known
 
-    def last(self, data, end, before):
-        """The one token that can come last in ``data[:end]``; ``before(i)`` is that of
-        the shorter prefix ``data[:i]``.  Longer tokens are tried first."""
-        suffixes, found, start = self.suffixes, [], end - 1
-        while start >= 0:
-            token = suffixes.get(data[start:end])
-            if token is None:
-                break
-            if token >= 0:
-                found.append(token)
-            start -= 1
-        bytes_of = self.bytes_of
-        for token in reversed(found):
-            start = end - len(bytes_of[token])
-            if self.follows(before(start), token) if start else self.stands(token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _stable(self, left, right):
+        """Merges happen in order of rank, of equal ones the leftmost first.  Both edges grow
+        until a merge across the boundary is due before the next one of either side."""
+        if not self.stands(left) or not self.stands(right):
+            return False
+        ones, twos, ranks = self.edges[left][1], self.edges[right][0], self.ranks
+        i, j, last_one, last_two = 0, 0, len(ones) - 1, len(twos) - 1
+        while True:
+            across = ranks.get(ones[i][0] + twos[j][0])
+            next_one = ones[i + 1][1] if i < last_one else None
+            next_two = twos[j + 1][1] if j < last_two else None
+            if across is not None and (next_one is None or across < next_one) and (
+                next_two is None or across <= next_two
+            ):
+                return False
+            if next_one is None and next_two is None:
+                return True
+            if next_two is None or (next_one is not None and next_one <= next_two):
+                i += 1
+            else:
+                j += 1
+
+    def extend(self, lasts, data):
+        """Append the last token of each prefix of ``data`` that ``lasts`` does not cover."""
+        known, follows = len(lasts) - 1, self.follows
+        lasts.extend([None] * (len(data) - known))
+        first = max(0, known + 1 - self.longest)
+        for end, (size, token) in self.ends.iter(data[first:].decode("latin-1")):
+            end += first + 1
+            if end <= known or lasts[end] is not None:
+                continue
+            start = end - size
+            if start:
+                if lasts[start] is not None and follows(lasts[start], token):
+                    lasts[end] = token
+            elif self.stands(token):
+                lasts[end] = token
+        if None in lasts[max(known, 0) + 1 :]:
+            raise ValueError("the vocabulary lacks a byte")
+
+    def ids(self, lasts, end):
+        """The encoding of a prefix."""
+        out, bytes_of = [], self.bytes_of
+        while end:
+            token = lasts[end]
+            out.append(token)
+            end -= len(bytes_of[token])
+        out.reverse()
+        return out
+
+    def encode_piece(self, piece):
+        """The ids of one piece, packed: the prefix table of ``extend``, from the start."""
+        data = piece.encode()
+        whole = self.whole.get(data)
+        if whole is not None:
+            return whole
+        size = len(data)
+        lasts, fits, alone = [None] * (size + 1), self.fits, self.alone
+        for end, (length, token) in self.ends.iter(data.decode("latin-1")):
+            end += 1
+            if lasts[end] is None:
+                start = end - length
+                if start:
+                    fit = fits.get((lasts[start], token))
+                    if fit is None:
+                        fit = self.follows(lasts[start], token)
+                else:
+                    fit = alone.get(token)
+                    if fit is None:
+                        fit = self.stands(token)
+                if fit:
+                    lasts[end] = token
+        if None in lasts[1:]:
+            raise ValueError("the vocabulary lacks a byte")
+        out, packed, bytes_of = [], self.packed, self.bytes_of
+        while size:
+            token = lasts[size]
+            out.append(packed[token])
+            size -= len(bytes_of[token])
+        out.reverse()
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -122,9 +216,8 @@ class Piece:
 
     def append(self, more):
         """Add bytes; entries of earlier prefixes stay as they are."""
-        self.data, lasts = self.data + more, self.lasts
-        for end in range(len(lasts), len(self.data) + 1):
-            lasts.append(self.vocabulary.last(self.data, end, lasts.__getitem__))
+        self.data += more
+        self.vocabulary.extend(self.lasts, self.data)
         return self
 
     def edit(self, start, stop, new):
@@ -136,77 +229,58 @@ class Piece:
 
     def ids(self, end=None):
         """The encoding of the first ``end`` bytes, all by default."""
-        at, out = len(self.data) if end is None else end, []
-        while at:
-            out.append(self.lasts[at])
-            at -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        return self.vocabulary.ids(self.lasts, len(self.data) if end is None else end)
 
 
 class _Memo(dict):
-    """A cache in two generations: what was used since the last turn survives the next."""
+    """A table in two generations, bounded in bytes: what was used since the last turn
+    survives the next."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key, self)
         if value is self:
             value = self.make(key)
-        if len(self) >= CACHE // 2:
+        if self.size >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.size = 0
+        self.size += ENTRY_BYTES + len(key) + (len(value) if value else 0)
         self[key] = value
         return value
 
+    def empty(self):
+        self.clear()
+        self.old, self.size = {}, 0
+
 
 class Encoder:
     """Encode whole texts to packed little-endian 32-bit ids."""
 
-    def __init__(self, vocabulary):
+    def __init__(self, vocabulary, limit=CACHE_BYTES):
         self.vocabulary = vocabulary
-        self.prefixes = {}
-        self.pieces = _Memo(self._piece)
-        self.words = _Memo(self._word)
+        self.words = _Memo(self._word, limit)
 
     def clear(self):
-        for memo in (self.pieces, self.words):
-            memo.clear()
-            memo.old = {}
-        self.prefixes.clear()
+        self.words.empty()
         self.vocabulary.fits.clear()
 
-    def _piece(self, piece):
-        """Short pieces share the table of prefixes: each new one is an append to the
-        longest prefix that was met before."""
-        data, words = piece.encode(), self.vocabulary
-        n = len(data)
-        if n > SHARED:
-            return b"".join(words.packed[i] for i in Piece(words, data).ids())
-        table = self.prefixes
-        if len(table) >= CACHE:
-            table.clear()
-        known = n
-        while known and data[:known] not in table:
-            known -= 1
-        for end in range(known + 1, n + 1):
-            table[data[:end]] = words.last(data, end, lambda i: table[data[:i]])
-        out = []
-        while n:
-            token = table.get(data[:n])
-            if token is None:  # a shorter prefix was forgotten with an earlier table
-                return b"".join(words.packed[i] for i in Piece(words, data).ids())
-            out.append(words.packed[token])
-            n -= len(words.bytes_of[token])
-        return b"".join(reversed(out))
-
     def direct(self, text):
-        return b"".join(map(self.pieces.__getitem__, self.vocabulary.pattern.findall(text)))
+        """Cut and encode; pieces that begin with a blank go by the table, under a key that
+        no word has."""
+        pieces, make = self.vocabulary.pattern.findall(text), self.vocabulary.encode_piece
+        if len(pieces) == 1:
+            return pieces[0][0] == " " and self.words.get(pieces[0]) or make(pieces[0])
+        return b"".join([self.words[p] if p[0] == " " else make(p) for p in pieces])
 
     def _word(self, word):
         """A blank and a word, or None if white space at an end keeps it from being cut
-        apart from its neighbours."""
+        apart from its neighbours.  A piece that begins with a blank is encoded as it is."""
+        if word and word[0] == " ":
+            return self.vocabulary.encode_piece(word)
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         return self.direct(" " + word)
@@ -225,13 +299,21 @@ class Encoder:
         out, group = [], [words[0]]
         for before, word in zip(words, words[1:]):
             if before and word and not before[-1].isspace() and not word[0].isspace():
-                out.append(self.direct(" ".join(group)))
+                out.append(self._part(group))
                 group = ["", word]
             else:
                 group.append(word)
-        out.append(self.direct(" ".join(group)))
+        out.append(self._part(group))
         return b"".join(out)
 
+    def _part(self, group):
+        """A stretch between such blanks; where it is a blank and one word, by the table."""
+        if len(group) == 2 and not group[0]:
+            known = self.words[group[1]]
+            if known is not None:
+                return known
+        return self.direct(" ".join(group))
+
 
 def _packed(ids):
     return np.asarray(ids, dtype="<i4").tobytes()
@@ -300,37 +382,72 @@ def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):
     return rows.mapInArrow(run, f"doc_id {kind}, ids ARRAY<INT>, data BINARY")
 
 
+class Encoded:
+    """A text with its pieces and their ids, to be appended to and edited in place.
+
+    ``begins`` holds where pieces begin, ``parts`` the ids of each.  An edit cuts and encodes
+    anew from the piece before it to the first place behind it where an old piece begins;
+    all other pieces keep their ids.
+    """
+
+    def __init__(self, text, path, pattern, ids=None):
+        self.vocabulary, self.text = load(path, pattern), text
+        spans = [m.span() for m in self.vocabulary.pattern.finditer(text)]
+        self.begins = [a for a, _ in spans]
+        if ids is None:
+            self.parts = [self._ids(text[a:b]) for a, b in spans]
+        else:  # known ids are dealt out to the pieces by their lengths
+            sizes = self.vocabulary.bytes_of
+            self.parts, at = [], 0
+            for a, b in spans:
+                left, part = len(text[a:b].encode()), []
+                while left:
+                    part.append(ids[at])
+                    left -= len(sizes[ids[at]])
+                    at += 1
+                self.parts.append(part)
+
+    def _ids(self, piece):
+        return np.frombuffer(self.vocabulary.encode_piece(piece), dtype="<i4").tolist()
+
+    def ids(self):
+        return [i for part in self.parts for i in part]
+
+    def append(self, more):
+        return self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start, stop, new):
+        """Replace ``text[start:stop]``; returns the number of pieces encoded."""
+        text = self.text = self.text[:start] + new + self.text[stop:]
+        shift, safe = len(new) - (stop - start), start + len(new)
+        # A piece ends where the next one begins, and a match looks one character ahead.
+        keep = max(0, bisect_left(self.begins, start - 1) - 1)
+        at = self.begins[keep] if keep < len(self.begins) else 0
+        begins, parts, match = [], [], self.vocabulary.pattern.match
+        behind = len(self.begins)
+        while at < len(text):
+            if at >= safe:
+                place = bisect_left(self.begins, at - shift)
+                if place < len(self.begins) and self.begins[place] == at - shift and at - shift >= stop:
+                    behind = place
+                    break
+            found = match(text, at)
+            begins.append(at)
+            parts.append(self._ids(found.group()))
+            at = found.end()
+        self.begins[keep:] = begins + [b + shift for b in self.begins[behind:]]
+        self.parts[keep:] = parts + self.parts[behind:]
+        return len(parts)
+
+
 def append_text(text, ids, more, path, pattern):
     """The ids of ``text + more`` from those of ``text``: only the last pieces change."""
     return edit_text(text, ids, len(text), len(text), more, path, pattern)
 
 
 def edit_text(text, ids, start, stop, new, path, pattern):
-    """The ids after ``text[start:stop]`` was replaced by ``new``.
-
-    Pieces before the edit keep their ids as far as they cannot see it; behind it, the
-    ids are reused from the first piece that begins at the same place as before.
-    """
-    words = load(path, pattern)
-    find, make = words.pattern.finditer, encoder(path, pattern).pieces
-    changed = text[:start] + new + text[stop:]
-    # A piece ends where the next one begins, and a match looks one character ahead.
-    kept, old_spans = [], [m.span() for m in find(text)]
-    for span in old_spans:
-        if span[1] >= start - 1:
-            break
-        kept.append(span)
-    count = sum(len(make[text[a:b]]) // 4 for a, b in kept)
-    head, at = list(ids[:count]), kept[-1][1] if kept else 0
-    shift = len(changed) - len(text)
-    begins = {a: i for i, (a, _) in enumerate(old_spans)}
-    middle = []
-    while at < len(changed):
-        again = begins.get(at - shift)
-        if again is not None and at >= start + len(new):
-            skipped = sum(len(make[text[a:b]]) // 4 for a, b in old_spans[:again])
-            return head + middle + list(ids[skipped:])
-        match = words.pattern.match(changed, at)
-        middle.extend(np.frombuffer(make[match.group()], dtype="<i4").tolist())
-        at = match.end()
-    return head + middle
+    """The ids after ``text[start:stop]`` was replaced by ``new``; the text is cut into pieces,
+    but only those near the edit are encoded.  ``Encoded`` keeps them for further edits."""
+    known = Encoded(text, path, pattern, ids)
+    known.edit(start, stop, new)
+    return known.ids()
