@@ -74,6 +74,36 @@ def test_every_prefix_of_a_piece_is_encoded():
     assert piece.edit(4, 9, b"XYZ").ids() == words.merge(data[:4] + b"XYZ" + data[9:])
 
 
+def test_neighbours_are_judged_as_by_merging_them():
+    rng, words = random.Random(3), bpe.load(RANKS, PATTERN)
+    tokens = [rng.randrange(len(words.bytes_of)) for _ in range(3000)]
+    for left, right in zip(tokens, tokens[1:]):
+        merged = words.merge(words.bytes_of[left] + words.bytes_of[right])
+        assert words.follows(left, right) == (merged == [left, right])
+        assert words.stands(left) == (words.merge(words.bytes_of[left]) == [left])
+
+
+def test_edits_in_a_row_encode_only_what_is_near(encoding):
+    rng = random.Random(4)
+    known = bpe.Encoded("".join(made(rng, 30) for _ in range(200)), RANKS, PATTERN)
+    for _ in range(500):
+        start = rng.randint(0, len(known.text))
+        stop = min(len(known.text), start + rng.randint(0, 9))
+        encoded = known.edit(start, stop, made(rng, 4))
+        assert known.ids() == encoding.encode_ordinary(known.text) and encoded <= 25
+    assert known.append(" and more").__class__ is int and known.ids() == encoding.encode_ordinary(known.text)
+    long = bpe.Encoded("some plain words " * 50_000, RANKS, PATTERN)
+    assert long.edit(400_000, 400_004, "PLAIN") < 8
+
+
+def test_a_small_table_of_words_changes_nothing(encoding):
+    rng, small = random.Random(5), bpe.Encoder(bpe.load(RANKS, PATTERN), limit=2000)
+    for _ in range(300):
+        text = " ".join(made(rng, 3) for _ in range(40))
+        assert np.frombuffer(small.encode(text), "<i4").tolist() == encoding.encode_ordinary(text)
+        assert small.words.size < 2000 + 20_000
+
+
 def test_bpe_digest_of_odd_rows(table, encoding):
     rows = edge([(1, "Hello  wörld\n"), (2, "x" * 3000), (3, "日本語 🙂")])
     got = sorted(map(tuple, bpe_digest(table(rows)).collect()), key=str)

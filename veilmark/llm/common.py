@@ -27,6 +27,26 @@ def pick(docs, id_col, text_col, extra=()):
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)
 
 
+def fresh(docs, name):
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def boxed(docs, text_col):
+    """The text under the name ``text`` beside all other columns as one struct, so that their
+    names can't clash, and the function that puts the columns back."""
+    names = docs.columns
+    others = [F.col(c) for c in names if c != text_col] or [F.lit(0).alias("none")]
+
+    def back(frame):
+        return frame.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in names])
+
+    return docs.select(F.col(text_col).alias("text"), F.struct(*others).alias("rest")), back
+
+
 def slices(batches):
     """Cut Arrow batches so that long texts do not pile up in a worker."""
     for batch in batches:

@@ -24,7 +24,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import per_text, pick, raw_texts, slices, written
+from veilmark.llm.common import boxed, per_text, pick, raw_texts, slices, written
 
 WINDOW = 10
 #: Bytes of item texts in one block of the benchmark.
@@ -178,8 +178,22 @@ def contamination(
     each benchmark item with an occurring window, once, and the largest share of its
     windows within one stretch of its size.  Item ids are integers.
     """
-    rows = pick(docs, id_col, text_col)
+    state = _scanned(pick(docs, id_col, text_col), pick(benchmark, item_col, item_text), window, block_bytes, "doc_id")
+    return state.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")
+
+
+def clean_documents(
+    docs, benchmark, window=WINDOW, text_col="text", item_col="item_id", item_text="text", block_bytes=BLOCK_BYTES,
+):
+    """The documents without a window of any item, with all their columns; each row is judged
+    by its own text."""
+    inner, back = boxed(docs, text_col)
     items = pick(benchmark, item_col, item_text)
+    return back(_scanned(inner, items, window, block_bytes, "rest", "text").where("size(hits) = 0"))
+
+
+def _scanned(rows, items, window, block_bytes, *keep):
+    """The kept columns and the state of each row after all blocks of the benchmark."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     single, state = total <= block_bytes, rows
     for block in blocks(items, block_bytes):
@@ -188,7 +202,7 @@ def contamination(
         if vocabulary:
             counts = {bytes(r.word): r.n for r in corpus_counts(rows, vocabulary).toLocalIterator()}
         index = Index(block, counts, window)
-        state = scan_documents(state, index, ("doc_id",) if single else ("doc_id", "text"))
+        state = scan_documents(state, index, keep if single else tuple(dict.fromkeys([*keep, "text"])))
         if not single:
             state = written(state, "decontaminated")
-    return state.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")
+    return state

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import per_text, pick, raw_texts, small_side, written
+from veilmark.llm.common import fresh, per_text, pick, raw_texts, small_side, written
 
 SHINGLE = 5
 ROWS = 5
@@ -328,8 +328,19 @@ def _open(far, first=False):
 
 
 def keep_first(docs, percent=80, id_col="doc_id", text_col="text"):
-    """The documents with all their columns, one of each class; rows without an id can't
-    be told apart and stay."""
-    found = written(near_duplicates(docs, percent, id_col=id_col, text_col=text_col), "classes")
-    gone = small_side(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    """The documents with all their columns, one row of each class: the one with the smallest
+    id, a null id last; of rows with equal ids, copies or not, any one.
+
+    Rows are numbered and written first, so the decision is on rows, not on ids.
+    """
+    row = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, percent, id_col=row, text_col=text_col).select("doc_id", "component_id")
+    ids = rows.select(F.col(row).alias("doc_id"), F.col(id_col).alias("own"))
+    many = written(found.join(ids, "doc_id"), "classes")
+    first = F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).getField("doc_id")
+    best = many.groupBy("component_id").agg(F.count("*").alias("n"), first.alias("best")).where("n > 1")
+    best = small_side(written(best, "best"))
+    gone = many.join(best, "component_id").where("doc_id <> best").select(F.col("doc_id").alias("gone"))
+    gone = small_side(written(gone, "gone"))
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").select(*docs.columns)

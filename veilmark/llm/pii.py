@@ -25,7 +25,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import per_text, pick, slices, texts
+from veilmark.llm.common import boxed, per_text, pick, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -409,7 +409,6 @@ def masked(text, spans):
 def mask_documents(docs, weights, text_col="text"):
     """The documents with all their columns, personal data replaced in the text."""
     model = SemiMarkov(weights) if weights else None
-    names = docs.columns
 
     def run(batches):
         for batch in slices(batches):
@@ -420,5 +419,5 @@ def mask_documents(docs, weights, text_col="text"):
             columns[place] = pa.array(new, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    inner = docs.withColumnRenamed(text_col, "text")
-    return inner.mapInArrow(run, inner.schema).withColumnRenamed("text", text_col).select(*names)
+    inner, back = boxed(docs, text_col)
+    return back(inner.mapInArrow(run, inner.schema))

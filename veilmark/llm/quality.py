@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from veilmark.llm.common import per_text, pick, texts
+from veilmark.llm.common import boxed, per_text, pick, slices, texts
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -173,11 +173,8 @@ def assess(docs, rules=Rules(), id_col="doc_id", text_col="text", with_text=True
 
 def filter_documents(docs, rules=Rules(), text_col="text"):
     """The documents that pass, with all their columns, without their failing lines."""
-    names = docs.columns
 
     def run(batches):
-        from veilmark.llm.common import slices
-
         for batch in slices(batches):
             rows = [measure(t, rules) for t in texts(batch)]
             at = [i for i, row in enumerate(rows) if row[6]]
@@ -189,5 +186,5 @@ def filter_documents(docs, rules=Rules(), text_col="text"):
             columns[place] = pa.array([rows[i][7] for i in at], out.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=out.schema.names)
 
-    inner = docs.withColumnRenamed(text_col, "text")
-    return inner.mapInArrow(run, inner.schema).withColumnRenamed("text", text_col).select(*names)
+    inner, back = boxed(docs, text_col)
+    return back(inner.mapInArrow(run, inner.schema))
