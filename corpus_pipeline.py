@@ -5,6 +5,11 @@ columns of documents, and what a stage decides takes effect: rejected documents
 failing lines leave the text, one document of each near-duplicate class stays,
 contaminated documents go, personal data is replaced in the text.  The last stage gives
 the tokens of what is left and the hashes of its round trip.
+
+Every decision is on a row, not on its id, so rows that share an id, or have none, are
+judged each by their own text.  A null or empty text has no words and goes with the first
+stage; of repeated rows one is left by the second; an empty table gives an empty result; columns
+that documents have besides stay with them.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilmark.llm import decontaminate, near_dedup, pii, quality
-from veilmark.llm.common import small_side, written
+from veilmark.llm.common import written
 from veilmark.llm.queries import bpe_digest
 
 
@@ -23,16 +28,13 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each class, the one with the smallest id."""
+    """One document of each class, the one with the smallest id, a null id last."""
     return near_dedup.keep_first(docs, percent=80)
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents without a window of any benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).where("n_hit > 0")
-    hit = small_side(written(found.select(F.col("doc_id").alias("hit")).distinct(), "contaminated"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti")
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark, docs, sf_dir):
