@@ -887,3 +887,4 @@ SELECT query_id, cast(rank AS int) AS rank, id, round(1 - distance, 3) + 0.0 AS
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dist)
 WHERE rank <= 5""",
 )
+register("index_topk_exact", out["cosine_topk_large"])

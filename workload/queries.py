@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.text import pieces
-from veilmark.operators import comply, findings as fd, layers, recognize as rc, report, rewrite
+from veilmark.operators import comply, findings as fd, layers, recognize as rc, report, rewrite, vectors
 from veilmark.plans.scan import scan_documents
 from veilmark.session import shared_folder
 from veilmark.sources import documents as src, rules as rl, sinks
@@ -491,6 +491,20 @@ def cosine_topk_large(spark, d):
     return comply.cosine_topk(asked, vectors, 5, block_bytes=64 << 10)
 
 
+def vectors_asked(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
+    )
+    return rows, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+@query()
+def index_topk_exact(spark, d):
+    """The same through the index, and then every cell that bounds leave open."""
+    rows, asked = vectors_asked(spark, d)
+    return vectors.search(vectors.build(rows), asked, 5, exact=True)
+
+
 @query()
 def text_source(spark, d):
     return src.text_source(spark, f"{d}/documents.parquet")
