@@ -272,7 +272,13 @@ def term_cosine_topk(queries, documents, k=vocab.TOP_RULES, vectors=None):
             F.col("rule_id").isNotNull(), -F.round(F.col("dot") / F.col("norm"), RANK_DIGITS)
         ).alias("neg"),
     )
-    order = whole.orderBy(F.asc_nulls_first("neg"), "rule_id")
+    return ranked_and_filled(scored, documents, k)
+
+
+def ranked_and_filled(scored, documents, k):
+    """The ``k`` best rules of each query, of ``query_id, rule_id, neg`` (the falling score, and
+    a row without rule for each query); the first ids fill the places left."""
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("neg"), "rule_id")
     best = (
         scored.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= k + 1)
