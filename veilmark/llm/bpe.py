@@ -36,12 +36,11 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import per_text, pick, texts
 
 #: Bytes of a worker's table of encoded words, in each of two generations, and what an entry
-#: takes besides its own characters.  The table is emptied at the end of each task, so that a
-#: worker that goes on to other work does not keep it.
+#: takes besides its own characters.  A worker keeps its table from task to task.
 CACHE_BYTES = 40 << 20
 ENTRY_BYTES = 220
 #: Checked pairs of neighbours that a worker remembers.
-PAIRS = 200_000
+PAIRS = 400_000
 
 
 class Vocabulary:
@@ -59,7 +58,7 @@ class Vocabulary:
         if ranks:
             self.ends.make_automaton()
         self.packed = [_packed([rank]) for rank in range(len(self.bytes_of))]
-        self.fits = {}
+        self.fits, self.pairs = {}, 0
         self.edges, self.alone, self.whole = {}, {}, {}
 
     def merge(self, data):
@@ -108,13 +107,18 @@ class Vocabulary:
         return known
 
     def follows(self, left, right):
-        """Whether ``right`` may stand after ``left``."""
-        key = (left, right)
-        known = self.fits.get(key)
+        """Whether ``right`` may stand after ``left``; ``fits`` remembers it by ``left``."""
+        row = self.fits.get(left)
+        if row is None:
+            row = self.fits[left] = {}
+        known = row.get(right)
         if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.fits[key] = self._stable(left, right)
+            known = self._stable(left, right)
+            if self.pairs >= PAIRS:  # rows that are in use elsewhere stay right, they are only left behind
+                self.fits, self.pairs, row = {}, 0, {}
+                self.fits[left] = row
+            row[right] = known
+            self.pairs += 1
         return known
 
     def _stable(self, left, right):
@@ -174,21 +178,21 @@ class Vocabulary:
         if whole is not None:
             return whole
         size = len(data)
-        lasts, fits, alone = [None] * (size + 1), self.fits, self.alone
+        lasts, rows = [None] * (size + 1), [None] * (size + 1)
+        rows[0] = self.alone
         for end, (length, token) in self.ends.iter(data.decode("latin-1")):
             end += 1
             if lasts[end] is None:
                 start = end - length
-                if start:
-                    fit = fits.get((lasts[start], token))
-                    if fit is None:
-                        fit = self.follows(lasts[start], token)
-                else:
-                    fit = alone.get(token)
-                    if fit is None:
-                        fit = self.stands(token)
+                fit = rows[start].get(token)
+                if fit is None:
+                    fit = self.follows(lasts[start], token) if start else self.stands(token)
                 if fit:
                     lasts[end] = token
+                    row = self.fits.get(token)
+                    if row is None:
+                        row = self.fits[token] = {}
+                    rows[end] = row
         if None in lasts[1:]:
             raise ValueError("the vocabulary lacks a byte")
         out, packed, bytes_of = [], self.packed, self.bytes_of
@@ -252,10 +256,6 @@ class _Memo(dict):
         self[key] = value
         return value
 
-    def empty(self):
-        self.clear()
-        self.old, self.size = {}, 0
-
 
 class Encoder:
     """Encode whole texts to packed little-endian 32-bit ids."""
@@ -265,8 +265,8 @@ class Encoder:
         self.words = _Memo(self._word, limit)
 
     def clear(self):
-        self.words.empty()
-        self.vocabulary.fits.clear()
+        """Forget all words."""
+        self.words = _Memo(self._word, self.words.limit)
 
     def direct(self, text):
         """Cut and encode; pieces that begin with a blank go by the table, under a key that
@@ -345,11 +345,7 @@ def encode(docs, path, pattern, id_col="doc_id", text_col="text"):
         make = encoder(path, pattern).encode
         return [lists([make(t) for t in texts(batch)])]
 
-    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>", finish=_emptied(path, pattern))
-
-
-def _emptied(path, pattern):
-    return lambda: encoder(path, pattern).clear()
+    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>")
 
 
 def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
@@ -362,7 +358,7 @@ def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
         data = [b"".join(map(lookup, np.frombuffer(p, "<i4").tolist())) for p in parts]
         return [lists(parts), pa.array(data, pa.binary())]
 
-    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>, data BINARY", finish=_emptied(path, pattern))
+    return per_text(pick(docs, id_col, text_col), run, "ids ARRAY<INT>, data BINARY")
 
 
 def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):
