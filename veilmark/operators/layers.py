@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.arrays import empty, let
+from veilmark.functions.filters import filter_bits
 from veilmark.functions.text import find_all, pieces, place
 from veilmark.operators.findings import categorize, min_score
 from veilmark.operators.recognize import normalize_label
 from veilmark.schemas import FINDING_COLUMNS, LAYER_SPAN
+from veilmark.session import fits_broadcast, stored
 
 # Letters with their marks and digits; one of a few signs may join two such runs.
 WORD = r"[\p{L}\p{M}\p{N}]++(?:[_#.'’-][\p{L}\p{M}\p{N}]++)*+"
@@ -19,23 +21,31 @@ GRAM = "struct<st:int,en:int,gram:string>"
 # Where a dictionary is too large to be broadcast, occurrences of a term are dealt out to
 # this many copies of it, so that a word in every document is no single key.
 SALTS = 16
-# Bits of the filter that runs of words must pass before they leave their row.
-FILTER_BITS = 1 << 16
+# Largest filter of a dictionary: 2 MB, held in the plan.  Beyond about 1.6 million terms more
+# runs of words leave their row than need to.
+FILTER_BITS = 1 << 24
 
 
-def grams_sql(text, longest, passes, opens):
-    """Runs of up to ``longest`` words with single spaces between, with offsets, whose first
-    word passes the test ``opens`` and whose text passes the test ``passes``."""
+def grams_sql(text, lengths, held):
+    """Runs of words with single spaces between, with offsets, that a dictionary may have.
+
+    A word opens runs if it may be the first of a term, and only of as many words as terms
+    that begin with it have, out of ``lengths``.  ``held`` tests a text against the filter.
+    """
     run = (
-        "transform(sequence(1, least({n}, size(_wp) - _wi)), _k -> named_struct('st', _w0.st, "
-        "'en', get(_wp, _wi + _k - 1).en, 'gram', "
-        "array_join(transform(slice(_wp, _wi + 1, _k), _x -> _x.value), ' ')))"
-    ).format(n=longest)
-    # A run of k words spans their lengths and k - 1 blanks, if there is nothing else between.
-    spaced = "length(_gr.gram) = _gr.en - _gr.st AND NOT exists(slice(_wf.gaps, _wi + 2, _j), _g -> _g <> ' ')"
+        "named_struct('st', _w0.st, 'en', get(_wp, _wi + _n - 1).en, "
+        "'gram', array_join(transform(slice(_wp, _wi + 1, _n), _x -> _x.value), ' '))"
+    )
+    # A run of n words spans their lengths and n - 1 blanks, if there is nothing else between.
+    spaced = "length(_gr.gram) = _gr.en - _gr.st AND NOT exists(slice(_wf.gaps, _wi + 2, _n - 1), _g -> _g <> ' ')"
+    whole = let("_gr", run, f"CASE WHEN {held('_gr.gram')} AND {spaced} THEN _gr END")
+    opened = (
+        f"filter(array({', '.join(map(str, lengths))}), "
+        f"_n -> _n <= size(_wp) - _wi AND {held(_opening('_n', '_w0.value'))})"
+    )
+    runs = f"filter(transform({opened}, _n -> {whole}), _gr -> _gr IS NOT NULL)"
     grams = (
-        f"flatten(transform(_wp, (_w0, _wi) -> CASE WHEN {opens('_w0.value')} "
-        f"THEN filter({run}, (_gr, _j) -> {passes('_gr.gram')} AND {spaced}) ELSE {empty(GRAM)} END))"
+        f"flatten(transform(_wp, (_w0, _wi) -> CASE WHEN {held('_w0.value')} THEN {runs} ELSE {empty(GRAM)} END))"
     )
     body = let("_wp", place("_wf"), grams)
     return (
@@ -44,6 +54,40 @@ def grams_sql(text, longest, passes, opens):
     )
 
 
+def _opening(n, head):
+    """The key of a first word with a number of words."""
+    return f"concat({n}, ' ', {head})"
+
+
+def _places(key, bits):
+    """Two places of a key in a filter, out of one hash."""
+    return [f"({key} & {bits - 1}L)", f"(shiftrightunsigned({key}, 32) & {bits - 1}L)"]
+
+
+def _filter(known, bits):
+    """The test of a filter of terms, first words and their numbers of words, and the numbers
+    that there are."""
+    keys = f"array(term, words[0], {_opening('size(words)', 'words[0]')})"
+    hashed = known.select(F.explode(F.expr(keys)).alias("k")).select(F.xxhash64("k").alias("h"))
+    put = hashed.select(F.explode(F.expr(f"array({', '.join(_places('h', bits))})")).alias("p"))
+    words = put.groupBy(F.shiftright("p", 6).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("set")
+    ).collect()
+    longs = {r["at"]: r.set for r in words}
+    # One text that the optimizer folds to a constant array; as many literals are slow to plan.
+    bitmap = ",".join(str(longs.get(i, 0)) for i in range(bits // 64))
+
+    def held(text):
+        set_ = " AND ".join(
+            f"shiftrightunsigned(get(_bf, cast(shiftright({p}, 6) AS int)), cast({p} & 63 AS int)) & 1L = 1L"
+            for p in _places("_hh", bits)
+        )
+        return let("_hh", f"xxhash64({text})", set_)
+
+    lengths = sorted(known.agg(F.collect_set(F.size("words"))).first()[0]) or [1]
+    return f"cast(split('{bitmap}', ',') AS array<bigint>)", held, lengths
+
+
 def _terms(dictionary):
     words = F.regexp_extract_all("term", F.lit(WORD), F.lit(0))
     return dictionary.select("term", "entity_type", words.alias("words"))
@@ -56,50 +100,23 @@ def unmatchable_terms(dictionary):
     )
 
 
-def find_dictionary(docs, dictionary, salts=SALTS, bits=FILTER_BITS):
+def find_dictionary(docs, dictionary, salts=SALTS, bits=None):
     """Findings for terms of ``dictionary`` (term, entity_type), whole words, as written.
 
-    A term may have any number of words; the longest one sets how far runs are looked at.
-    Words are held against a filter of first words and runs against one of terms, inside
-    the row, so only likely ones leave it.  No side is forced to be broadcast: a small
-    dictionary is, by its size, and a large one is joined by a shuffle with hot terms dealt
-    out.
+    A term may have any number of words.  Words and runs are held against a filter of the
+    dictionary inside their row, sized by the number of terms, so only likely ones leave it.  No
+    side is forced to be broadcast: a small dictionary is, by its size, and a large one is
+    joined by a shuffle with hot terms dealt out.
     """
     known = _terms(dictionary).where(F.array_join("words", " ") == F.col("term"))
-    hashed = F.pmod(F.xxhash64("x.value"), F.lit(bits))
-    filled = (
-        known.select(
-            F.size("words").alias("n"),
-            F.explode(F.array(
-                F.struct(F.lit("term").alias("kind"), F.col("term").alias("value")),
-                F.struct(F.lit("head").alias("kind"), F.get("words", F.lit(0)).alias("value")),
-            )).alias("x"),
-        )
-        .groupBy("x.kind", F.floor(hashed / 64).cast("int").alias("at"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(x.value), {bits}) % 64 AS int)))").alias("bit"), F.max("n").alias("n"))
-        .collect()
-    )
-    longest = max([r.n for r in filled], default=1)
-
-    def test(kind):
-        longs = {r["at"]: r.bit for r in filled if r.kind == kind}
-        # One text that the optimizer folds to a constant array; as many literals are slow to plan.
-        bitmap = ",".join(str(longs.get(i, 0)) for i in range(bits // 64))
-
-        def passes(value):
-            found = f"get(cast(split('{bitmap}', ',') AS array<bigint>), cast(_pb div 64 AS int))"
-            return let(
-                "_pb", f"pmod(xxhash64({value}), {bits})",
-                f"shiftrightunsigned({found}, cast(_pb % 64 AS int)) % 2 <> 0",
-            )
-
-        return passes
-
-    grams = docs.select("doc_id", F.inline(F.expr(grams_sql("text", longest, test("term"), test("head")))))
+    known = stored(known, "terms")
+    bits = bits or min(FILTER_BITS, filter_bits(3 * known.count()))
+    bitmap, held, lengths = _filter(known, bits)
+    found = let("_bf", bitmap, grams_sql("text", lengths, held))
+    grams = docs.select("doc_id", F.inline(F.expr(found)))
     terms = known.select(F.col("term").alias("gram"), "entity_type").distinct()
-    limit = docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     keys = ["gram"]
-    if not 0 <= int(str(terms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit:
+    if not fits_broadcast(known):
         keys.append("salt")
         grams = grams.withColumn("salt", F.pmod(F.xxhash64("doc_id", "st"), F.lit(salts)).cast("int"))
         terms = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -888,3 +888,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)
 WHERE rank <= 5""",
 )
 register("index_topk_exact", out["cosine_topk_large"])
+register(
+    "similar_turns",
+    """WITH turns AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text FROM conversations),
+tf AS (SELECT id, term, count(*) AS tf FROM (
+  SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM turns) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM turns)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id),
+asked AS (SELECT id FROM turns WHERE conv_id % 50 = 0),
+dots AS (SELECT a.id AS query_id, b.id, sum(a.w * b.w) AS dot FROM w a JOIN asked USING (id) JOIN w b ON b.term = a.term GROUP BY ALL),
+scored AS (
+  SELECT asked.id AS query_id, turns.id, round(coalesce(dot / (q.norm * n.norm), 0), 9) AS exact
+  FROM asked JOIN turns ON true LEFT JOIN norms q ON q.id = asked.id LEFT JOIN norms n ON n.id = turns.id
+  LEFT JOIN dots ON dots.query_id = asked.id AND dots.id = turns.id)
+SELECT query_id, cast(rank AS int) AS rank, id AS rule_id, round(exact, 3) AS relevance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, id) AS rank FROM scored) WHERE rank <= 5""",
+)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.text import pieces
-from veilmark.operators import comply, findings as fd, layers, recognize as rc, report, rewrite, vectors
+from veilmark.operators import comply, findings as fd, layers, postings, recognize as rc, report, rewrite, vectors
 from veilmark.plans.scan import scan_documents
 from veilmark.session import shared_folder
 from veilmark.sources import documents as src, rules as rl, sinks
@@ -283,6 +283,18 @@ def term_cosine_topk(spark, d):
     return comply.term_cosine_topk(texts, rules, vocab.TOP_RULES)
 
 
+@query()
+def similar_turns(spark, d):
+    """The nearest turns, by their terms, of those of every fiftieth conversation."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(
+        "conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("rule_id"), F.col("text").alias("document")
+    )
+    asked = turns.where("conv_id % 50 = 0").select(
+        F.col("rule_id").alias("query_id"), F.col("document").alias("text")
+    )
+    return postings.bounded_topk(asked, turns.select("rule_id", "document"), 5)
+
+
 @query()
 def retrieve_rules(spark, d):
     return comply.retrieve_rules(sets(spark, d)).withColumn(
