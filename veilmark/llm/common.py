@@ -9,6 +9,8 @@ rows give repeated results, and an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,6 +79,25 @@ def raw_texts(batch):
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
+class Spans:
+    """Spans (start, end), to be asked in logarithmic time what touches or covers a stretch."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.furthest = list(accumulate((b for _, b in spans), max))
+
+    def touch(self, start, end):
+        """Whether a span and the stretch have a place in common."""
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.furthest[at] > start
+
+    def cover(self, start, end):
+        """Whether the stretch lies inside one span."""
+        at = bisect_right(self.starts, start) - 1
+        return at >= 0 and self.furthest[at] >= end
+
+
 def per_text(docs, per_slice, columns, keep=("doc_id",), reads=(), finish=None):
     """Append ``columns`` (a DDL string) computed per text to the kept columns.
 

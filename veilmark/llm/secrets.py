@@ -4,8 +4,9 @@ Base patterns find assigned passwords and tokens, access keys and long hexadecim
 Beyond them every string of key-like characters that stands near a sensitive word is a
 candidate.  A Zstandard compressor is primed with a dictionary of identifiers that occur
 in several documents and with the text around the candidate; the bytes that the candidate
-adds to the compressed text are its novelty.  A candidate that adds nearly its own length,
-so that neither the surroundings nor known identifiers explain it, is reported as ``novel``.
+adds to the compressed text are its novelty.  A candidate that adds nearly what random characters
+of its alphabet would, so that neither the surroundings nor known identifiers explain it, is
+reported as ``novel``.
 
 Defined results: a null or empty text has no spans; base spans always stay, novel ones are
 added where no base span stands; repeated rows give equal rows.
@@ -13,13 +14,15 @@ added where no base span stands; repeated rows give equal rows.
 
 from __future__ import annotations
 
+import random
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import per_text, pick, slices, texts
+from veilmark.llm.common import Spans, per_text, pick, slices, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -34,18 +37,27 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 # Words that make a context sensitive.
 SENSITIVE = (
     "password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api key", "access key",
-    "private key", "auth", "bearer", "credential", "signature", "client_id", "key=", "key:",
+    "private key", "auth", "authorization", "bearer", "credential", "signature", "client_id", "key=", "key:",
+)
+# Whole words, also as a part of camelCase, in the plural, or with a sign at their end.
+_SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=(?-i:[A-Z])))(?:(?:"
+    + "|".join(re.escape(w) for w in SENSITIVE if w[-1].isalpha())
+    + r")s?(?-i:(?![a-z]))|(?:" + "|".join(re.escape(w) for w in SENSITIVE if not w[-1].isalpha()) + "))",
+    re.I | re.A,
 )
-_SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
 _STRING = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+")
+# Longer identifiers are counted by their first 64 characters.
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{4,63}")
 
 #: Characters before a candidate in which a sensitive word must stand, and around it that
 #: prime the compressor.
 NEAR = 40
 AROUND = 256
-#: Least share of its length that a candidate must add.
+#: Least share that a candidate must add of what random characters of its alphabet would.
 NOVELTY = 0.8
+#: Up to this length random characters are measured, beyond it their share is carried on.
+MEASURED = 1024
 #: Identifiers in the dictionary, each from at least this many documents.
 IDENTIFIERS = 4000
 LEAST_DOCUMENTS = 2
@@ -91,19 +103,45 @@ class Novelty:
         return len(packer.compress(tail + value.encode())) - len(packer.compress(tail))
 
 
+# Signs that random strings are drawn from, and the fewest that count as an alphabet.
+_SIGNS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+_FEWEST = 10
+
+
+@lru_cache(maxsize=8192)
+def _random_bytes(signs, size):
+    """Compressed bytes that ``size`` random characters out of so many signs add."""
+    rng = random.Random(size)
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    tail = "".join(rng.choices(_SIGNS[:signs], k=16)).encode()
+    value = "".join(rng.choices(_SIGNS[:signs], k=size)).encode()
+    return len(packer.compress(tail + value)) - len(packer.compress(tail))
+
+
+def expected_bytes(value):
+    """What random characters, out of as many signs as the candidate has and of its length,
+    would add; fewer than ten signs count as ten, so that repetition does not pass."""
+    signs, size = max(_FEWEST, len(set(value))), len(value)
+    measured = min(size, MEASURED)
+    return min(size, _random_bytes(signs, measured) * size / measured)
+
+
 def novel_spans(text, novelty, base, least=NOVELTY):
-    """Incompressible strings in sensitive context that no base span touches."""
-    out = []
-    for start, end in sensitive_places(text):
-        for m in _STRING.finditer(text, start):
-            if m.start() > end:
-                break
-            value = m.group()
-            if any(m.start() < b and a < m.end() for a, _, b in base):
-                continue
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            if novelty.bytes_of(before, value, after) >= least * len(value):
-                out.append((m.start(), 3, m.end()))
+    """Incompressible strings in sensitive context that no base span touches, in one pass
+    over the strings and the sensitive places."""
+    out, places, at = [], sensitive_places(text), 0
+    known = Spans((a, b) for a, _, b in base)
+    for m in _STRING.finditer(text) if places else ():
+        while at < len(places) and places[at][1] < m.start():
+            at += 1
+        if at == len(places):
+            break
+        if m.start() < places[at][0] or known.touch(*m.span()):
+            continue
+        value = m.group()
+        before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
+        if novelty.bytes_of(before, value, after) >= least * expected_bytes(value):
+            out.append((m.start(), 3, m.end()))
     return out
 
 
