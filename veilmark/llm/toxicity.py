@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import per_text, pick, slices, texts
+from veilmark.llm.common import Spans, per_text, pick, slices, texts
 
 #: Labelled rows that are learned from, terms and exception phrases kept.
 SAMPLE = 12000
@@ -116,7 +116,8 @@ class Lexicon:
                 continue
             (free if weight is None else found).append((start, end, weight))
         if free:
-            found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in free)]
+            exempt = Spans((a, b) for a, b, _ in free)
+            found = [m for m in found if not exempt.cover(m[0], m[1])]
         return found
 
     def features(self, text):
