@@ -25,7 +25,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import boxed, per_text, pick, slices, texts
+from veilmark.llm.common import Spans, boxed, per_text, pick, slices, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -40,6 +40,9 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Stretches of text around base spans that the weights are fitted on.
 SAMPLE = 2000
+#: Longer stretches, around spans of nearly so many characters, are not learned from; their
+#: spans are found all the same.
+LONGEST = 1000
 #: Longest candidate span in tokens, and characters around a seed that are looked at.
 MAX_TOKENS = 24
 AROUND = 48
@@ -350,8 +353,16 @@ def fit(docs, sample=SAMPLE, id_col="doc_id", text_col="text"):
                     cut.append(text[max(0, start - AROUND) : end + AROUND])
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["text"])
 
-    found = pick(docs, id_col, text_col).select("text").mapInArrow(run, "text STRING").where("length(text) < 1000")
-    chosen = found.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample)
+    found = pick(docs, id_col, text_col).select("text").mapInArrow(run, "text STRING")
+    found = found.where(F.length("text") < LONGEST).select("text", F.xxhash64("text").alias("h"))
+    found = written(found, "stretches")
+    # Hashes are even, so the least of them, in this share, hold the sample; the others need
+    # not leave their tasks.
+    count = found.count()
+    if count > 4 * sample:
+        least = found.where(F.col("h") < (2 * sample << 64) // count - (1 << 63))
+        found = least if least.count() >= sample else found
+    chosen = found.orderBy("h", "text").limit(sample)
     rng = random.Random(11)
     sequences = [s for row in chosen.collect() for s in training(row.text, rng)]
     return SemiMarkov().fit(sequences).weights
@@ -362,12 +373,10 @@ def find(text, model):
     base = base_spans(text)
     if model is None:
         return base, base
-    more = []
+    more, known = [], Spans((a, b) for a, _, b in base)
     for start, end in regions(text):
         spans = tokens(text, start, end)
-        for span in model.decode(text, spans):
-            if not any(span[0] < b and a < span[2] for a, _, b in base):
-                more.append(span)
+        more += [span for span in model.decode(text, spans) if not known.touch(span[0], span[2])]
     return base, sorted({*base, *more})
 
 
