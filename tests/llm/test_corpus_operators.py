@@ -227,6 +227,26 @@ def test_damaged_archives_are_reported():
     assert list(warc.read_archive(b"")) == [] and list(warc.read_archive(b"\x00" * 9))[0][2]
 
 
+def test_damaged_dictionaries_and_false_sizes_are_errors():
+    data = b"<html>one</html>"
+    records = [warc.record(i, "u", data, hashlib.sha256(data).hexdigest(), None) for i in range(2)]
+    good = warc.archive(records, b"plain primer")
+    damaged = struct.pack("<II", warc.DICTIONARY_MAGIC, 40) + struct.pack("<I", 0xEC30A437) + b"\xff" * 36 + good[20:]
+    assert all(e for _, _, e in warc.read_archive(damaged)) and list(warc.read_archive(damaged))
+    # A frame of one raw block that claims 2^61 bytes.
+    claim = warc.FRAME_MAGIC + bytes([0xE0]) + (1 << 61).to_bytes(8, "little") + (1 | 5 << 3).to_bytes(3, "little") + b"abcde"
+    rows = list(warc.read_archive(good + claim + good[20:]))
+    assert [e is None for _, _, e in rows] == [True, True, False, True, True]
+
+
+def test_missing_records_are_errors(spark):
+    data = b"<html>one</html>"
+    whole = warc.archive([warc.record(i, "u", data, hashlib.sha256(data).hexdigest(), None) for i in range(3)], b"")
+    table = spark.createDataFrame([(3, whole), (4, whole)], "records INT, content BINARY")
+    errors = [r.error for r in warc.read_archives(table, count_col="records").collect()]
+    assert errors.count(None) == 6 and errors.count("3 of 4 records") == 1
+
+
 def test_archives_are_read_from_files(spark, tmp_path):
     data = b"<html>one</html>"
     records = [warc.record(i, "u", data, hashlib.sha256(data).hexdigest(), None) for i in range(5)]

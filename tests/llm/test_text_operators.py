@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,7 @@ import pytest
 import tiktoken
 
 from veilmark.llm import bpe, decontaminate, langid, pii, quality, secrets, toxicity
+from veilmark.llm.common import Spans
 from veilmark.llm.queries import PATTERN, RANKS, bpe_digest
 
 LONG = "word " * 40_000
@@ -413,3 +415,96 @@ def test_toxicity_of_held_out_texts(spark, table):
     assert right == 200
     none = toxicity.fit(table(docs), marked.where("toxic = 0"))
     assert toxicity.score(table(docs[:2]), none).agg({"score": "max"}).first()[0] == 0
+
+
+# ---- long texts ------------------------------------------------------------
+def test_spans_answer_as_a_loop_does():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 9)))]
+        known = Spans(spans)
+        for _ in range(20):
+            a = rng.randrange(60)
+            b = a + rng.randint(1, 12)
+            assert known.touch(a, b) == any(a < y and x < b for x, y in spans)
+            assert known.cover(a, b) == any(x <= a and b <= y for x, y in spans)
+
+
+def seconds(work):
+    start = time.process_time()
+    work()
+    return time.process_time() - start
+
+
+def test_long_texts_with_secrets_take_linear_time():
+    novelty = secrets.Novelty(["load_configuration"])
+    places = lambda n: "a token of the bearer credential password=abc12345 and a b c " * n
+    assert len(secrets.find(places(65_000), novelty)[0]) == 65_000
+    small, large = (seconds(lambda: secrets.find("key: api secret " * n, novelty)) for n in (30_000, 240_000))  # noqa: B023
+    assert large < 20 * max(small, 0.05)
+
+
+def test_long_texts_with_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({"idiot*": 2.0, "fool": 1.0}, ["useful idiot"], [0.0, 1.0, 1.0])
+    text = "a useful idiot and a fool " * 160_000  # 4 MB
+    assert seconds(lambda: lexicon.score(text)) < 60
+    assert len(lexicon.matches(toxicity.fold("a useful idiot and a fool " * 1000))) == 1000
+
+
+def test_long_texts_with_personal_data_take_linear_time():
+    model = pii.SemiMarkov({})
+    small, large = (
+        seconds(lambda: pii.find("call +1 (503) 555-0178 or 10.1.2.3, jane at x dot org; " * n, model)) for n in (500, 4000)  # noqa: B023
+    )
+    assert large < 14 * max(small, 0.05)
+
+
+# ---- novelty of secrets ----------------------------------------------------
+@pytest.mark.parametrize("signs", ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ0189+/_-"])
+def test_random_strings_of_any_alphabet_and_length_are_found(signs):
+    rng, novelty = random.Random(len(signs)), secrets.Novelty(["internationalization", "load_configuration"])
+    found = total = 0
+    for size in (12, 20, 32, 64, 128, 256, 600):
+        for _ in range(10):
+            value = "".join(rng.choices(signs, k=size))
+            text = f"the bearer credential {value} is old"
+            base, spans = secrets.find(text, novelty)
+            total += 1
+            found += any(a <= 22 and 22 + size <= b for a, _, b in spans)
+    assert found >= 0.95 * total
+
+
+def test_words_of_the_surroundings_are_no_secrets():
+    novelty = secrets.Novelty(["internationalization", "responsibilities-matrix", "load_configuration2value"])
+    for text in (
+        "the author internationalization and responsibilities-matrix", "auth token load_configuration2value",
+        "authors of compatibilities and uninterruptedness", "secretary abcdefghijkl98zz", "the authority AKX8s8s8s8s8s8",
+    ):
+        assert secrets.find(text, novelty)[1] == []
+    for text in ("clientSecret Zk83jdKq02LmXx91pQ", "my_api_key Zk83jdKq02LmXx91pQ", "Tokens: Zk83jdKq02LmXx91pQ", "AUTH Zk83jdKq02LmXx91pQ"):
+        assert len(secrets.find(text, novelty)[1]) == 1, text
+
+
+def brute_novel(text, novelty):
+    """Candidates one by one: the sensitive word before each is looked for by itself."""
+    out, base = [], secrets.base_spans(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m.group()) < 12 or any(m.start() < b and a < m.end() for a, _, b in base):
+            continue
+        ends = [w.end() for w in secrets._SENSITIVE.finditer(text)]
+        starts = [w.start() for w in secrets._SENSITIVE.finditer(text)]
+        if not any(s <= m.start() <= e + secrets.NEAR for s, e in zip(starts, ends)):
+            continue
+        before, after = text[max(0, m.start() - 256) : m.start()], text[m.end() : m.end() + 256]
+        if novelty.bytes_of(before, m.group(), after) >= 0.8 * secrets.expected_bytes(m.group()):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_novel_spans_equal_brute_force():
+    rng, novelty = random.Random(9), secrets.Novelty(["load_configuration"])
+    parts = ["token", "the", "secret:", "apikey=", "load_configuration", "x" * 15, "a-long-word-of-text", "\n", "auth", "author", "é"]
+    for _ in range(400):
+        words = [rng.choice(parts) if rng.random() < 0.8 else "".join(rng.choices("abcXYZ0189+/_-", k=rng.randint(8, 40))) for _ in range(rng.randint(1, 60))]
+        text = " ".join(words)
+        assert secrets.novel_spans(text, novelty, secrets.base_spans(text)) == brute_novel(text, novelty)

@@ -106,3 +106,12 @@ WITH RECURSIVE runs AS (
 SELECT f.word, f.form, r.last AS root, f.n, f.n_near, f.form_n
 FROM formed f JOIN followed r ON r.word = f.word AND r.next IS NULL
 """
+
+ORACLE_SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, payload_bytes >= 100 AND page_id <> min(page_id) OVER (PARTITION BY payload_digest) AS again,
+  min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM q
+"""

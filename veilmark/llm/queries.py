@@ -81,9 +81,9 @@ def op7_near_dedup(spark, d):
 @query
 def op6_warc(spark, d):
     found = warc.round_trip(table(spark, d, "pages"))
-    return found.where("error is null").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    # A record that fails, or is missing, fails the query.
+    whole = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error("error").cast("long"))
+    return found.select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def remainder(column, divisor):

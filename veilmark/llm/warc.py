@@ -37,6 +37,8 @@ ARCHIVE_BYTES = 16 << 20
 #: Bytes of sample payloads and of the dictionary trained on them.
 SAMPLE_BYTES = 1 << 19
 DICTIONARY_BYTES = 32 << 10
+#: Declared sizes up to this are allocated at once; beyond it memory grows with the content.
+TRUSTED_BYTES = 64 << 20
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -182,7 +184,11 @@ def read_archive(data):
                     return
             shared = zstandard.ZstdCompressionDict(primer) if primer else None
             at = 8 + size
-    unpacker = zstandard.ZstdDecompressor(dict_data=shared)
+    try:
+        unpacker = zstandard.ZstdDecompressor(dict_data=shared)
+    except zstandard.ZstdError as error:
+        yield 0, None, f"dictionary: {error}"
+        return
     while at < len(data):
         start = at
         try:
@@ -197,9 +203,13 @@ def read_archive(data):
         try:
             frame = data[start:at]
             size = zstandard.frame_content_size(frame)
-            plain = unpacker.decompress(frame) if size >= 0 else unpacker.decompressobj().decompress(frame)
+            # A declared size is only trusted, and its memory taken at once, if it is small.
+            trusted = 0 <= size <= TRUSTED_BYTES
+            plain = unpacker.decompress(frame) if trusted else unpacker.decompressobj().decompress(frame)
+            if size >= 0 and len(plain) != size:
+                raise Malformed("content size")
             yield start, checked(*parse(plain)), None
-        except (Malformed, zstandard.ZstdError, UnicodeDecodeError, ValueError) as error:
+        except (Malformed, zstandard.ZstdError, UnicodeDecodeError, ValueError, MemoryError) as error:
             yield start, None, str(error) or type(error).__name__
 
 
@@ -269,25 +279,30 @@ RECORDS = (
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
 
-def read_archives(archives, content_col="content"):
+def read_archives(archives, content_col="content", count_col=None):
     """A row per record of a table of archives, such as ``spark.read.format("binaryFile")``
-    gives for files: its fields, or its error."""
+    gives for files: its fields, or its error.  ``count_col`` names the number of records that an
+    archive should have; another number is an error at its end."""
+    wanted = F.lit(None).cast("long") if count_col is None else F.col(count_col).cast("long")
 
     def run(batches):
         names = [part.split()[0] for part in RECORDS.split(", ")]
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                held, size = [], 0
+            for data, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held, size, seen = [], 0, 0
                 for offset, fields, error in read_archive(data or b""):
+                    seen += error is None
                     held.append((offset, *(fields or (None,) * 7), error))
                     size += len(fields[2]) if fields else 0
                     if size > 8 << 20 or len(held) >= 2000:
                         yield _rows(held, names)
                         held, size = [], 0
+                if count is not None and seen != count:
+                    held.append((len(data or b""), *(None,) * 7, f"{seen} of {count} records"))
                 if held:
                     yield _rows(held, names)
 
-    return archives.select(F.col(content_col).alias("content")).mapInArrow(run, RECORDS)
+    return archives.select(F.col(content_col).alias("content"), wanted.alias("wanted")).mapInArrow(run, RECORDS)
 
 
 def _rows(held, names):
@@ -298,4 +313,5 @@ def round_trip(pages, **columns):
     """Write the pages as archives to the shared folder and read them back."""
     spark = pages.sparkSession
     folder = write_archives(pages, new_folder(spark, "warc"), **columns)
-    return read_archives(spark.read.schema("records BIGINT, content BINARY").parquet(folder))
+    archives = spark.read.schema("records BIGINT, content BINARY").parquet(folder)
+    return read_archives(archives, count_col="records")
