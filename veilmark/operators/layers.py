@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilmark import vocab
-from veilmark.functions.arrays import empty, let
+from veilmark.functions.arrays import empty, let, scan
 from veilmark.functions.filters import filter_bits
-from veilmark.functions.text import find_all, pieces, place
+from veilmark.functions.text import cut, find_all, pieces, place
 from veilmark.operators.findings import categorize, min_score
 from veilmark.operators.recognize import normalize_label
 from veilmark.schemas import FINDING_COLUMNS, LAYER_SPAN
@@ -134,13 +134,21 @@ def find_dictionary(docs, dictionary, salts=SALTS, bits=None):
     return categorize(hits).select(*FINDING_COLUMNS, "ord")
 
 
-def chunk_text(docs, size=vocab.NER_CHUNK_CHARS):
-    """Windows of a text for an outside model: chunk number, start, text; no overlap."""
+def chunk_text(docs, size=vocab.NER_CHUNK_CHARS, overlap=0):
+    """Windows of a text for an outside model: chunk number, start, text; each shares
+    ``overlap`` characters with the one before it, by default none."""
     full = docs.filter(F.length("text") > 0)
-    return full.select(
-        "doc_id", F.posexplode(F.expr(pieces("text", size))).alias("chunk", "chunk_text")
-    ).select(
-        "doc_id", "chunk", (F.col("chunk") * size).alias("chunk_start"), "chunk_text"
+    if not 0 <= overlap < size:
+        raise ValueError("an overlap is at least 0 and smaller than the window")
+    if not overlap:
+        windows = pieces("text", size)
+    else:
+        step = size - overlap
+        last = f"cast(greatest(0, length(text) - {overlap} - 1) div {step} AS int)"
+        window = cut("_pc", f"_k * {step}", f"least(length(text), _k * {step} + {size})")
+        windows = let("_pc", pieces("text"), f"transform(sequence(0, {last}), _k -> {window})")
+    return full.select("doc_id", F.posexplode(F.expr(windows)).alias("chunk", "chunk_text")).select(
+        "doc_id", "chunk", (F.col("chunk") * (size - overlap)).alias("chunk_start"), "chunk_text"
     )
 
 
@@ -149,13 +157,47 @@ def with_type(df, label="label"):
     return df.withColumn("entity_type", F.expr(normalize_label(label)))
 
 
-def external_findings(model_hits, size=vocab.NER_CHUNK_CHARS):
+_PART = "struct<st:int,en:int,sc:double,first:int,last:int,value:string>"
+
+
+def stitched(hits):
+    """Hits that two windows report, as one: doc_id, entity_type, value, span_start, span_end, score.
+
+    ``hits`` also has the chunk of each.  Hits of one type that overlap and come from different
+    windows are one, from the first start to the last end and with the best score; hits of the
+    same window stay as the model gave them.  Equal hits are put together before anything is
+    gathered, so what is gathered of a document is bounded by its length.
+    """
+    once = hits.groupBy("doc_id", "entity_type", "span_start", "span_end").agg(
+        F.max("score").alias("sc"), F.min("chunk").alias("first"), F.max("chunk").alias("last"), F.min("value").alias("value")
+    )
+    part = F.struct(F.col("span_start").alias("st"), F.col("span_end").alias("en"), "sc", "first", "last", "value")
+
+    def step(s, x):
+        joins = f"{x}.st < {s}.en AND {x}.first <> {s}.last"
+        grown = (
+            f"named_struct('st', {s}.st, 'en', greatest({s}.en, {x}.en), 'sc', greatest({s}.sc, {x}.sc), "
+            f"'first', {s}.first, 'last', greatest({s}.last, {x}.last), "
+            f"'value', concat({s}.value, substring({x}.value, {s}.en - {x}.st + 1)))"
+        )
+        return f"CASE WHEN {joins} THEN {grown} ELSE {x} END", f"{s} IS NOT NULL AND NOT coalesce({joins}, false)", s
+
+    found = once.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(part.cast(_PART))).alias("parts"))
+    merged = scan("parts", f"cast(NULL AS {_PART})", step, _PART, lambda s: f"array({s})")
+    return found.select("doc_id", "entity_type", F.inline(F.expr(merged))).select(
+        "doc_id", "entity_type", "value", F.col("st").alias("span_start"), F.col("en").alias("span_end"),
+        F.col("sc").alias("score"),
+    )
+
+
+def external_findings(model_hits, size=vocab.NER_CHUNK_CHARS, overlap=0):
     """Findings out of model output (see schemas.MODEL_HITS), offsets moved to the document.
 
-    Hits below the threshold and empty spans are left out.
+    Hits below the threshold and empty spans are left out.  With windows that overlap, what two
+    of them report is one finding.
     """
     kept = min_score(model_hits).filter(F.col("span_end") > F.col("span_start"))
-    base = F.col("chunk") * size
+    base = F.col("chunk") * (size - overlap)
     moved = with_type(kept).select(
         "doc_id",
         "entity_type",
@@ -163,6 +205,7 @@ def external_findings(model_hits, size=vocab.NER_CHUNK_CHARS):
         (F.col("span_start") + base).cast("int").alias("span_start"),
         (F.col("span_end") + base).cast("int").alias("span_end"),
         "score",
-        F.lit("ner").alias("source"),
+        "chunk",
     )
-    return categorize(moved).select(*FINDING_COLUMNS)
+    whole = stitched(moved) if overlap else moved.drop("chunk")
+    return categorize(whole.withColumn("source", F.lit("ner"))).select(*FINDING_COLUMNS)

@@ -21,6 +21,17 @@ def write_redacted(df, path, mode, name="name", text="redacted_text"):
     ).parquet(path)
 
 
-def write_findings(findings, path):
-    """Findings, one folder per category, so that readers of one category skip the rest."""
-    findings.write.mode("overwrite").partitionBy("category").parquet(path)
+#: Rows of one file of findings, a few dozen MB.
+FILE_ROWS = 1_000_000
+
+
+def write_findings(findings, path, file_rows=FILE_ROWS):
+    """Findings, one folder per category, so that readers of one category skip the rest.
+
+    Rows are put together by category, and Spark splits a category that is larger than a
+    partition should be among several tasks, so that none writes a hot one alone.  No file
+    has more than ``file_rows`` rows.
+    """
+    findings.hint("rebalance", "category").write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy(
+        "category"
+    ).parquet(path)

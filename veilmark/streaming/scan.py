@@ -1,9 +1,15 @@
-"""The scan as a stream: stateless, so no watermark and no state store."""
+"""The scan as a stream: stateless, so no watermark and no state store.
+
+The running summary of a stream is kept as one small table per batch (see
+``operators.summaries``).  It has no time limit, so a late document counts like any other, and a
+batch that is run again after a restart replaces what it wrote before.
+"""
 
 from __future__ import annotations
 
 from veilmark import schemas
 from veilmark.operators.findings import detect
+from veilmark.operators.summaries import write_partial
 
 
 def read_stream(spark, folder, glob="*.parquet", files_per_batch=1000):
@@ -34,3 +40,17 @@ def scan_stream(stream, out, checkpoint, recognizers=None, transform=lambda df:
     )
     query.awaitTermination()
     return query
+
+
+def summary_stream(stream, folder, checkpoint, recognizers=None, name="stream"):
+    """Write a partial summary of every batch of new documents to ``folder``; ends when the
+    input is used up.  ``name`` tells streams apart that share a folder."""
+
+    def one(batch, number):
+        write_partial(detect(batch, recognizers), folder, f"{name}-{number:09d}")
+
+    query = (
+        stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query

@@ -464,6 +464,7 @@ register(
     + ", ".join(f"{_count('risk', r)} AS risk_{r.lower()}" for r in vocab.RISKS)
     + ", max(sc) AS top_score FROM found GROUP BY ROLLUP (category, entity_type)",
 )
+register("corpus_summary_merged", out["corpus_summary"])
 SETS = (
     "sets AS (SELECT src.doc_id, coalesce(string_agg(DISTINCT entity_type, ', ' ORDER BY entity_type), '') "
     "AS types FROM src LEFT JOIN found ON found.doc_id = src.doc_id GROUP BY src.doc_id)"

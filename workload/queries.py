@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.text import pieces
-from veilmark.operators import comply, findings as fd, layers, postings, recognize as rc, report, rewrite, vectors
+from veilmark.operators import comply, findings as fd, layers, postings, recognize as rc, report, rewrite, summaries, vectors
 from veilmark.plans.scan import scan_documents
 from veilmark.session import shared_folder
 from veilmark.sources import documents as src, rules as rl, sinks
@@ -233,6 +233,15 @@ def corpus_summary(spark, d):
     return fd.corpus_summary(fd.detect(memo(spark, d)))
 
 
+@query()
+def corpus_summary_merged(spark, d):
+    """The same from two batches that were summed up apart, the later one twice."""
+    folder = f"{shared_folder(spark)}/summary-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1):
+        summaries.write_partial(fd.detect(memo(spark, d).where(F.col("doc_id") % 2 == batch)), folder, batch)
+    return summaries.read_summary(spark, folder).drop("n_documents", "n_values")
+
+
 def sets(spark, d, table=memo):
     return fd.entity_set(fd.with_findings(table(spark, d)))
 
