@@ -177,6 +177,20 @@ def test_whole_items_are_contained_in_full(spark, table):
     assert decontaminate.contamination(table([]), bench).count() == 0
 
 
+def test_item_ids_of_any_type_and_repeated(spark, table):
+    words = [f"b{k}" for k in range(30)]
+    items = [("x", " ".join(words[:12])), ("x", " ".join(words[15:26])), (None, " ".join(words[3:14])), ("y", "nothing here")]
+    bench = spark.createDataFrame(items, "item_id STRING, text STRING")
+    rows = [(1, " ".join(words)), (2, " ".join(words[15:26])), (3, "plain")]
+    for block_bytes in (1 << 20, 20):
+        found = decontaminate.contamination(table(rows), bench, block_bytes=block_bytes).collect()
+        met = {r.doc_id: sorted((str(i.item_id) for i in r["items"])) for r in found}
+        assert met == {1: ["None", "x"], 2: ["x"], 3: []}
+    long = bench.selectExpr("cast(hash(item_id) AS decimal(20,0)) AS item_id", "text")
+    kinds = decontaminate.contamination(table(rows), long).schema["items"].dataType.elementType["item_id"].dataType
+    assert kinds.simpleString() == "decimal(20,0)"
+
+
 # ---- quality ---------------------------------------------------------------
 def brute_measure(text):
     text = text or ""

@@ -13,8 +13,9 @@ benchmark goes to the tasks in blocks of bounded size; a benchmark beyond one bl
 worked off block by block, each against all documents.
 
 Defined results: a null or empty text has no words and no hits; an item without words has
-no windows and never occurs; repeated items are reported each by its own id, repeated
-documents each on a row; with an empty benchmark nothing is hit.
+no windows and never occurs; rows of the benchmark with one id, or none, are one item, reported
+once; item ids may be of any type; repeated documents are reported each on a row; with an
+empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
@@ -53,15 +54,19 @@ class Index:
     """Windows by prefix token and its place."""
 
     def __init__(self, items, counts, size=WINDOW):
-        """``items``: (id, words); ``counts``: how often each word occurs in the corpus."""
-        self.item_words = [len(words) for _, words in items]
-        self.ids = [i for i, _ in items]
+        """``items``: (id, words), an id once for each of its texts; ``counts``: how often each
+        word occurs in the corpus."""
+        texts_of = {}
+        for i, words in items:
+            texts_of.setdefault(i, []).append(words)
+        self.item_words = [max(map(len, found)) for found in texts_of.values()]
+        self.ids = list(texts_of)
         self.n_windows = []
         self.by_token = {}
-        for number, (_, words) in enumerate(items):
-            windows = item_windows(words, size)
-            self.n_windows.append(len(set(windows)))
-            for window in dict.fromkeys(windows):
+        for number, found in enumerate(texts_of.values()):
+            windows = dict.fromkeys(w for words in found for w in item_windows(words, size))
+            self.n_windows.append(len(windows))
+            for window in windows:
                 place = min(range(len(window)), key=lambda k: (counts.get(window[k], 0), window[k], k))
                 places = self.by_token.setdefault(window[place], {})
                 places.setdefault((place, len(window)), {}).setdefault(window, []).append(number)
@@ -124,11 +129,11 @@ def corpus_counts(docs, vocabulary):
 
 
 def blocks(items, limit=BLOCK_BYTES):
-    """The items in lists of bounded size; whole items only."""
+    """The items in lists of bounded size; whole items only, with all texts of one id."""
     block, size = [], 0
-    for row in items.toLocalIterator():
+    for row in items.orderBy("doc_id").toLocalIterator():
         data = (row.text or "").encode("utf-8", "surrogatepass")
-        if block and size + len(data) > limit:
+        if block and size + len(data) > limit and row.doc_id != block[-1][0]:
             yield block
             block, size = [], 0
         block.append((row.doc_id, words_of(data)))
@@ -136,7 +141,7 @@ def blocks(items, limit=BLOCK_BYTES):
     yield block
 
 
-STATE = "n_words BIGINT, hits ARRAY<INT>, items ARRAY<STRUCT<item_id: BIGINT, containment: DOUBLE>>"
+STATE = "n_words BIGINT, hits ARRAY<INT>, items ARRAY<STRUCT<item_id: STRING, containment: DOUBLE>>"
 
 
 def scan_documents(docs, index, keep=("doc_id",)):
@@ -145,7 +150,7 @@ def scan_documents(docs, index, keep=("doc_id",)):
     A table that already has these columns from an earlier block has them extended.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("containment", pa.float64())]))
     again = "hits" in docs.columns
 
     def run(batch):
@@ -176,10 +181,15 @@ def contamination(
 
     ``hits`` are the places of words inside any occurrence of a window.  ``items`` holds
     each benchmark item with an occurring window, once, and the largest share of its
-    windows within one stretch of its size.  Item ids are integers.
+    windows within one stretch of its size.
     """
-    state = _scanned(pick(docs, id_col, text_col), pick(benchmark, item_col, item_text), window, block_bytes, "doc_id")
-    return state.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")
+    items = pick(benchmark, item_col, item_text)
+    state = _scanned(pick(docs, id_col, text_col), items, window, block_bytes, "doc_id")
+    kind = items.schema["doc_id"].dataType
+    items = F.transform(
+        "items", lambda x: F.struct(x["item_id"].cast(kind).alias("item_id"), x["containment"].alias("containment"))
+    )
+    return state.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", items.alias("items"))
 
 
 def clean_documents(
@@ -194,6 +204,7 @@ def clean_documents(
 
 def _scanned(rows, items, window, block_bytes, *keep):
     """The kept columns and the state of each row after all blocks of the benchmark."""
+    items = items.withColumn("doc_id", F.col("doc_id").cast("string"))  # ids of any type, through the tasks
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     single, state = total <= block_bytes, rows
     for block in blocks(items, block_bytes):
