@@ -33,14 +33,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import per_text, pick, texts
+from veilmark.llm.common import per_text, pick, releasing, texts
 
 #: Bytes of a worker's table of encoded words, in each of two generations, and what an entry
 #: takes besides its own characters.  A worker keeps its table from task to task.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 32 << 20
 ENTRY_BYTES = 220
 #: Checked pairs of neighbours that a worker remembers.
-PAIRS = 400_000
+PAIRS = 250_000
 
 
 class Vocabulary:
@@ -375,7 +375,7 @@ def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "data"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids ARRAY<INT>, data BINARY")
+    return rows.mapInArrow(releasing(run), f"doc_id {kind}, ids ARRAY<INT>, data BINARY")
 
 
 class Encoded:

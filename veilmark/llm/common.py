@@ -8,6 +8,7 @@ rows give repeated results, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
@@ -79,6 +80,28 @@ def raw_texts(batch):
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
+def _released():
+    """Give freed memory back to the system: Arrow's own, and that of the C library."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run):
+    """A function of batches that gives its memory back when its task ends, so that the worker
+    is small when it goes on to other work."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _released()
+
+    return whole
+
+
 class Spans:
     """Spans (start, end), to be asked in logarithmic time what touches or covers a stretch."""
 
@@ -98,28 +121,24 @@ class Spans:
         return at >= 0 and self.furthest[at] >= end
 
 
-def per_text(docs, per_slice, columns, keep=("doc_id",), reads=(), finish=None):
+def per_text(docs, per_slice, columns, keep=("doc_id",), reads=()):
     """Append ``columns`` (a DDL string) computed per text to the kept columns.
 
     ``per_slice`` is a function of a batch that returns one Arrow array for each of the
     new columns; it runs inside Spark's tasks on slices of bounded size.  ``reads`` names further
-    columns that it needs; ``finish`` is called at the end of each task.
+    columns that it needs.
     """
     added = StructType.fromDDL(columns)
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + added.fields)
     names, kept = [f.name for f in schema], list(keep)
 
     def run(batches):
-        try:
-            for batch in slices(batches):
-                arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays(arrays + list(per_slice(batch)), names=names)
-        finally:
-            if finish is not None:
-                finish()
+        for batch in slices(batches):
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays(arrays + list(per_slice(batch)), names=names)
 
     needed = list(dict.fromkeys([*kept, "text", *reads]))
-    return docs.select(*needed).mapInArrow(run, schema)
+    return docs.select(*needed).mapInArrow(releasing(run), schema)
 
 
 def new_folder(spark, name):

@@ -32,13 +32,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import fresh, per_text, pick, raw_texts, small_side, written
+from veilmark.llm.common import fresh, per_text, pick, raw_texts, releasing, small_side, written
 
 SHINGLE = 5
 ROWS = 5
 MISS = 1e-6
 BATCH = 20
-MEMO = 300_000
+MEMO = 100_000
 
 
 def bands_for(percent, rows=ROWS, miss=MISS):
@@ -166,7 +166,7 @@ def plausible(pairs, percent):
                 left, matches, done = left[ok], matches[ok], upto
             yield batch.select([0, 1]).take(pa.array(left))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a BIGINT, b BIGINT")
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(releasing(run), "a BIGINT, b BIGINT")
 
 
 def with_nodes(pairs, nodes, columns):
@@ -331,8 +331,14 @@ def keep_first(docs, percent=80, id_col="doc_id", text_col="text"):
     """The documents with all their columns, one row of each class: the one with the smallest
     id, a null id last; of rows with equal ids, copies or not, any one.
 
-    Rows are numbered and written first, so the decision is on rows, not on ids.
+    Where an id is missing or not the only one of its kind, rows are numbered and written first,
+    so that the decision is on rows; else an id is as good as a number.
     """
+    ids = docs.groupBy(F.col(id_col).alias("own")).agg(F.count("*").alias("n"))
+    if ids.where("n > 1 OR own IS NULL").isEmpty():
+        found = written(near_duplicates(docs, percent, id_col=id_col, text_col=text_col), "classes")
+        gone = small_side(written(found.where("not kept").select(F.col("doc_id").alias("gone")), "gone"))
+        return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     row = fresh(docs, "row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(rows, percent, id_col=row, text_col=text_col).select("doc_id", "component_id")

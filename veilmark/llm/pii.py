@@ -25,7 +25,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import Spans, boxed, per_text, pick, slices, texts, written
+from veilmark.llm.common import Spans, boxed, per_text, pick, releasing, slices, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -353,7 +353,7 @@ def fit(docs, sample=SAMPLE, id_col="doc_id", text_col="text"):
                     cut.append(text[max(0, start - AROUND) : end + AROUND])
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["text"])
 
-    found = pick(docs, id_col, text_col).select("text").mapInArrow(run, "text STRING")
+    found = pick(docs, id_col, text_col).select("text").mapInArrow(releasing(run), "text STRING")
     found = found.where(F.length("text") < LONGEST).select("text", F.xxhash64("text").alias("h"))
     found = written(found, "stretches")
     # Hashes are even, so the least of them, in this share, hold the sample; the others need
@@ -429,4 +429,4 @@ def mask_documents(docs, weights, text_col="text"):
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     inner, back = boxed(docs, text_col)
-    return back(inner.mapInArrow(run, inner.schema))
+    return back(inner.mapInArrow(releasing(run), inner.schema))

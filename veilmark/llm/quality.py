@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from veilmark.llm.common import boxed, per_text, pick, slices, texts
+from veilmark.llm.common import boxed, per_text, pick, releasing, slices, texts
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -187,4 +187,4 @@ def filter_documents(docs, rules=Rules(), text_col="text"):
             yield pa.RecordBatch.from_arrays(columns, names=out.schema.names)
 
     inner, back = boxed(docs, text_col)
-    return back(inner.mapInArrow(run, inner.schema))
+    return back(inner.mapInArrow(releasing(run), inner.schema))

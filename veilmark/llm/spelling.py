@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import pick, slices, small_side, texts, written
+from veilmark.llm.common import pick, releasing, slices, small_side, texts, written
 
 #: Words are runs of these letters; only A-Z are lowered.
 LETTERS = "[A-Za-zÀ-ÿ]+"
@@ -79,7 +79,7 @@ def count_words(docs, id_col="doc_id", text_col="text", slip=SLIP):
         if total:
             yield batch_of(total)
 
-    counted = pick(docs, id_col, text_col).mapInArrow(run, "word STRING, n BIGINT")
+    counted = pick(docs, id_col, text_col).mapInArrow(releasing(run), "word STRING, n BIGINT")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
@@ -220,7 +220,7 @@ def near_words(words, parts=PARTS, tile=TILE):
     tiled = tiles_of(keys_of(words, parts), tile)
     by = ["key", "m", "part", "i", "j"]
     dealt = tiled.repartition("key", "i", "j").sortWithinPartitions(*by)
-    found = dealt.mapInArrow(_near_words, "word STRING, n_near BIGINT, best_n BIGINT, best STRING")
+    found = dealt.mapInArrow(releasing(_near_words), "word STRING, n_near BIGINT, best_n BIGINT, best STRING")
     best = F.min(F.struct((-F.col("best_n")).alias("neg"), F.col("best").alias("word")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select(
         "word", "n_near", (-F.col("b.neg")).alias("best_n"), F.col("b.word").alias("best")
