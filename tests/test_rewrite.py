@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -9,6 +10,7 @@ from veilmark.functions.arrays import let
 from veilmark.functions.text import PIECE, ordered_cuts, pieces, splice
 from veilmark.operators import rewrite
 from veilmark.operators.findings import with_findings
+from veilmark.operators.rewrite import redact_json_values
 from veilmark.schemas import HIT
 
 EDIT = "array<struct<st:int,en:int,new:string>>"
@@ -160,3 +162,30 @@ def test_neighbours_are_masked_each_and_at_full_length(docs):
     long = "x" * 1500
     text = rewrite.mask(with_findings(docs(f"Diagnosis: {long}"))).first().masked_text
     assert text == "Diagnosis: " + "*" * 1500
+
+
+def test_json_stays_json(docs):
+    """Quotes, escapes, keys, bare numbers, nesting, and text that is no JSON."""
+    card, mail = "4539148803436467", "joe@example.com"
+    values = [
+        {"a": f"say \"{mail}\" or \\{mail}\\", "n": int(card), "list": [int(card), f"\n{mail}", None, True, 1.5e3]},
+        {mail: 1, "x " + mail: {"deep": {card: [mail]}}, mail + " again": 2},
+        {"é\U0001F600": f"ü {mail} \u00e9 123-45-6789\t {card}", "z": []},
+        [card, int(card), -1, "10.1.2.3"], mail, int(card), {"plain": "nothing", "k": 97},
+    ]
+    texts = [json.dumps(v) for v in values] + [json.dumps(v, ensure_ascii=False, indent=1) for v in values]
+    texts += [f"no json {mail}", "", None, "{" + mail]
+    for mode in ("redact", "mask", "replace"):
+        rows = redact_json_values(with_findings(docs(*texts)), mode).orderBy("doc_id").collect()
+        for r, text in zip(rows[: 2 * len(values)], texts):
+            assert r.json is not None, r.redacted_text
+            back = json.loads(r.redacted_text)
+            assert mail not in r.redacted_text and card not in r.redacted_text and "10.1.2.3" not in r.redacted_text
+            assert len(back) == len(json.loads(text)) if isinstance(back, (dict, list)) else True
+        assert json.loads(rows[6].redacted_text) == values[6]
+    rows = redact_json_values(with_findings(docs(*texts))).orderBy("doc_id").collect()
+    first = json.loads(rows[0].redacted_text)
+    assert first["n"] == "[CREDIT_CARD]" and first["list"][0] == "[CREDIT_CARD]" and first["list"][2:] == [None, True, 1500.0]
+    assert first["a"] == 'say "[EMAIL_ADDRESS]" or \\[EMAIL_ADDRESS]\\'
+    assert rows[14].redacted_text == "no json [EMAIL_ADDRESS]" and rows[14].json is None
+    assert rows[15].redacted_text == "" and rows[16].redacted_text is None and rows[17].redacted_text == "{[EMAIL_ADDRESS]"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilmark import vocab
 from veilmark.functions.arrays import constant_map, let, quoted, scan
-from veilmark.functions.text import cut, ordered_cuts, pieces, splice
+from veilmark.functions.text import cut, find_all, ordered_cuts, pieces, place, splice
 
 SPAN = "struct<st:int,en:int,entity_type:string>"
 
@@ -123,6 +123,55 @@ def redact_json(df, mode="redact", text="text", hits="hits"):
     return done.withColumn("json", F.try_parse_json("redacted_text"))
 
 
+# Strings and numbers of a JSON text; all that stands between them is punctuation and constants.
+JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+'
+
+
+def json_rewrite_sql(text, hits, mode):
+    """JSON text with every finding rewritten, that is JSON again.
+
+    Strings are rewritten inside their quotes.  A number with a finding becomes a string; so does
+    a string whose rewriting would cut an escape.  A key also gets its place in the text, so that
+    rewritten keys stay different.  Text that is no JSON is rewritten as it stands.
+    """
+    kind = "get(_in, 0).entity_type"
+    end = "least(_s.en, coalesce(get(_in, _j + 1).st, _s.en), _tk.en - 1)"
+    start = "greatest(_s.st, _tk.st + 1)"
+    part = cut("_src", start, end)
+    inner = (
+        f"filter(transform(_in, (_s, _j) -> named_struct('st', {start} - _tk.st, 'en', {end} - _tk.st, "
+        f"'new', {_replacement(mode, '_s.entity_type', part)})), _e -> _e.en > _e.st)"
+    )
+    string = let("_own", pieces("_tk.value"), splice("_own", inner, "_tk.value"))
+    number = f"concat('\"', {_replacement(mode, kind, '_tk.value')}, '\"')"
+    whole = f"concat('\"[', {kind}, ']\"')"
+    fresh = f"CASE WHEN startswith(_tk.value, '\"') THEN {string} ELSE {number} END"
+    valid = let("_nw", fresh, f"CASE WHEN try_parse_json(_nw) IS NULL THEN {whole} ELSE _nw END")
+    key = "startswith(ltrim(get(_ft.gaps, _ti + 1)), ':')"
+    told = let("_vl", valid, f"CASE WHEN {key} THEN concat(left(_vl, length(_vl) - 1), ' ', _ti, '\"') ELSE _vl END")
+    edit = let(
+        "_in", "filter(_all, _s -> _s.st < _tk.en AND _s.en > _tk.st)",
+        f"CASE WHEN size(_in) > 0 THEN named_struct('st', _tk.st, 'en', _tk.en, 'new', {told}) END",
+    )
+    edits = f"filter(transform({place('_ft')}, (_tk, _ti) -> {edit}), _e -> _e IS NOT NULL)"
+    merged = drop_contained(hits) if mode == "mask" else merge_adjacent("_src", drop_contained(hits))
+    changed = let("_src", pieces(text), let("_all", merged, let("_ft", find_all(text, JSON_TOKEN), splice("_src", edits, text))))
+    plain = rewrite_sql(text, hits, mode)
+    return (
+        f"CASE WHEN coalesce(size({hits}), 0) <= 0 THEN {text} "
+        f"WHEN try_parse_json({text}) IS NULL THEN {plain} ELSE {changed} END"
+    )
+
+
+def redact_json_values(df, mode="redact", text="text", hits="hits"):
+    """As ``redact_json``, but token by token, so that JSON stays JSON.  Findings are those of the
+    text as it is written, with its escapes."""
+    if mode not in vocab.REWRITE_MODES:
+        raise ValueError(f"unknown rewrite mode {mode!r}, expected one of {vocab.REWRITE_MODES}")
+    done = df.withColumn("redacted_text", F.expr(json_rewrite_sql(text, hits, mode)))
+    return done.withColumn("json", F.try_parse_json("redacted_text"))
+
+
 # ---- marked-up views ------------------------------------------------------
 def escape_html(value, quotes=True):
     """The ampersand first, as the other entities contain one."""

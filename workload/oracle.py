@@ -699,6 +699,15 @@ register(
     "CASE WHEN json_valid(new_text) THEN json_extract_string(new_text, '$.mail') END AS mail FROM changed",
 )
 
+# The only bare value that is found is a card number.
+register(
+    "redact_json_values",
+    f"WITH RECURSIVE {FOUND_NOTES}, {rewritten('redact')}, "
+    "whole AS (SELECT doc_id, replace(new_text, ': [CREDIT_CARD]', ': \"[CREDIT_CARD]\"') AS t FROM changed) "
+    "SELECT doc_id, t AS redacted_text, json_valid(t) AS parsed, json_extract_string(t, '$.mail') AS mail, "
+    "json_extract_string(t, '$.card') AS card FROM whole",
+)
+
 # ---- reports --------------------------------------------------------------
 VIEW = (
     "doc_id, cast(st AS int) AS span_start, entity_type AS entity, category, "

@@ -454,6 +454,18 @@ def redact_json(spark, d):
     )
 
 
+@query()
+def redact_json_values(spark, d):
+    done = rewrite.redact_json_values(fd.with_findings(notes(spark, d)))
+    return done.select(
+        "doc_id",
+        "redacted_text",
+        F.col("json").isNotNull().alias("parsed"),
+        F.try_variant_get("json", "$.mail", "string").alias("mail"),
+        F.try_variant_get("json", "$.card", "string").alias("card"),
+    )
+
+
 # ---- reports --------------------------------------------------------------
 @query()
 def findings_view(spark, d):
