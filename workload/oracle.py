@@ -418,6 +418,7 @@ register("detect", f"WITH RECURSIVE {FOUND_MEMO} SELECT {FINDING} FROM found")
 register("detect_dossier", f"WITH RECURSIVE {FOUND_DOSSIER} SELECT {FINDING} FROM found")
 register("detect_documents", f"WITH RECURSIVE {FOUND_DOCUMENTS} SELECT {FINDING} FROM found")
 register("scan_stream", out["detect_documents"])
+register("stored_findings", out["detect_documents"])
 _BOTH = ", ".join(
     [
         source("src", fx.MEMO), CATS, _DICT,
@@ -505,6 +506,18 @@ kinds AS (SELECT i, unnest(entity_types) AS kind FROM rules)
 SELECT id AS rule_id, {RULE_DOC} AS document, count(found.doc_id) AS findings
 FROM rules JOIN kinds ON rules.i = kinds.i LEFT JOIN found ON kind = entity_type GROUP BY ALL""",
 )
+register(
+    "rule_vectors",
+    f"""WITH RECURSIVE {FOUND_MEMO}, {RULE_TABLE},
+terms AS (SELECT id, term, count(*) AS tf FROM (
+  SELECT id, unnest(regexp_extract_all(lower({RULE_DOC}), '[a-z0-9]+')) AS term FROM rules) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM rules)) / (1 + count(*))) + 1 AS idf FROM terms GROUP BY term),
+norms AS (SELECT id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM terms JOIN idf USING (term) GROUP BY id),
+kinds AS (SELECT id, unnest(entity_types) AS kind FROM rules),
+named AS (SELECT kinds.id, count(*) AS findings FROM kinds JOIN found ON found.entity_type = kind GROUP BY kinds.id)
+SELECT id AS rule_id, term, round(idf, 6) AS idf, round(tf * idf / norm, 6) AS rw, findings
+FROM terms JOIN idf USING (term) JOIN norms USING (id) JOIN named USING (id)""",
+)
 # TF-IDF cosine between each distinct set of types and each rule.
 VECTORS = f"""
 {RULE_TABLE},

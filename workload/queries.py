@@ -201,6 +201,14 @@ def stream_of_documents(spark, d):
     return flat(spark.read.schema(fd.findings_schema()).parquet(f"{run}/findings"))
 
 
+@query()
+def stored_findings(spark, d):
+    """Findings written by category and read again."""
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    sinks.write_findings(fd.detect(documents(spark, d)), path)
+    return flat(spark.read.schema(fd.findings_schema()).parquet(path))
+
+
 def flat_summary(summary):
     return summary.select(
         "doc_id",
@@ -276,6 +284,20 @@ def rule_documents(spark, d):
     )
 
 
+@query()
+def rule_vectors(spark, d):
+    """The terms of the rules that speak of found types, written and read again."""
+    rules = rl.rules_source(spark)
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    rl.write_rule_vectors(rl.rule_vectors(rules), path)
+    found = fd.detect(memo(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"))
+    named = rules.select(F.col("id").alias("rule_id"), F.explode("entity_types").alias("entity_type")).join(found, "entity_type")
+    named = named.groupBy("rule_id").agg(F.sum("n").alias("findings"))
+    return rl.read_rule_vectors(spark, path).join(named, "rule_id").select(
+        "rule_id", "term", F.round("idf", 6).alias("idf"), F.round("rw", 6).alias("rw"), "findings"
+    )
+
+
 @query()
 def exposure_table(spark, d):
     """The exposure again, with the rules as a table."""
