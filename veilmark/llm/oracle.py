@@ -115,3 +115,27 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
   CASE WHEN again THEN first END AS refers_to
 FROM q
 """
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+ORACLE_SQL["op2_decontaminate"] = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents),
+items AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM items WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT r, size, i, array_to_string(ws[i:i + size - 1], ' ') AS w
+  FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM docs JOIN sizes ON len(ws) >= size)),
+met AS (SELECT r, places.size, i, item_id FROM places JOIN windows ON places.w = windows.w AND places.size = windows.size),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM met) GROUP BY r),
+named AS (
+  SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT cast(item_id AS varchar), ',' ORDER BY cast(item_id AS varchar)) AS ids
+  FROM met GROUP BY r)
+SELECT doc_id, cast(len(ws) AS bigint) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
