@@ -139,3 +139,23 @@ SELECT doc_id, cast(len(ws) AS bigint) AS n_words, coalesce(hit.n, 0) AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+_TOKENS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+ORACLE_SQL["op7_near_dedup"] = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, row_number() OVER () AS r, {_TOKENS} AS ws FROM documents),
+sets AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+near AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r AS x, r AS y FROM docs UNION SELECT reach.x, near.y FROM reach JOIN near ON near.x = reach.y),
+least AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs JOIN least ON x = docs.r LEFT JOIN sizes ON sizes.r = docs.r
+"""
