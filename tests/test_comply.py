@@ -157,3 +157,12 @@ def test_rule_vectors_are_made_written_and_read(spark, type_sets, tmp_path):
     queries = comply.query_text(sets).select(F.col("doc_id").alias("query_id"), F.col("query_text").alias("text"))
     fresh = comply.term_cosine_topk(queries, documents, 5)
     assert sorted(comply.term_cosine_topk(queries, documents, 5, vectors).collect()) == sorted(fresh.collect())
+
+
+def test_sets_of_a_rule_table_are_made_once(spark, type_sets):
+    """Sets come from a search of whole texts, so the plan must not hold it twice."""
+    sets = type_sets.withColumn("entity_types", F.expr("reverse(reverse(entity_types))"))
+    rules = rl.rules_source(spark)
+    for done in (comply.exposure_table(sets, rules, 18), comply.retrieve_table(sets, rules)):
+        assert "reverse(" not in done._jdf.queryExecution().optimizedPlan().toString()
+        assert done.count() > 0
