@@ -40,3 +40,12 @@ def test_query(spark, db, name):
     at = [columns.index(c) for c in order]
     theirs = sorted(tuple(canonical(r[i]) for i in at) for r in cursor.fetchall())
     assert mine == theirs and mine
+
+
+def test_rows_that_become_texts_are_dealt_out_by_size(spark, monkeypatch):
+    """Not by the row groups of their files, which may be few."""
+    from workload import queries as wq
+
+    monkeypatch.setattr(wq, "TASK_BYTES", 1 << 10)
+    rows = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    assert wq.spread(rows).rdd.getNumPartitions() >= 30
