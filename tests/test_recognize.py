@@ -230,3 +230,21 @@ def test_no_item_of_a_labelled_list_stays_readable(docs):
 def test_long_lists_are_read_in_one_pass(docs):
     text = "Diagnosis: " + ", ".join(f"flu n{i}n 4539148803436467 x" for i in range(5000))
     assert detect(docs(text)).count() == 15_000
+
+
+def test_plain_pieces_lose_no_match(docs):
+    """A sign outside ASCII turns off the plain pieces and classes; findings must not change."""
+    more = [
+        "DL: A1234567 Passport No: P12345678 on March 5, 2021 or 1/2/99 from 10.1.2.3",
+        "card 4539-1488 0343 6467 and 4539 1488 0343 6460 003; 4539148803436467",
+        "NO9386011117947 BE68 5390 0754 7034 GB29NWBK60161331926819 call +44 20 7946 0123, (212) 555-0123",
+        "2345 6789 0123 abcde1234F 9136032205 12 Main\tSt\n9 Oak Hill Rd NW GA\t30309 12345-6789",
+        "Patient: A, b,, c ; Blood Group# AB+ Salary: $1, 2 card 4539148803436467",
+    ]
+    texts = [t for t in [*GOLDEN, *more] if t.isascii()]
+    assert set(rc.ASCII_PIECES) <= {r.name for r in rc.ALL_LAYERS}
+    plain = rc.find(docs(*texts))
+    full = rc.find(docs(*(f"{t}\né" for t in texts)))
+    assert found(plain) == found(full)
+    kinds = {r.entity_type for r in rc.ALL_LAYERS if r.name in rc.ASCII_PIECES}
+    assert kinds <= {row.entity_type for row in plain.collect()}
