@@ -1,5 +1,6 @@
 """The index of dense vectors against all pairs."""
 
+import math
 import random
 
 import pytest
@@ -84,3 +85,31 @@ def test_empty_and_lone_collections(spark):
     assert vectors.search(vectors.build(none), asked, 3, exact=True).collect() == []
     one = spark.createDataFrame([(5, [2.0, 4.0])], "id INT, vec ARRAY<DOUBLE>")
     assert as_rows(vectors.search(vectors.build(one), asked, 3)) == [(1, 1, 5, 1.0)]
+
+
+def test_nearest_of_a_group_takes_odd_vectors_and_copies():
+    """Held against sums one by one: copies, no length, no vector, other widths, not finite."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veilmark.operators import nearest as nr
+
+    rng = np.random.default_rng(3)
+    rows = [list(map(float, v)) for v in rng.normal(size=(40, 5))]
+    rows += [rows[0]] * 9 + [[0.0] * 5, None]
+
+    def table(key, vecs):
+        norms = [None if v is None else math.fsum(x * x for x in v) ** 0.5 for v in vecs]
+        kind = pa.list_(pa.float64())
+        return pa.table({key: list(range(len(vecs), 0, -1)), "vec": pa.array(vecs, kind), "norm": pa.array(norms, pa.float64())})
+
+    def brute(asked, known):
+        order = known.sort_by("id")
+        return [(asked["query_id"][q].as_py(), d, order["id"][c].as_py()) for q, c, d in nr._one_by_one(asked, order, 6, 9)]
+
+    for extra in ([], [[1.0, 2.0]], [[math.nan] * 5]):
+        asked, known = table("query_id", rows[35:] + extra), table("id", rows + extra)
+        mine = [(r["query_id"], r["distance"], r["id"]) for r in nr.nearest(asked, known, 6, 9).to_pylist()]
+        assert repr(mine) == repr(brute(asked, known)) and len(mine) == 6 * len(asked)
+    assert len(nr.nearest(table("query_id", []), table("id", rows), 6, 9)) == 0
+    assert list(nr.rounded(np.array([0.5e-9, -0.5e-9, 1.5e-9, 1.2e-9]), 9)) == [1e-9, -1e-9, 2e-9, 1e-9]
