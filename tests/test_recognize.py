@@ -233,7 +233,7 @@ def test_long_lists_are_read_in_one_pass(docs):
 
 
 def test_plain_pieces_lose_no_match(docs):
-    """A sign outside ASCII turns off the plain pieces and classes; findings must not change."""
+    """A sign outside ASCII turns off the plain pieces; findings must not change."""
     more = [
         "DL: A1234567 Passport No: P12345678 on March 5, 2021 or 1/2/99 from 10.1.2.3",
         "card 4539-1488 0343 6467 and 4539 1488 0343 6460 003; 4539148803436467",
