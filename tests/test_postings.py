@@ -65,3 +65,20 @@ def test_nothing_to_compare(spark):
     docs, asked = corpus(spark, 2, 20)
     assert postings.bounded_topk(asked.where("false"), docs, 3).collect() == []
     assert postings.bounded_topk(asked, docs.where("false"), 3).collect() == []
+
+
+def test_many_blocks_give_the_same_rows(spark, monkeypatch):
+    docs, asked = corpus(spark, 4)
+    expected = as_rows(term_cosine_topk(asked, docs, 5))
+    monkeypatch.setattr(postings, "BLOCK_TERMS", 100)
+    monkeypatch.setattr(postings, "BLOCK_QUERIES", 7)
+    assert as_rows(postings.bounded_topk(asked, docs, 5)) == expected
+
+
+def test_products_are_not_shuffled(spark):
+    """Vectors meet in blocks: no join puts a row for each product into a shuffle."""
+    docs, asked = corpus(spark, 6, 100)
+    terms = stored(term_vectors(docs), "postings")
+    reach = stored(postings.weighed_queries(asked, terms).withColumn("least", F.lit(0.1)), "asked")
+    plan = postings.candidates(reach, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
