@@ -248,3 +248,30 @@ def test_plain_pieces_lose_no_match(docs):
     assert found(plain) == found(full)
     kinds = {r.entity_type for r in rc.ALL_LAYERS if r.name in rc.ASCII_PIECES}
     assert kinds <= {row.entity_type for row in plain.collect()}
+
+
+def test_a_text_is_read_once_by_a_pattern():
+    """Gaps, matches, values and labels come out of one search; a second place serves texts that
+    hold the sign between them."""
+    assert rc.hits_sql("text").count(rc.FIELD_PATTERN) == 2
+
+
+def test_texts_with_the_sign_between_pieces(docs):
+    texts = [MEDICAL, STAFF, BANK, UNICODE, "Diagnosis: flu, cough card 4539148803436467"]
+    with_sign = rc.find(docs(*(f"\x1f{t}\x1f\x1f" for t in texts)))
+    moved = [(i, st - 1, en - 1, kind) for i, st, en, kind in found(with_sign)]
+    assert moved == found(rc.find(docs(*texts))) and moved
+
+
+def test_shapes_lose_no_match(docs):
+    """Every test of a shape has a text that passes it alone and is found."""
+    texts = [
+        "(212) 555-0123", "212 555 0123", "212.555.0123", "+44 20 7946 0123", "123-45-6789", "2024-01-31", "1/2/99",
+        "May 5 2021", "May 15 2021", "May 5, 2021", "May 15, 2021", "4539148803436467", "4539 1488 0343 6467",
+        "4539-1488-0343-6467", "4539 1488 0343 6460 003", "2345\t6789\t0123", "abcde1234F", "91360-32205", "GA\t30309",
+        "12345-6789", "DL: A1234567", "driver's license no D1234567", "PASSPORT NO: P12345678", "10.1.2.3",
+    ]
+    assert set(rc.SHAPES) | set(rc.LOWER) <= {r.name for r in rc.ALL_LAYERS}
+    plain = found(rc.find(docs(*texts)))
+    assert {i for i, *_ in plain} == set(range(len(texts)))
+    assert plain == found(rc.find(docs(*(f"{t}\né" for t in texts))))
