@@ -7,6 +7,8 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -189,6 +191,26 @@ def test_words_of_nearly_equal_counts_are_all_known(spark):
     assert min(found, key=lambda r: r.per_word).doc_id == 99
 
 
+def test_entries_are_shuffled_packed(spark, monkeypatch):
+    """A value for each bucket and block of texts, not a row for each pair of each text."""
+    rng = np.random.default_rng(5)
+    held = [(7 + i, np.sort(rng.integers(0, 1 << 34, 500)), np.zeros(500, int), np.ones(500, int)) for i in range(200)]
+    held[3][1][:9], held[3][2][:9] = -rng.integers(1, 1 << 61, 9), -rng.integers(1, 1 << 61, 9)
+    packed = pa.Table.from_batches([lm._packed(held, 8, pa.int64())])
+    back = np.array(lm._unpacked(packed, lm._FIELDS))
+    sent = np.concatenate([[k, g, np.full(500, row), n] for row, k, g, n in held], axis=1)
+    assert sorted(back.T.tolist()) == sorted(sent.T.tolist()) and packed.num_rows == 8
+    assert sum(len(v.as_py()) for v in packed["data"]) < 7 * 200 * 500
+
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 200)
+    rows = [(i, " ".join(f"w{int(rng.exponential(30))}" for _ in range(int(rng.integers(0, 60))))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    found = lm.score(docs, ranked=20, head=5)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.doc_id, r.n_words, None if r.log10_score is None else round(r.log10_score, 6)) for r in found.collect()), key=str)
+    assert got == brute_open(rows)
+
+
 # ---- WARC ------------------------------------------------------------------
 def test_pages_come_back(spark):
     same = "<html>" + "same " * 40 + "</html>"

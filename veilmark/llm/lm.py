@@ -12,10 +12,13 @@ filter of fixed size shows to occur once need no count and form no pair of two.
 word is a 62-bit hash, negative, and is counted where its rows meet.
 
 Each text gives its distinct pairs, its distinct hashed words and one row of its own with
-all that is known by then.  Pairs of ranked words are partitioned by the pair; everything
-else goes to the hashed word that it holds, so that the word's count and those of its
-pairs are taken there.  A pair of two hashed words goes to both, and gets each word's part
-of its score there.  The parts are summed per text.
+all that is known by then.  Pairs of ranked words are dealt to buckets by the pair; everything
+else goes to the bucket of the hashed word that it holds, so that the word's count and those of
+its pairs are taken there.  A pair of two hashed words goes to both, and gets each word's part
+of its score there.  The parts are summed per text.  What the texts of a task give to a bucket
+is shuffled as one value, its numbers sorted, parted into bytes and compressed, and so are the
+parts of a block of texts; there are as many buckets as keep each within a bounded number of
+words on average.
 
 Pairs of two of the ``HEAD`` most frequent words are counted beforehand, within tasks
 first, and need no shuffle in the scoring; any other pair holds a word that has at most
@@ -34,10 +37,9 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import pick, raw_texts, slices, written
@@ -53,8 +55,9 @@ _FILTER = 26
 _SLICE = 22
 _SHIFT = 17
 _MASK = (1 << _SHIFT) - 1
-#: Own rows of texts have keys from here on, pairs of ranked words below.
-_OWN = 1 << 62
+#: Words of all texts that a bucket of the shuffle stands for, and entries a task holds before it deals them out.
+BUCKET_WORDS = 1_000_000
+HELD = 1_000_000
 
 
 def words_of(data):
@@ -211,6 +214,116 @@ class Model:
         return float(base), keys[at], grams[at], np.diff(np.append(at, len(keys)))
 
 
+#: Numbers of an entry: key, place below it, text (counted from the first of the value), times.
+_FIELDS = [("key", "<i8"), ("gram", "<i8"), ("row", "<u4"), ("times", "<u4")]
+#: Numbers of a sum: text, counted as above, and what is added to its score.
+_SUMS = [("row", "<u4"), ("sum", "<f8")]
+#: Sums of so many texts in a row (as a power of two) are brought together at once.
+_BLOCK = 14
+
+
+def _bytes(fields, a, b):
+    """Numbers as one value.  Sorted ones share their high bytes, so all first bytes go
+    together, all second ones, and so on."""
+    planes = b"".join(x[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for x in fields)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed, fields):
+    """The numbers of all values of a table; texts by their row."""
+    kinds = [np.dtype(kind) for _, kind in fields]
+    parts = [[np.empty(0, np.float64 if k.kind == "f" else np.int64)] for k in kinds]
+    for value, first, n in zip(packed["data"], packed["row"].to_pylist(), packed["n"].to_pylist()):
+        size = n * sum(k.itemsize for k in kinds)
+        planes, at = np.frombuffer(pa.decompress(value.as_buffer(), size, codec="zstd"), np.uint8), 0
+        for part, (name, _), kind in zip(parts, fields, kinds):
+            numbers = planes[at:at + n * kind.itemsize].reshape(-1, n).T.copy().view(kind).ravel().astype(part[0].dtype)
+            part.append(numbers + first if name == "row" else numbers)
+            at += n * kind.itemsize
+    return [np.concatenate(p) for p in parts]
+
+
+def _parted(table):
+    """The rows of texts, and those that hold a value."""
+    return table.filter(pc.is_null(table["data"])), table.filter(pc.is_valid(table["data"]))
+
+
+def _packed(held, buckets, kind):
+    """The entries of some texts, one value for each bucket; ``n`` is their number, ``row`` the
+    first text."""
+    rows = np.repeat(np.array([h[0] for h in held]), [len(h[1]) for h in held])
+    keys, grams, times = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+    order = np.argsort(keys, kind="stable")
+    mixed = keys[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    bucket = (mixed % np.uint64(buckets)).astype(np.uint16)
+    dealt = np.argsort(bucket, kind="stable")
+    order, bucket = order[dealt], bucket[dealt]
+    first = held[0][0]
+    fields = [x[order].astype(kind) for x, (_, kind) in zip((keys, grams, rows - first, times), _FIELDS)]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(at[1:], len(bucket))
+    values = [_bytes(fields, a, b) for a, b in zip(at.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[at].astype(np.int64)), pa.array(values, pa.binary()), pa.array(np.full(len(at), first)),
+            pa.array((ends - at).astype(np.int64)), pa.nulls(len(at), pa.float64()), pa.nulls(len(at), kind),
+        ],
+        names=["bucket", "data", "row", "n", "total", "doc_id"],
+    )
+
+
+def _packed_sums(rows, sums, kind):
+    """What a bucket adds to texts, one value for each block of texts."""
+    blocks, at = np.unique(rows >> _BLOCK, return_index=True)
+    ends = np.append(at[1:], len(rows)).astype(np.int64)
+    firsts = blocks << _BLOCK
+    fields = [(rows - np.repeat(firsts, ends - at)).astype(_SUMS[0][1]), sums.astype(_SUMS[1][1])]
+    values = [_bytes(fields, a, b) for a, b in zip(at.tolist(), ends.tolist())]
+    return pa.table({
+        "block": pa.array(blocks), "data": pa.array(values, pa.binary()), "row": pa.array(firsts), "n": pa.array(ends - at),
+        "total": pa.nulls(len(at), pa.float64()), "doc_id": pa.nulls(len(at), kind),
+    })
+
+
+def _gains(entries, model, least):
+    """What the entries of a bucket add to the scores: texts, each once, and sums.
+
+    A pair adds the log of its count, less those of both words and of backing off; a hashed
+    word adds the log of its own.
+    """
+    keys, grams, rows, times = entries
+    if not len(keys):
+        return rows, np.empty(0)
+    order = np.lexsort((grams, keys))
+    keys, grams, rows, times = keys[order], grams[order], rows[order], times[order]
+    new_key = np.append(True, keys[1:] != keys[:-1])
+    at = np.flatnonzero(new_key | np.append(True, grams[1:] != grams[:-1]))
+    sizes = np.diff(np.append(at, len(keys)))
+    key, gram, n = keys[at], grams[at], np.add.reduceat(times, at)
+    # How often the hashed word of a key occurs stands at its place 0.
+    of_key = np.cumsum(new_key[at]) - 1
+    n_key = np.zeros(of_key[-1] + 1)
+    word = (key < 0) & (gram == 0)
+    n_key[of_key[word]] = n[word]
+    with np.errstate(divide="ignore"):
+        log_key = np.log10(n_key)[of_key]
+    logs = np.where(np.isfinite(model.log_count), model.log_count, 0.0)
+    gain = np.log10(n) - model.back
+    ranked, before, after = key >= 0, (key < 0) & (gram > 0) & (gram <= _MASK), (key < 0) & (gram > _MASK)
+    gain[ranked] -= logs[key[ranked] >> _SHIFT] + logs[key[ranked] & _MASK]
+    gain[before] -= logs[gram[before]]
+    gain[after] -= logs[gram[after] - (1 << _SHIFT)]
+    gain[~ranked] -= log_key[~ranked]
+    second = (key < 0) & (gram < 0) & (gram & 1 == 1)
+    gain[second] = -log_key[second]
+    gain[n < least] = 0.0
+    gain[word] = log_key[word]
+    texts, place = np.unique(rows, return_inverse=True)
+    sums = np.bincount(place, np.repeat(gain, sizes) * times, len(texts))
+    hit = np.bincount(place, np.repeat(word | (n >= least), sizes), len(texts)) > 0
+    return texts[hit], sums[hit]
+
+
 def score(
     docs, id_col="doc_id", text_col="text", vocabulary=None, head=HEAD, alpha=ALPHA, least=LEAST, ranked=RANKED,
 ):
@@ -231,62 +344,57 @@ def score(
     shared = spark.sparkContext.broadcast(numbers)
     pairs = [tuple(r) for r in head_pairs(rows, shared, head, first).collect()]
     model = spark.sparkContext.broadcast(Model(counts, total, pairs, head, first, alpha, least))
-    logs = pd.DataFrame({"word": np.arange(len(counts)), "count": model.value.log_count})
-    logs = spark.createDataFrame(logs.replace(-np.inf, 0.0), "word BIGINT, count DOUBLE")
+    buckets = min(max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_WORDS)), 1 << 16)
 
-    def run(batches):
+    def deal(batches):
+        held, size = [], 0
         for batch in slices(batches):
+            none = batch.column(0).type
             where = batch.column(batch.schema.get_field_index("row")).to_numpy()
-            parts = []
-            for at, data in enumerate(raw_texts(batch)):
+            sizes, bases = [], []
+            for row, data in zip(where.tolist(), raw_texts(batch)):
                 ids = shared.value.of(data)
-                base, keys, grams, times = model.value.start(ids)
-                # The text's own row comes last; its key is its alone.
-                own = np.arange(len(keys) + 1) == len(keys)
-                parts.append((
-                    np.full(len(own), where[at]), np.append(keys, _OWN + where[at]), np.append(grams, 0),
-                    np.append(times, len(ids)), np.where(own, base, 0.0), np.full(len(own), at), ~own,
-                ))
-            rows_of, keys, grams, times, base, at, others = map(np.concatenate, zip(*parts))
+                base, *entries = model.value.start(ids)
+                held.append((row, *entries))
+                size += len(entries[0])
+                sizes.append(len(ids))
+                bases.append(base)
+                if size >= HELD:
+                    yield _packed(held, buckets, none)
+                    held, size = [], 0
+            # A text's own row goes along with a bucket, so that one shuffle does.
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows_of), pa.array(keys), pa.array(grams), pa.array(times.astype(np.int32)),
-                    pa.array(base, mask=others), batch.column(0).take(pa.array(at, mask=others)),
+                    pa.array(where % buckets), pa.nulls(len(where), pa.binary()), pa.array(where),
+                    pa.array(sizes, pa.int64()), pa.array(bases, pa.float64()), batch.column(0),
                 ],
-                names=["row", "key", "gram", "times", "base", "doc_id"],
+                names=["bucket", "data", "row", "n", "total", "doc_id"],
             )
-
+        if size:
+            yield _packed(held, buckets, none)
+
+    def add_up(table):
+        own, packed = _parted(table)
+        rows_of, gains = _gains(_unpacked(packed, _FIELDS), model.value, least)
+        sums = _packed_sums(rows_of, gains, table["doc_id"].type)
+        own = own.append_column("block", pa.array(own["row"].to_numpy() >> _BLOCK, pa.int64()))
+        return pa.concat_tables([own.select(names), sums.select(names)])
+
+    def finish(table):
+        own, packed = _parted(table)
+        rows_of, sums = _unpacked(packed, _SUMS)
+        order = np.argsort(own["row"].to_numpy())
+        place = np.searchsorted(own["row"].to_numpy(), rows_of, sorter=order)
+        added = np.bincount(order[place], sums, len(own))
+        return pa.table([own["doc_id"], own["n"], pa.array(own["total"].to_numpy() + added)], names=["doc_id", "n_words", "total"])
+
+    names = ["block", "data", "row", "n", "total", "doc_id"]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row BIGINT, key BIGINT, gram BIGINT, times INT, base DOUBLE, doc_id {kind}"
-    exploded = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    key, gram, own = F.col("key"), F.col("gram"), F.col("key") >= _OWN
-    # Both windows need one exchange by key and one sort.
-    whole = Window.partitionBy("key").orderBy("gram").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tables = exploded.withColumn("n_key", F.sum(F.when(gram == 0, F.col("times"))).over(whole))
-    tables = tables.withColumn("n", F.sum("times").over(Window.partitionBy("key", "gram")))
-    word = (key < 0) & (gram == 0)
-    hits = tables.where(own | word | (F.col("n") >= least))
-
-    # What a hit adds: the log of its count, less those of both words and of backing off.
-    before, after = (gram > 0) & (gram <= _MASK), gram > _MASK
-    a = F.when(key >= 0, F.shiftright(key, _SHIFT)).when(before, gram)
-    b = F.when(key >= 0, key.bitwiseAND(F.lit(_MASK))).when(after, gram - (1 << _SHIFT))
-    hits = hits.withColumns({"a": F.when(~own, a), "b": F.when(~own, b)})
-    one = F.broadcast(logs.select(F.col("word").alias("a"), F.col("count").alias("count_a")))
-    two = F.broadcast(logs.select(F.col("word").alias("b"), F.col("count").alias("count_b")))
-    ranked_part = F.coalesce("count_a", F.lit(0.0)) + F.coalesce("count_b", F.lit(0.0))
-    hashed_part = F.when(key < 0, F.log10("n_key")).otherwise(0.0)
-    second = (gram < 0) & (gram.bitwiseAND(F.lit(1)) == 1)
-    gain = (
-        F.when(word, F.log10("n_key"))
-        .when(second, -F.log10("n_key"))
-        .otherwise(F.log10("n") - ranked_part - hashed_part - F.lit(float(model.value.back)))
-    )
-    summed = hits.join(one, "a", "left").join(two, "b", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max(F.when(own, F.col("times"))).cast("long").alias("n_words"),
-        F.sum(F.coalesce("base", F.col("times") * gain)).alias("total"),
-    )
+    schema = f"data BINARY, row BIGINT, n BIGINT, total DOUBLE, doc_id {kind}"
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.mapInArrow(deal, f"bucket BIGINT, {schema}")
+    parts = dealt.groupBy("bucket").applyInArrow(add_up, f"block BIGINT, {schema}")
+    summed = parts.groupBy("block").applyInArrow(finish, f"doc_id {kind}, n_words BIGINT, total DOUBLE")
     empty = F.col("n_words") == 0
     return summed.select(
         "doc_id", "n_words", F.when(~empty, F.col("total")).alias("log10_score"),
