@@ -49,3 +49,20 @@ def test_rows_that_become_texts_are_dealt_out_by_size(spark, monkeypatch):
     monkeypatch.setattr(wq, "TASK_BYTES", 1 << 10)
     rows = spark.read.parquet(f"{FOLDER}/orders.parquet")
     assert wq.spread(rows).rdd.getNumPartitions() >= 30
+
+
+def test_rows_of_a_large_join_are_dealt_out_by_size_too(spark, monkeypatch):
+    """Not by what a join by shuffle leaves, however many rows its keys have."""
+    from workload import queries as wq
+
+    monkeypatch.setattr(wq, "TASK_BYTES", 1 << 10)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table in (wq.memo, wq.dossier):
+            rows = table(spark, FOLDER)
+            sizes = rows.rdd.glom().map(len).collect()
+            wanted = -(-wq.estimated(spark.read.parquet(f"{FOLDER}/{'orders' if table is wq.memo else 'customer'}.parquet")) // 1024)
+            assert len(sizes) >= wanted and max(sizes) <= 2 * sum(sizes) / len(sizes) + 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
